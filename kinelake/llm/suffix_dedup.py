@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kinelake.runtime import ship
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, on average, and of distinct pieces in one suffix array of a bucket.
 SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -58,9 +58,9 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     h = {1: _BYTE[text]}
     for n in (1, 2, 4, 8):
         h[2 * n] = h[n][:-n] * _power(n) + h[n][n:]
-        if n != 8:
+        if n != 4:
             del h[n]
-    return _mix(h[16][:-8] * _power(8) + h[8][16:])
+    return _mix(h[16][: len(text) - GRAM + 1] * _power(4) + h[4][16:])
 
 
 def window_keys(text: np.ndarray) -> np.ndarray:
@@ -187,7 +187,7 @@ def merge(shards: list[Shard]) -> None:
 
 
 def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(blob) -> tuple:
@@ -339,7 +339,10 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         take = np.repeat(start[pa_] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         numbers.append(int(b))
         kinds.append(-1 - shard)
-        out.append(_pack(key[run[pa_]], t.ids[r], r.astype(np.int32), (start[pa_] - t.starts[r]).astype(np.int32), size.astype(np.int32), t.text[take]))
+        held, local = np.unique(r, return_inverse=True)
+        # 32 more bits of the key: keys that agree in them share suffix arrays, no more
+        low = (key[run[pa_]] // np.uint64(buckets)).astype(np.uint32)
+        out.append(_pack(low, t.ids[held], held.astype(np.int32), np.diff(local, prepend=0).astype(np.uint16 if len(held) < 1 << 16 else np.uint32), (start[pa_] - t.starts[r]).astype(np.int32), size.astype(np.int32), t.text[take]))
     return _rows("bucket", numbers, out, {"kind": pa.array(kinds, pa.int32())})
 
 
@@ -360,7 +363,9 @@ def _across(table: pa.Table, array_bytes: int) -> pa.Table:
             numbers.append(kind)
             out.append(blob.as_py())
         else:
-            parts.append(_unpack(blob))
+            key, held_ids, held_rows, steps, at, size, text = _unpack(blob)
+            local = np.cumsum(steps.astype(np.int64))
+            parts.append((key, held_ids[local], held_rows[local], at, size, text))
             shards.append(np.full(len(parts[-1][0]), -1 - kind, np.int32))
     if not parts:
         return _rows("shard", numbers, out)
@@ -444,7 +449,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    buckets = max(n, shards // 4)
+    buckets = max(4 * n, shards // 4)  # small ones: a bucket is in one worker's memory at a time
     number = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(shards)).cast("int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), number.alias("shard")).repartition(n, "shard")
     by_shard = texts.groupBy("shard")
