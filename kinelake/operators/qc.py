@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 # fixed values: joint numbers, and thresholds in shoulder widths per second, confidence and seconds
 NOSE, LEFT_SHOULDER, RIGHT_SHOULDER, LEFT_WRIST, RIGHT_WRIST = 0, 5, 6, 9, 10
 SPEED_TH, JUMP_TH, MIN_CONF, MIN_SEGMENT_S, KEEP_S = 25.0, 3.0, 0.3, 1.0, 2.0
-FRAMES = W.partitionBy("run").orderBy("t")
+
+
+def frame_order() -> WindowSpec:
+    return W.partitionBy("run").orderBy("t")
 
 
 def joint(j: int) -> Column:
@@ -23,8 +27,9 @@ def norm2(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def median3(x: Column, over=FRAMES) -> Column:
+def median3(x: Column, over: WindowSpec | None = None) -> Column:
     """Temporal median of three frames; the two ends stay."""
+    over = over or frame_order()
     before, after = F.lag(x).over(over), F.lead(x).over(over)
     return F.when(before.isNull() | after.isNull(), x).otherwise(F.get(F.array_sort(F.array(before, x, after)), F.lit(1)))
 
@@ -40,10 +45,10 @@ def with_kinematics(frames: DataFrame, fps: float = 25.0) -> DataFrame:
     smooth = smooth.select("*", width("3").alias("width3"), F.median("width").over(whole).alias("scale"), F.count("*").over(whole).alias("n"))
 
     def wrist(n: str) -> Column:
-        step = norm2(F.col(f"{n}_x3") - F.lag(f"{n}_x3").over(FRAMES), F.col(f"{n}_y3") - F.lag(f"{n}_y3").over(FRAMES))
-        return F.when((F.col(f"{n}_conf") >= MIN_CONF) & (F.lag(f"{n}_conf").over(FRAMES) >= MIN_CONF) & (F.col("scale") > 0), step / F.col("scale") * fps)
+        step = norm2(F.col(f"{n}_x3") - F.lag(f"{n}_x3").over(frame_order()), F.col(f"{n}_y3") - F.lag(f"{n}_y3").over(frame_order()))
+        return F.when((F.col(f"{n}_conf") >= MIN_CONF) & (F.lag(f"{n}_conf").over(frame_order()) >= MIN_CONF) & (F.col("scale") > 0), step / F.col("scale") * fps)
 
-    jump = F.when(F.col("scale") > 0, F.abs(F.col("width3") - F.lag("width3").over(FRAMES)) / F.col("scale") * fps)
+    jump = F.when(F.col("scale") > 0, F.abs(F.col("width3") - F.lag("width3").over(frame_order())) / F.col("scale") * fps)
     low = F.least("lw_conf", "rw_conf") < MIN_CONF
     return smooth.select("run", "t", "n", "scale", wrist("lw").alias("speed_l"), wrist("rw").alias("speed_r"), jump.alias("jump"), low.alias("low_conf")).withColumn("speed", F.greatest("speed_l", "speed_r"))
 
@@ -55,7 +60,7 @@ def with_spikes(kinematics: DataFrame, speed_th: float = SPEED_TH, jump_th: floa
 
 def clean_segments(spikes: DataFrame, fps: float = 25.0, min_seconds: float = MIN_SEGMENT_S) -> DataFrame:
     """(run, a, b), half-open: islands between spikes of at least round(min_seconds * fps) frames."""
-    island = F.sum(F.col("spike").cast("int")).over(FRAMES)
+    island = F.sum(F.col("spike").cast("int")).over(frame_order())
     found = spikes.withColumn("island", island).groupBy("run", "island").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b"))
     return found.where(F.col("b") - F.col("a") >= F.rint(F.lit(min_seconds * fps))).select("run", "a", "b")
 
@@ -100,8 +105,8 @@ def preview_spans(segments: DataFrame, fps: float = 25.0, max_seconds: float = 3
 def true_spans(signal: DataFrame, merge_gap: int, min_len: int) -> DataFrame:
     """(run, a, b), both inclusive: runs of true flags, gaps of at most merge_gap frames closed, then at least min_len frames long."""
     hits = signal.where("flag")
-    gap = F.col("t") - F.lag("t").over(FRAMES) - 1
-    island = F.sum(F.coalesce((gap > merge_gap).cast("int"), F.lit(0))).over(FRAMES)
+    gap = F.col("t") - F.lag("t").over(frame_order()) - 1
+    island = F.sum(F.coalesce((gap > merge_gap).cast("int"), F.lit(0))).over(frame_order())
     spans = hits.withColumn("island", island).groupBy("run", "island").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     return spans.where(F.col("b") - F.col("a") + 1 >= min_len).select("run", "a", "b")
 
