@@ -55,11 +55,15 @@ def composer_set(normalized: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda c: F.contains(_folded(normalized), c)))
 
 
-@F.pandas_udf("double")
-def title_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def title_ratio(a: Column, b: Column) -> Column:
     """Share of matching blocks of two normalized titles, in the argument order given."""
-    for a, b in pairs:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in pairs:
+            yield pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
 
 
 def year_strict(title: Column) -> Column:

@@ -25,7 +25,7 @@ def title_edges(titles: DataFrame, similarity: float | None = 0.8) -> DataFrame:
     l, r = (kept.select("conductor", "nums", *[F.col(c).alias(f"{c}_{s}") for c in ("norm", "low", "composers")]) for s in "ab")
     apart = (F.size("composers_a") > 0) & (F.size("composers_b") > 0) & ~F.arrays_overlap("composers_a", "composers_b")
     pairs = l.join(r, ["conductor", "nums"]).where("low_a < low_b").where(~apart)
-    alike = pairs.where(text.title_ratio("norm_a", "norm_b") >= similarity)
+    alike = pairs.where(text.title_ratio(F.col("norm_a"), F.col("norm_b")) >= similarity)
     return stars.union(alike.select("conductor", F.col("low_a").alias("a"), F.col("low_b").alias("b")))
 
 
