@@ -10,7 +10,7 @@ takes the words that are still missing (so a source's taken words miss its targe
 found over BUCKETS hash ranges first and ordered only inside the one range where it ends, so no source is ever sorted whole.
 
 Defined results: a null text has size 0; a null source is a source, the last one; a source of size 0 takes nothing;
-equal hashes (repeated ids) are ordered by size; rows keep their multiplicity; extra columns are not read; an empty table gives
+equal hashes (repeated ids) are ordered by size, and rows alike in both share what is left evenly; rows keep their multiplicity; extra columns are not read; an empty table gives
 an empty result.
 """
 
@@ -31,7 +31,9 @@ BROADCAST_SOURCES = 20_000
 
 
 def words_in(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long"), F.lit(0).cast("long"))
+    """Number of words: every word with the white space around it is replaced by one character, which needs no array of them."""
+    short = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.length(short)).otherwise(0).cast("long")
 
 
 def water_fill(sources: DataFrame, total: Column, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -59,43 +61,55 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return water_fill(weighed, F.sum("source_size").over(W.partitionBy()) * F.lit(float(share)), max_epochs)
 
 
+def _hash(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+
+
+def source_plan(sized: DataFrame, **targets) -> DataFrame:
+    """One row per source: source_size, target, whole repetitions, and where the prefix with one more ends: at (end_hash, end_size), whose rows get end_more words each.
+
+    sized(source, hash, size). Sizes of hash ranges come first, then an order inside the one range per source that holds the end.
+    """
+    ranges = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
+    ranges = cut(ranges)
+    sources = source_targets(ranges.select("source", F.col("range_size").alias("size")), **targets)
+    quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
+    sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    sources = cut(sources.withColumn("missing", quota - F.col("whole") * F.col("source_size")).drop("weight"))
+    before = lambda c, by: F.coalesce(F.sum(c).over(W.partitionBy("source").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    named = sources.select(F.col("source").alias("s"), "missing")
+    ends = ranges.withColumn("before", before("range_size", ["bucket"])).join(named, F.col("source").eqNullSafe(F.col("s")))
+    ends = ends.where((F.col("before") <= F.col("missing")) & (F.col("before") + F.col("range_size") > F.col("missing"))).select("s", "bucket", (F.col("missing") - F.col("before")).alias("left"))
+    inside = sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("hash", 1, BUCKET_DIGITS) == F.col("bucket")))
+    alike = inside.groupBy("source", "hash", "size").agg(F.count("*").alias("copies"), F.first("left").alias("left"))
+    alike = alike.withColumn("here", F.col("copies") * F.col("size"))
+    alike = alike.withColumn("rest", F.col("left") - before("here", ["hash", "size"])).where((F.col("rest") >= 0) & (F.col("rest") < F.col("here")))
+    end = alike.select(F.col("source").alias("s"), F.col("hash").alias("end_hash"), F.col("size").alias("end_size"), F.floor(F.col("rest") / F.col("copies")).alias("end_more"))
+    return sources.join(end, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "missing")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: int = SEED, **targets) -> DataFrame:
-    """(id, source, size, source_size, target, taken, *keep) of every document; keep: further columns of docs."""
+    """(id, source, size, source_size, target, taken, *keep) of every document; keep: further columns of docs, for which the texts are read a second time."""
     more = [c for c in keep if c not in (id_col, source_col)]
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), hashed.alias("_hash"), *[F.col(c).alias(f"_keep_{c}") for c in more])
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    # one pass over the texts gives the sizes of all ranges; everything about sources follows from those
-    ranges = cut(rows.select("source", "_bucket", words_in(F.col("_text")).alias("size")).groupBy("source", "_bucket").agg(F.sum("size").alias("_range_size")))
-    sources = source_targets(ranges.select("source", F.col("_range_size").alias("size")), **targets)
-    quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
-    sources = sources.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("_missing", quota - F.col("_whole") * F.col("source_size"))
-    before = F.coalesce(F.sum("_range_size").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    named = sources.select(F.col("source").alias("_s"), "_missing")
-    last = ranges.withColumn("_before", before).join(named, F.col("source").eqNullSafe(F.col("_s"))).where((F.col("_before") <= F.col("_missing")) & (F.col("_before") + F.col("_range_size") > F.col("_missing")))
-    last = last.select("_s", F.col("_bucket").alias("_end"), "_before")
-    plan = sources.withColumnRenamed("source", "_source").join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "weight")
-    plan = cut(plan)
+    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), _hash(id_col, seed).alias("hash"), F.explode(F.array(words_in(F.col(text_col)))).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in more])
+    # the generator keeps the optimizer from counting words again for each use of size
+    sized = cut(rows.select(id_col, "source", "hash", "size"))
+    plan = cut(source_plan(sized, **targets))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("size", words_in(F.col("_text")))
-    # ranges before the end are in the prefix, ranges after it aren't; only the range with the end needs an order
-    inside = F.coalesce(F.col("_bucket") == F.col("_end"), F.lit(False))
-    plain = planned.where(~inside).withColumn("_more", F.when(F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")), F.when(F.col("_missing") > 0, F.col("size")).otherwise(F.lit(0))).otherwise(F.lit(0)))
-    within = W.partitionBy("source").orderBy("_hash", "size").rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("_missing") - F.col("_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    ordered = planned.where(inside).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    taken = (F.col("_whole") * F.col("size") + F.col("_more")).cast("long")
-    return plain.unionByName(ordered).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in more])
+    planned = (rows if more else sized).join(plan.withColumnRenamed("source", "planned"), F.col("source").eqNullSafe(F.col("planned")))
+    place, end = F.struct("hash", "size"), F.struct(F.col("end_hash").alias("hash"), F.col("end_size").alias("size"))
+    once_more = F.when(F.col("end_hash").isNull(), 0).when(place < end, F.col("size")).when(place == end, F.col("end_more")).otherwise(0)
+    taken = (F.col("whole") * F.col("size") + once_more).cast("long")
+    return planned.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in more])
 
 
 def repetitions(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """mixed(..., text, size, taken) -> a row for each repetition that the mix takes; a fraction of a document has its first words."""
+    """mixed(..., text, size, taken) -> a row for each repetition that the mix takes; a fraction of a document has its first words, with the white space between them."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
-    words = F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), part, F.lit("}"))
-    first = F.call_function("regexp_extract", F.col(text_col), words, F.lit(0))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    first = F.array_join(F.slice(pieces, F.lit(1), part), "")
     texts = F.concat(F.array_repeat(F.col(text_col), whole), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     return mixed.withColumn("_texts", texts).withColumn(text_col, F.explode("_texts")).drop("_texts")
 
