@@ -54,8 +54,9 @@ def average_rank(by: str, value: str) -> Column:
 def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, n, rho); null with fewer than two rows or a constant side."""
     ranked = rows.select(by, average_rank(by, a).alias("ra"), average_rank(by, b).alias("rb"))
-    fine = (F.count("*") >= 2) & (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(fine, F.corr("ra", "rb")).alias("rho"))
+    # not corr(): it divides by zero on a constant side
+    rho = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
+    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, rho).alias("rho"))
 
 
 def era_auc(rows: DataFrame, by: str, cutoff: int) -> DataFrame:
@@ -63,7 +64,7 @@ def era_auc(rows: DataFrame, by: str, cutoff: int) -> DataFrame:
     ranked = rows.select(by, (F.col("yr") >= cutoff).alias("new"), average_rank(by, "score").alias("r"))
     n1, n0 = F.count_if("new"), F.count_if(~F.col("new"))
     u = F.sum(F.when(F.col("new"), F.col("r") + 1)) - n1 * (n1 + 1) / 2
-    return ranked.groupBy(by).agg(F.when((n1 > 0) & (n0 > 0), u / (n1 * n0)).alias("auc"))
+    return ranked.groupBy(by).agg(F.try_divide(u, n1 * n0).alias("auc"))
 
 
 def calibrate(scored: DataFrame, precision: float, support: int) -> DataFrame:

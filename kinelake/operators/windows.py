@@ -13,7 +13,7 @@ def window_starts(a: Column, b: Column, length: int, n_eval: int, stride_frac: f
     m = F.least(F.lit(margin), F.floor(F.greatest(F.lit(0), b - a - length) / 2).cast("int")) if margin else F.lit(0)
     first, span = a + m, b - a - 2 * m - length
     k = F.greatest(F.lit(1), F.least(F.lit(n_eval), F.floor(span / stride).cast("int") + 1))
-    even = F.transform(F.sequence(F.lit(0), k - 1), lambda i: first + F.rint(i * (span / (k - 1))).cast("int"))
+    even = F.transform(F.sequence(F.lit(0), k - 1), lambda i: first + F.rint(i * (span / F.greatest(k - 1, F.lit(1)))).cast("int"))
     return F.when((span <= 0) | (k == 1), F.array(first)).otherwise(even)
 
 
@@ -27,7 +27,7 @@ def capped(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> Data
     """At most cap rows per key, evenly thinned in the given order (places rint(i * (n - 1) / (cap - 1)))."""
     per = W.partitionBy(*keys)
     numbered = rows.select("*", (F.row_number().over(per.orderBy(*order)) - 1).alias("_at"), F.count("*").over(per).alias("_n"))
-    near = F.rint(F.col("_at") * (cap - 1) / (F.col("_n") - 1))
+    near = F.rint(F.col("_at") * (cap - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     # the place that the nearest step rounds to, and its neighbours: enough to invert the rounding
     hit = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i <= cap - 1) & (F.rint(i * (F.col("_n") - 1) / (cap - 1)) == F.col("_at")))
     return numbered.where((F.col("_n") <= cap) | hit).drop("_at", "_n")
@@ -35,7 +35,7 @@ def capped(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> Data
 
 def mirror_index(i: Column, n: Column) -> Column:
     """Index reflected at both ends without repeating them."""
-    period = 2 * (n - 1)
+    period = F.greatest(2 * (n - 1), F.lit(1))
     r = F.pmod(i, period)
     return F.when(n == 1, F.lit(0)).otherwise(F.least(r, period - r)).cast("int")
 

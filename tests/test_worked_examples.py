@@ -93,7 +93,8 @@ def test_components_of_a_long_chain(spark):
 
 def test_rank_statistics(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0), ("b", 1, 6.0)], "g string, yr int, score double")
-    assert {r.g: r.rho for r in evaluate.spearman(rows, "g", "yr", "score").collect()} == {"a": 1.0, "b": None}
+    rho = {r.g: r.rho for r in evaluate.spearman(rows, "g", "yr", "score").collect()}
+    assert math.isclose(rho["a"], 1.0) and rho["b"] is None
     assert {r.g: r.auc for r in evaluate.era_auc(rows, "g", 2).collect()} == {"a": 1.0, "b": None}
 
 
