@@ -33,6 +33,8 @@ PATTERNS = {
 #: Score in percent before and after a confirming context word within CONTEXT code points before the span.
 SCORES = {"email": (80, 95), "ip": (55, 80), "card": (75, 95), "phone": (50, 80), "iban": (75, 95), "ssn": (35, 70)}
 CONTEXT, THRESHOLD = 48, 50
+#: Matches are placed in blocks of this size: one growing array would be copied for each of a text's matches.
+BLOCK = 256
 WORDS = {
     "email": r"mail|contact|correo|courriel|kontakt",
     "ip": r"\bip\b|address|server|host|login",
@@ -87,30 +89,36 @@ HINTS: dict[str, Callable[[Column], Column]] = {
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """array<SPAN> of one kind in a non-null text: lengths of what lies between the matches give their places."""
+    """array<SPAN> of one kind in a non-null text: lengths of what lies between the matches give their places, its end their context."""
     pattern, no = PATTERNS[kind], KINDS.index(kind)
     none = F.lit(None).cast(f"array<{SPAN}>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, hit: string>>").alias("out"))
-
+    low, high = SCORES[kind]
+    hits = "array<struct<start: int, end: int, score: int>>"
     def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["between"])
         end = start + F.length(x["hit"])
-        kept = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))))
-        return F.struct(end.alias("at"), F.when(CHECKS[kind](x["hit"]), kept).otherwise(acc["out"]).alias("out"))
-
-    pairs = F.zip_with(between, found, lambda b, m: F.struct(b.alias("between"), m.alias("hit")))
-    placed = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), state, place)["out"]
-    low, high = SCORES[kind]
-
-    def scored(s: Column) -> Column:
-        start = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.lower(F.substring(text, start + 1, s["start"] - start))
-        score = F.when(near.rlike(WORDS[kind]), F.lit(high)).otherwise(F.lit(low))
-        return F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
-
-    spans = F.transform(placed, scored)
+        near = F.right(F.concat(acc["near"], x["between"]), F.lit(CONTEXT))
+        score = F.when(F.lower(near).rlike(WORDS[kind]), F.lit(high)).otherwise(F.lit(low))
+        kept = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), score.alias("score"))))
+        out = F.when(CHECKS[kind](x["hit"]), kept).otherwise(acc["out"])
+        return F.struct(end.alias("at"), F.right(F.concat(near, x["hit"]), F.lit(CONTEXT)).alias("near"), out.alias("out"))
+
+    def place_block(pairs: Column) -> Callable[[Column, Column], Column]:
+        def step(acc: Column, i: Column) -> Column:
+            inner = F.struct(acc["at"].alias("at"), acc["near"].alias("near"), F.array().cast(hits).alias("out"))
+            # bound once as the one element of an array, so the block is not placed again for each field
+            done = F.transform(F.array(F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), inner, place)), lambda d: F.struct(d["at"].alias("at"), d["near"].alias("near"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+            return done[0]
+
+        return step
+
+    pairs = F.filter(F.zip_with(between, found, lambda b, m: F.struct(b.alias("between"), m.alias("hit"))), lambda x: x["hit"].isNotNull())
+    outer = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(f"array<{hits}>").alias("out"))
+    blocks = lambda p: F.sequence(F.lit(0), F.floor(F.size(p) / BLOCK).cast("int"))
+    placed = F.transform(F.array(pairs), lambda p: F.flatten(F.aggregate(blocks(p), outer, place_block(p))["out"]))[0]
+    spans = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["score"].alias("score")))
     if no >= BASE:
         spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
     hint = HINTS.get(kind, lambda t: t.rlike("[0-9]"))(text)
