@@ -6,8 +6,8 @@ substrings (their key), so keys route the work, and a string can repeat only if
 1. each shard sends its distinct keys (48 bits of each) to key buckets;
 2. a bucket sends back the keys that occur in several documents: in one shard, or across shards;
 3. a shard builds a suffix array over what such keys' strings cover (Larsson-Sadakane refinement in numpy, from 8 bytes
-   on by doubling, settled suffixes left out), takes common prefixes in text order (Kasai's arrangement, all positions at a
-   time and only as far as LENGTH), and finds each string's smallest document in the shard; the strings it has first are cut
+   on by doubling, settled suffixes left out), takes Kasai's common prefixes in text order (stretches of the text side by
+   side, only as far as LENGTH), and finds each string's smallest document in the shard; the strings it has first are cut
    into pieces of one key and sent to the key's bucket if the key occurs across shards;
 4. a bucket takes equal pieces together; keys with several distinct pieces get suffix arrays, of bounded size each, which
    are merged by binary search of one's strings in the other; what a smaller document also has goes back to the shard;
@@ -36,6 +36,8 @@ from kinelake.runtime import ship
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, on average, and of distinct pieces in one suffix array of a bucket.
 SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20
+#: Positions that one lane of the common prefixes goes through.
+STRETCH = 64
 NO_ID = np.iinfo(np.int64).max
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,6 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE_STEPS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 _BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A)
 
 
@@ -75,7 +78,7 @@ def window_keys(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text in the order of their next ``depth`` bytes at least (0 beyond the end)."""
+    """Positions of text in the order of their next ``sorted_depth(depth)`` bytes (0 beyond the end), then of the positions."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
@@ -103,9 +106,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         keep = ~heads
         keep[:-1] |= ~heads[1:]
         at, h = at[keep], 2 * h
+    rows = order[at]
+    order[at] = rows[np.argsort(rank[rows] << 32 | rows)]
     return order
 
 
+def sorted_depth(depth: int) -> int:
+    """Bytes that doubling from 8 on compares to reach depth."""
+    return 8 << max(0, -(-depth // 8) - 1).bit_length()
+
+
 def _words(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from every position on, as one number that orders like them."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -119,15 +129,38 @@ def _words(text: np.ndarray) -> np.ndarray:
 _OFFSETS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
 
-def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the common prefix of the suffixes at a and b has LENGTH bytes."""
-    same = np.ones(len(a), bool)
-    left = np.arange(len(a))
-    for off in reversed(_OFFSETS):
-        left = left[words[a[left] + off] == words[b[left] + off]]
-    same[:] = False
-    same[left] = True
-    return same
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Kasai's common prefixes, up to depth, of the suffixes in order, each with the one before it (0 for the first).
+
+    Positions are taken in text order, where a prefix is at most one byte shorter than the one of the position before;
+    stretches of the text go side by side, each from 0 on, and a step compares 8 bytes at a time. The order is one of
+    ``deep`` bytes, then of positions: what it says of two suffixes it says of their next ones too, unless they agree in
+    deep bytes exactly or reach the end; there the prefix starts from 0 again.
+    """
+    n, deep = len(text), sorted_depth(depth)
+    words = _words(text)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    length = np.zeros(n, np.int32)
+    step = max(1, min(STRETCH, n >> 10))
+    start = np.arange(0, n, step)
+    h = np.zeros(len(start), np.int64)  # at least as long as the prefix is
+    for inside in range(step):
+        i = start + inside
+        if i[-1] >= n:
+            start, h, i = start[:-1], h[:-1], i[:-1]
+        j = before[i]
+        most = np.where(j >= 0, np.minimum(deep + 1, n - np.maximum(i, j)), 0)
+        h = np.minimum(h, most)
+        lanes = np.flatnonzero(h < most)
+        while len(lanes):
+            at = h[lanes]
+            equal = 8 - np.searchsorted(_BYTE_STEPS, words[i[lanes] + at] ^ words[j[lanes] + at], side="right")
+            h[lanes] = np.minimum(at + equal, most[lanes])
+            lanes = lanes[(equal == 8) & (h[lanes] < most[lanes])]
+        length[i] = np.minimum(h, depth)
+        h = np.where((h == deep) | (most <= deep), 0, np.maximum(h - 1, 0))
+    return length[order]
 
 
 class Shard:
@@ -138,10 +171,13 @@ class Shard:
         chosen = np.full(len(text), -1, np.int64)
         chosen[starts] = np.arange(len(starts))
         order = suffix_array(text, LENGTH)
-        order = order[chosen[order] >= 0]
+        # strings stay together as long as no common prefix between them falls short
+        string = np.cumsum(common_prefixes(text, order, LENGTH) < LENGTH)
+        mine = chosen[order] >= 0
+        order, string = order[mine], string[mine]
         self.at = order
         heads = np.ones(len(order), bool)
-        heads[1:] = ~_same(self.words, order[1:], order[:-1])
+        heads[1:] = string[1:] != string[:-1]
         self.first = np.flatnonzero(heads)
         self.group = np.empty(len(starts), np.int64)  # of each start
         self.group[chosen[order]] = np.cumsum(heads) - 1
