@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_chat_tree": chat_tree.ORACLE, "op5_mixing": mixing.ORACLE, "op7_mtree": mtree.ORACLE}
+    sql = {"op2_chat_tree": chat_tree.ORACLE, "op4_pii": pii.ORACLE, "op5_mixing": mixing.ORACLE, "op7_mtree": mtree.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql

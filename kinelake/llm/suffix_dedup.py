@@ -501,3 +501,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string by itself, as hexadecimal digits; ids are taken to be unique.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS pos, h FROM d),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS string FROM s),
+g AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY string) < doc_id AS gone FROM w),
+a AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, true) AS fresh FROM g WHERE gone),
+r AS (SELECT doc_id, pos, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM a),
+p AS (SELECT doc_id, min(pos) AS first, max(pos) + 50 AS last FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS since FROM p),
+c AS (SELECT doc_id, CAST(sum(last - first) AS BIGINT) AS n_removed, count(*) AS n_spans, max(last) AS rest,
+             string_agg(substr(h, 2 * since + 1, 2 * (first - since)), '' ORDER BY first) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
