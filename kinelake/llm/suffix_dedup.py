@@ -66,8 +66,15 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return _mix(h[16][: len(text) - GRAM + 1] * _power(4) + h[4][16:])
 
 
-def window_keys(text: np.ndarray) -> np.ndarray:
-    """The smallest gram hash of every string of LENGTH bytes of text."""
+def window_keys(text: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The smallest gram hash of every string of LENGTH bytes of text; blocks of them stay in a processor's cache."""
+    keys = np.empty(len(text) - LENGTH + 1, np.uint64)
+    for a in range(0, len(keys), block):
+        keys[a : a + block] = _block_keys(text[a : a + block + LENGTH - 1])
+    return keys
+
+
+def _block_keys(text: np.ndarray) -> np.ndarray:
     m, width, want = gram_hashes(text), 1, LENGTH - GRAM + 1
     while 2 * width <= want:
         m = np.minimum(m[:-width], m[width:])
@@ -77,13 +84,16 @@ def window_keys(text: np.ndarray) -> np.ndarray:
     return m
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text in the order of their next ``sorted_depth(depth)`` bytes (0 beyond the end), then of the positions."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key |= padded[i : n + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on, as one number that orders like them (0 beyond the end)."""
+    padded = np.concatenate([text, np.zeros(9, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel()[: len(text) + 1].astype(np.uint64)
+
+
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of a text with these words in the order of their next ``sorted_depth(depth)`` bytes (0 beyond the end), then of the positions."""
+    n = len(words) - 1
+    key = words[:n]
     order = np.argsort(key)
     ranked = key[order]
     heads = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -116,20 +126,11 @@ def sorted_depth(depth: int) -> int:
     return 8 << max(0, -(-depth // 8) - 1).bit_length()
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes from every position on, as one number that orders like them."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(len(text) + 1, np.uint64)
-    for i in range(8):
-        out[: len(text)] |= padded[i : len(text) + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-    return out
-
-
 #: Offsets of the words that cover LENGTH bytes; the last overlaps the one before it.
 _OFFSETS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Kasai's common prefixes, up to depth, of the suffixes in order, each with the one before it (0 for the first).
 
     Positions are taken in text order, where a prefix is at most one byte shorter than the one of the position before;
@@ -137,8 +138,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     ``deep`` bytes, then of positions: what it says of two suffixes it says of their next ones too, unless they agree in
     deep bytes exactly or reach the end; there the prefix starts from 0 again.
     """
-    n, deep = len(text), sorted_depth(depth)
-    words = _words(text)
+    n, deep = len(words) - 1, sorted_depth(depth)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     length = np.zeros(n, np.int32)
@@ -170,9 +170,9 @@ class Shard:
         self.words = _words(text)
         chosen = np.full(len(text), -1, np.int64)
         chosen[starts] = np.arange(len(starts))
-        order = suffix_array(text, LENGTH)
+        order = suffix_array(self.words, LENGTH)
         # strings stay together as long as no common prefix between them falls short
-        string = np.cumsum(common_prefixes(text, order, LENGTH) < LENGTH)
+        string = np.cumsum(common_prefixes(self.words, order, LENGTH) < LENGTH)
         mine = chosen[order] >= 0
         order, string = order[mine], string[mine]
         self.at = order
