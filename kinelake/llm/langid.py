@@ -4,7 +4,8 @@ Features are counts of character trigrams of the lower-cased text, everything bu
 and taken to square root and unit length. The family has the highest margin of one-versus-rest machines; within it every
 pair of languages has a machine, and votes decide (ties: the larger sum of margins, then the name). All machines are
 trained here, by dual coordinate descent on a sample of at most about PER_LANGUAGE rows of each of the MAX_LANGUAGES most
-frequent languages; the rows are those with the smallest hashes, so the sample is the same in every run.
+frequent languages; the rows are those whose ids have the smallest hashes, one for each id (the smallest text), so the
+sample is the same in every run.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when there is nothing to learn
 from; a null id is never held out nor learned from; languages without a family are a family of their own; rows keep their
@@ -131,7 +132,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
     ring = 1 << 30
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, int(ring * min(1.0, per_language / r["count"])))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(ring)) < bound[F.col("lang")])
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(ring)) < bound[F.col("lang")])
+    # an id counts once for a language, so that one with a third of all rows can't fill the driver
+    sample = chosen.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

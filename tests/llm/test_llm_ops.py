@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -219,3 +220,12 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:3]:
         kept = stage(spark, kept, SF)
     assert kept.where("text LIKE 'same text%'").count() == 1
+
+
+def test_language_sample_takes_a_repeated_id_once(spark, monkeypatch):
+    kept = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame([(kept, f"the {i} words of a text", "en") for i in range(300)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append((len(x), langs)))
+    langid.train(docs)
+    assert seen == [(1, ["en"])]
