@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.llm import bpe, langid, mixing, pii, simhash
+from kinelake.llm import bpe, langid, mixing, near_copies, pii
 from kinelake.runtime import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,12 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id (one without an id only if none has one)."""
+    """One document of each component of texts with a five-word similarity of 0.8 or more stays: that with the smallest id (one without an id only if none has one)."""
     own = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.coalesce("doc_id", own))
-    chosen = simhash.near_duplicates(keyed, id_col="_key").select(F.col("component_id").alias("_key")).distinct()
-    one = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*COLUMNS)))
-    return keyed.join(chosen, "_key", "left_semi").withColumn("_one", one).where("_one = 1").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("node"), F.coalesce("doc_id", own).alias("_key"))
+    one = cut(keyed.groupBy("node").agg(F.min("text").alias("text"), F.min("_key").alias("_key")))
+    named = one.select("node", "_key").join(near_copies.components(one), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("_key").alias("_key"))
+    first = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*COLUMNS)))
+    return keyed.join(named.select("_key").distinct(), "_key", "left_semi").withColumn("_one", first).where("_one = 1").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
