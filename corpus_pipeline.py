@@ -8,7 +8,6 @@ other; repeated rows are exact copies and fall to the second; an empty table sta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.llm import bpe, langid, mixing, near_copies, pii
@@ -28,12 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a five-word similarity of 0.8 or more stays: that with the smallest id (one without an id only if none has one)."""
-    own = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("node"), F.coalesce("doc_id", own).alias("_key"))
-    one = cut(keyed.groupBy("node").agg(F.min("text").alias("text"), F.min("_key").alias("_key")))
-    named = one.select("node", "_key").join(near_copies.components(one), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("_key").alias("_key"))
-    first = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*COLUMNS)))
-    return keyed.join(named.select("_key").distinct(), "_key", "left_semi").withColumn("_one", first).where("_one = 1").select(*COLUMNS)
+    row = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "lang", "source", "n_chars", "text")
+    one = cut(docs.select(*COLUMNS, F.xxhash64("text").alias("node")).groupBy("node").agg(F.min(row).alias("_row")).select("node", "_row.*"))
+    tied = cut(near_copies.components(one))
+    first = F.min(F.struct("_none", "doc_id", "node"))
+    stays = one.select("node", "_none", "doc_id").join(tied, "node").groupBy("component").agg(first.alias("_first")).select("_first.node")
+    goes = tied.select("node").join(stays, "node", "left_anti")
+    return one.join(goes, "node", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_stage_drops_edited_copies(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(_brute(texts)))
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_that_share_an_id_stay_unless_their_texts_are_alike(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=50)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (1, texts[4]), (3, texts[5]), (3, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (1, texts[4]), (3, texts[5])}
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 6
