@@ -146,22 +146,22 @@ def lowpass(long: DataFrame, fps: float = 25.0, cutoff: float = 6.0) -> DataFram
     return long.select("run", "j", "t", smooth("x").alias("x"), smooth("y").alias("y"), "conf")
 
 
-def nearest_fill(rows: DataFrame, value: str) -> DataFrame:
+def nearest_fill(rows: DataFrame, value: str, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """``value`` where null taken from the nearest frame that has one, the earlier of two equally near."""
-    back, ahead = W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("run").orderBy("t").rowsBetween(0, W.unboundedFollowing)
+    back, ahead = W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by).orderBy("t").rowsBetween(0, W.unboundedFollowing)
     at = F.when(F.col(value).isNotNull(), F.col("t"))
     b, a = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
     vb, va = F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)
     return rows.withColumn("filled", F.when(b.isNull(), va).when(a.isNull(), vb).when(F.col("t") - b <= a - F.col("t"), vb).otherwise(va))
 
 
-def moving_average(rows: DataFrame, value: str, window: int) -> Column:
+def moving_average(rows: DataFrame, value: str, window: int, by: tuple[str, ...] = ("run",)) -> Column:
     """Centred mean over an odd window with repeated ends: what lies beyond an end counts as that end."""
     half = window // 2
-    w, whole = W.partitionBy("run").orderBy("t"), W.partitionBy("run").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    w, whole = W.partitionBy(*by).orderBy("t"), W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     inside = w.rowsBetween(-half, half)
     first, last = F.first(value).over(whole), F.last(value).over(whole)
-    n = F.count("*").over(W.partitionBy("run"))
+    n = F.count("*").over(W.partitionBy(*by))
     before, after = F.greatest(F.lit(0), half - F.col("t")), F.greatest(F.lit(0), F.col("t") + half - (n - 1))
     return (F.sum(value).over(inside) + before * first + after * last) / window
 

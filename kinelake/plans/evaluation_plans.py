@@ -181,18 +181,32 @@ def motion_basic(spark, d):
     return m.speed_features(track).select("run", "n", *_r("path", "cv", "skew", "pause", "turn", "height"))
 
 
+def _wrists(spark, d):
+    """Both wrists' frames, ``track`` naming run and joint."""
+    return long_frames(v.v_frames(spark, d)).where("j IN (9, 10)").withColumn("track", F.col("run").cast("long") * 32 + F.col("j"))
+
+
+def _by_wrist(features):
+    return features.select(F.shiftright("track", 5).cast("int").alias("run"), (F.col("track") % 32).cast("int").alias("j"), *[c for c in features.columns if c != "track"])
+
+
+def motion_basic_wrists(spark, d):
+    found = _by_wrist(m.speed_features(_wrists(spark, d), "track"))
+    return found.select("run", "j", "n", *_r("path", "cv", "skew", "pause", "turn", "height"))
+
+
 def motion_spectral(spark, d):
     ship(spark)
-    return m.spectral_features(long_frames(v.v_frames(spark, d)).where("j = 9").select("run", "t", "y"))
+    return _by_wrist(m.spectral_features(_wrists(spark, d).select("track", "t", "y"), "track"))
 
 
 def minirocket_ppv(spark, d):
     ship(spark)
-    track = long_frames(v.v_frames(spark, d)).where("j = 9").select("run", "t", "y")
-    return m.ppv_features(track, m.fit_biases(track, [1, 2, 4]))
+    track = _wrists(spark, d).select("track", "t", "y")
+    return _by_wrist(m.ppv_features(track, m.fit_biases(track, [1, 2, 4], by="track"), "track"))
 
 
-QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, stratified_folds, pooled_embeddings, motion_basic, motion_spectral, minirocket_ppv)}
+QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, stratified_folds, pooled_embeddings, motion_basic, motion_basic_wrists, motion_spectral, minirocket_ppv)}
 
 _U = duck("v_faces") + """, u AS (SELECT conductor, video_id, vec_id, list_transform(emb, lambda x: x / greatest(sqrt(list_sum(list_transform(emb, lambda z: z * z))), 1e-9)) AS u FROM v_faces),
 k AS (SELECT CAST(range AS INTEGER) AS k FROM range(64)),
@@ -256,3 +270,5 @@ SELECT run, count(s) AS n, round(coalesce(sum(s), 0), 6) AS path, round(stddev_p
 round(CASE WHEN max(mid) < 1e-8 THEN 1 ELSE avg(CASE WHEN s < 0.2 * mid THEN 1.0::DOUBLE WHEN s IS NOT NULL THEN 0 END) END, 6) AS pause,
 round(coalesce(avg(CASE WHEN s > 0.25 * mean AND ps > 0.25 * mean THEN atan2(abs(pdx * dy - pdy * dx), pdx * dx + pdy * dy) END), 0), 6) AS turn, round(avg(y), 6) AS height FROM s2 GROUP BY run""",
 }
+#: motion_basic keeps the joint that its SQL names; this is the same for both wrists.
+ORACLES["motion_basic_wrists"] = ORACLES["motion_basic"].replace("WHERE j = 9", "WHERE j IN (9, 10)").replace("SELECT run, t, y", "SELECT run, j, t, y").replace("SELECT run, count(s)", "SELECT run, j, count(s)").replace("PARTITION BY run", "PARTITION BY run, j").replace("GROUP BY run", "GROUP BY run, j")

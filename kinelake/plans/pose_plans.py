@@ -111,7 +111,29 @@ def strip_frames(spark, d):
     return s.select("run", "seg_idx", F.array_join(w.strip_indices(n, 8).cast("array<string>"), ",").alias("at"), F.round(F.element_at(w.sample_times(n / 25.0, 5), 3), 6).alias("mid"))
 
 
-QUERIES = {f.__name__: f for f in (shoulder_norm, bone_lengths, canonical_bones, fore_factors, bone_normalize, resample_25, lowpass, nearest_fill, moving_average, channels, pair_channels, graph_edges, graph_adjacency, body_aligned, elbow_angle, window_starts, window_spans, eval_windows_capped, rescale_segments, mirror_crop, strip_frames)}
+def resample_25_all(spark, d):
+    return p.resample(p.long_frames(v.v_frames(spark, d)), 29.97).select("run", "j", "t", *_r("x", "y", "conf"))
+
+
+def lowpass_all(spark, d):
+    return p.lowpass(p.long_frames(v.v_frames(spark, d))).select("run", "j", "t", *_r("x", "y"))
+
+
+def nearest_fill_all(spark, d):
+    every = p.long_frames(v.v_frames(spark, d)).select("run", "j", "t", F.when(F.col("conf") >= 0.3, F.col("x")).alias("x"))
+    return p.nearest_fill(every, "x", ("run", "j")).select("run", "j", "t", "filled")
+
+
+def moving_average_all(spark, d):
+    every = p.long_frames(v.v_frames(spark, d)).select("run", "j", "t", "x")
+    return every.select("run", "j", "t", F.round(p.moving_average(every, "x", 15, ("run", "j")), 6).alias("x"))
+
+
+def body_aligned_all(spark, d):
+    return p.long_frames(p.aligned(v.v_frames(spark, d))).select("run", "t", "j", *_r("x", "y"))
+
+
+QUERIES = {f.__name__: f for f in (shoulder_norm, bone_lengths, canonical_bones, fore_factors, bone_normalize, resample_25, lowpass, nearest_fill, moving_average, channels, pair_channels, graph_edges, graph_adjacency, body_aligned, elbow_angle, window_starts, window_spans, eval_windows_capped, rescale_segments, mirror_crop, strip_frames, resample_25_all, lowpass_all, nearest_fill_all, moving_average_all, body_aligned_all)}
 
 _W = duck("v_frames") + ", wd AS (SELECT run, t, " + ", ".join(f"max({f}) FILTER (j = {j}) AS {f}{j}" for j in (0, 5, 6, 7, 8, 9, 10, 11, 12) for f in ("x", "y", "conf")) + " FROM v_frames GROUP BY run, t)"
 
@@ -169,3 +191,13 @@ SELECT rec, run, seg_idx, start FROM o WHERE n <= 40 OR EXISTS (SELECT 1 FROM ra
     "mirror_crop": duck("v_segments") + " SELECT run, seg_idx, CAST(CASE WHEN b - a = 1 THEN 0 ELSE least((b - a + 3) % (2 * (b - a - 1)), 2 * (b - a - 1) - (b - a + 3) % (2 * (b - a - 1))) END AS INTEGER) AS i FROM v_segments WHERE b - a < 75",
     "strip_frames": duck("v_segments") + ", n AS (SELECT run, seg_idx, b - a AS n FROM v_segments) SELECT run, seg_idx, array_to_string(list_sort(list_distinct(list_transform(range(8), lambda i: least(CAST(floor((i + 0.5::DOUBLE) / 8 * n) AS INTEGER), n - 1)))), ',') AS at, round(2.5::DOUBLE * (n / 25.0::DOUBLE) / 5, 6) AS mid FROM n",
 }
+#: The same methods over every joint; the queries above keep the joints that their SQL names.
+ORACLES |= {
+    "resample_25_all": ORACLES["resample_25"].replace(" AND f.j IN (5, 9)", ""),
+    "lowpass_all": ORACLES["lowpass"].replace(" WHERE j = 9", ""),
+    "nearest_fill_all": duck("v_frames") + """, a AS (SELECT run, j, t, CASE WHEN conf >= 0.3 THEN x END AS x FROM v_frames)
+SELECT a.run, a.j, a.t, (SELECT b.x FROM a b WHERE b.run = a.run AND b.j = a.j AND b.x IS NOT NULL ORDER BY abs(b.t - a.t), b.t LIMIT 1) AS filled FROM a""",
+    "moving_average_all": duck("v_frames") + """, a AS (SELECT run, j, t, x, max(t) OVER (PARTITION BY run, j) AS last FROM v_frames)
+SELECT a.run, a.j, a.t, round(sum(b.x) / 15, 6) AS x FROM a, (SELECT CAST(range AS INTEGER) - 7 AS k FROM range(15)) o JOIN a b ON b.run = a.run AND b.j = a.j AND b.t = greatest(0, least(a.last, a.t + k)) GROUP BY a.run, a.j, a.t""",
+    "body_aligned_all": ORACLES["body_aligned"].replace(" WHERE j IN (5, 6, 9, 10)", ""),
+}
