@@ -70,13 +70,21 @@ def local_hands(spark, d):
     return rows.select("run", "t", "j", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-def padded_steps(spark, d):
-    rows = v.v_signal(spark, d).where("t < 40").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("t", F.col("flag").cast("double").alias("x")))).alias("s"))
+def _padded(signal):
+    rows = signal.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("t", F.col("flag").cast("double").alias("x")))).alias("s"))
     x = F.transform("s", lambda p: p["x"])
     steps = F.transform(x, lambda a, i: F.coalesce(F.get(x, i + 1) - a, F.lit(0.0)))
     return rows.select("run", b.padded(steps, 32, 1.0).alias("p")).select("run", F.posexplode(F.arrays_zip("p.values", "p.mask")).alias("i", "p")).select("run", "i", F.col("p.values").alias("value"), F.col("p.mask").alias("mask"))
 
 
+def padded_steps(spark, d):
+    return _padded(v.v_signal(spark, d).where("t < 40"))
+
+
+def padded_steps_all(spark, d):
+    return _padded(v.v_signal(spark, d))
+
+
 def _hits(spark, d):
     w = v.v_votes(spark, d)
     return w.select((F.col("run") % 5).alias("fold"), F.when(F.col("y") == 9, -1).otherwise(F.col("y")).alias("y"), (e.argmax(F.col("w")) == F.col("y")).alias("hit"), (F.col("win") % 3 == 0).alias("is_pad"))
@@ -90,7 +98,7 @@ def fold_accuracy(spark, d):
     return b.fold_accuracy(_hits(spark, d)).select("folds", F.round("mean_acc", 6).alias("mean_acc"), F.round("pooled_acc", 6).alias("pooled_acc"))
 
 
-QUERIES = {f.__name__: f for f in (meta_merge, year_tab, year_edits, year_edit_errors, review_board, pacing_waits, local_hands, padded_steps, padded_tallies, fold_accuracy)}
+QUERIES = {f.__name__: f for f in (meta_merge, year_tab, year_edits, year_edit_errors, review_board, pacing_waits, local_hands, padded_steps, padded_steps_all, padded_tallies, fold_accuracy)}
 
 _M = "m AS (SELECT p_partkey AS ordinal, p_brand AS conductor, 'v' || (p_partkey % 700) AS video_id, p_name AS title, CAST(p_partkey % 90 + 1930 AS VARCHAR) AS year_title, ['', ' ', '1985', '1980s'][p_partkey % 4 + 1] AS year_manual FROM part)"
 _E = """e AS (SELECT 'v' || (s_suppkey * 13) AS video_id, CASE s_suppkey % 3 WHEN 0 THEN CAST(s_suppkey % 200 + 1850 AS VARCHAR) WHEN 1 THEN (s_suppkey % 10) || '0s' ELSE 'soon' END AS value FROM supplier),
@@ -112,3 +120,5 @@ ORACLES = {
     "padded_tallies": f"{_H} SELECT y, count(*) FILTER (is_pad) AS pad_n, count(*) FILTER (is_pad AND hit) AS pad_ok, count(*) FILTER (NOT is_pad) AS unpad_n, count(*) FILTER (NOT is_pad AND hit) AS unpad_ok FROM h GROUP BY y",
     "fold_accuracy": f"{_H}, f AS (SELECT fold, count(*) FILTER (hit) AS ok, count(*) AS n FROM h GROUP BY 1) SELECT count(*) AS folds, round(avg(ok::DOUBLE / n), 6) AS mean_acc, round(sum(ok)::DOUBLE / sum(n)::DOUBLE, 6) AS pooled_acc FROM f",
 }
+#: padded_steps keeps the steps that its SQL names; this is the same for every step.
+ORACLES["padded_steps_all"] = ORACLES["padded_steps"].replace(" WHERE t < 40", "")

@@ -25,3 +25,10 @@ def test_resample_has_every_joint(spark):
 def test_both_wrists_of_every_run(spark, name):
     want = {(r.run, j) for r in v.v_frames(spark, SF).select("run").distinct().collect() for j in (9, 10)}
     assert sorted((r.run, r.j) for r in Q[name](spark, SF).select("run", "j").collect()) == sorted(want)
+
+
+def test_every_step_is_padded_or_kept(spark):
+    signal = v.v_signal(spark, SF)
+    got = Q["padded_steps_all"](spark, SF)
+    assert got.where("mask = 1").count() == signal.count()
+    assert got.where("mask = 1").agg(F.max("i")).first()[0] == signal.agg(F.max("t")).first()[0] >= 40
