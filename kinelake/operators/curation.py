@@ -89,6 +89,17 @@ def review_order(rows: DataFrame) -> list[Column]:
     return [p.isNull(), F.desc_nulls_last(p), p90, F.col("run")]
 
 
+def review_positions(rows: DataFrame) -> DataFrame:
+    """rows with their ``position`` in review_order, from counts per rank of model_p and rescore_p90, not from one global window over rows."""
+    p = F.try_to_number("model_p", F.lit("9.9999"))
+    ranked = rows.withColumn("_p", F.coalesce(p, F.lit(-1).cast("decimal(5,4)"))).withColumn("_q", F.coalesce(F.col("rescore_p90"), F.lit(-1.0)))
+    sizes = ranked.groupBy("_p", "_q").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy(F.desc("_p"), "_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("_p", "_q").orderBy("run"))
+    placed = ranked.withColumn("_within", within).join(sizes.withColumn("_before", before).drop("count"), ["_p", "_q"])
+    return placed.withColumn("position", (F.col("_before") + F.col("_within")).cast("long")).drop("_p", "_q", "_within", "_before")
+
+
 def undo_pick(ledger: DataFrame) -> DataFrame:
     """The one row that an undo resets: of judged rows that didn't inherit their verdict, the latest stamp; without any stamp, the largest key."""
     judged = ledger.where("verdict <> '' AND source_verdict = ''")

@@ -59,11 +59,19 @@ def ledger_interleave(spark, d):
     return c.interleaved(v.v_ledger(spark, d, False)).select("conductor", "video_id", "run", "round", "position")
 
 
+def _pending(spark, d):
+    return v.v_ledger(spark, d, True).where("verdict = ''").select("run", F.when(F.col("run") % 3 == 0, F.format_string("%.4f", F.col("run") % 997 / 997.0)).alias("model_p"), F.when(F.col("run") % 2 == 0, F.col("run") % 89 / 89.0).alias("rescore_p90"))
+
+
 def review_queue(spark, d):
-    q = v.v_ledger(spark, d, True).where("verdict = ''").select("run", F.when(F.col("run") % 3 == 0, F.format_string("%.4f", F.col("run") % 997 / 997.0)).alias("model_p"), F.when(F.col("run") % 2 == 0, F.col("run") % 89 / 89.0).alias("rescore_p90"))
+    q = _pending(spark, d)
     return q.orderBy(*c.review_order(q)).limit(100).select("run", "model_p")
 
 
+def review_queue_all(spark, d):
+    return c.review_positions(_pending(spark, d)).select("position", "run", "model_p")
+
+
 def undo_pick(spark, d):
     return c.undo_pick(v.v_ledger(spark, d, True))
 
@@ -155,7 +163,7 @@ def crops(spark, d):
     return table(spark, d, "part").select("p_partkey", text.format_crops(text.parse_crops(raw)).alias("crops"), span["a"].alias("a"), span["z"].alias("z"))
 
 
-QUERIES = {f.__name__: f for f in (accepted_runs, ood_antijoin, segment_blacklist, footage_quality, duplicate_clusters, duplicate_drop, ledger_merge, ledger_interleave, review_queue, undo_pick, model_apply, record_verdicts, metadata_gate, failure_class, rolling_cap_wait, title_normalize, work_numbers, sessions_exact, sessions_fuzzy, merge_overrides, year_strict, year_ranked, era_bucket, year_span, video_ids, crops)}
+QUERIES = {f.__name__: f for f in (accepted_runs, ood_antijoin, segment_blacklist, footage_quality, duplicate_clusters, duplicate_drop, ledger_merge, ledger_interleave, review_queue, review_queue_all, undo_pick, model_apply, record_verdicts, metadata_gate, failure_class, rolling_cap_wait, title_normalize, work_numbers, sessions_exact, sessions_fuzzy, merge_overrides, year_strict, year_ranked, era_bucket, year_span, video_ids, crops)}
 
 _ACC = "acc AS (SELECT * FROM v_runs WHERE verdict = 'accept' OR source_verdict = 'accept')"
 _DUP = duck("v_dup_pairs") + """, e AS (SELECT conductor, vid_a AS a, vid_b AS b FROM v_dup_pairs UNION SELECT conductor, vid_b, vid_a FROM v_dup_pairs),
@@ -210,3 +218,5 @@ f AS (SELECT *, CASE WHEN a IS NULL THEN greatest(60 - z, 0) ELSE a END AS x, CA
 SELECT p_partkey, CASE WHEN q * 2 - 5 > q THEN printf('%.2f-%.2f;', q::DOUBLE, (q * 2 - 5)::DOUBLE) ELSE '' END || printf('%.2f-%.2f', (q + 10)::DOUBLE, (q + 20)::DOUBLE) AS crops,
 CAST(CASE WHEN (a IS NOT NULL OR z > 0) AND x <= y AND x < 60 THEN x END AS BIGINT) AS a, CAST(CASE WHEN (a IS NOT NULL OR z > 0) AND x <= y AND x < 60 THEN y END AS BIGINT) AS z FROM f""",
 }
+#: review_queue keeps the first rows that its SQL names; this is the whole queue with its positions.
+ORACLES["review_queue_all"] = ORACLES["review_queue"].replace("SELECT run, model_p FROM q ORDER BY", "SELECT row_number() OVER (ORDER BY").replace(" LIMIT 100", ") AS position, run, model_p FROM q")

@@ -32,3 +32,10 @@ def test_every_step_is_padded_or_kept(spark):
     got = Q["padded_steps_all"](spark, SF)
     assert got.where("mask = 1").count() == signal.count()
     assert got.where("mask = 1").agg(F.max("i")).first()[0] == signal.agg(F.max("t")).first()[0] >= 40
+
+
+def test_review_queue_has_every_pending_row(spark):
+    n = v.v_ledger(spark, SF, True).where("verdict = ''").count()
+    got = Q["review_queue_all"](spark, SF).orderBy("position").collect()
+    assert n > 100 and [r.position for r in got] == list(range(1, n + 1))
+    assert [(r.run, r.model_p) for r in got[:100]] == [tuple(r) for r in Q["review_queue"](spark, SF).collect()]
