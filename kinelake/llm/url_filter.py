@@ -20,13 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinelake.runtime import ship
+from kinelake.runtime import cut, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number are part of the plan as literals; more of them are joined on host suffixes.
 INLINE_RULES = 256
-#: Words kept for segmentation, and tokens kept by the classifier; both bound what reaches the driver.
-VOCABULARY = 50_000
+#: Longest word that segmentation knows.
 MAX_WORD = 24
 
 
@@ -131,12 +130,19 @@ def tokens_of(host: str, path: str, segment: Segmenter) -> list[str]:
     return out
 
 
-def word_counts(corpus: DataFrame, text_col: str, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of a-z over the whole corpus, markup skipped."""
+def word_counts(corpus: DataFrame, text_col: str, urls: DataFrame) -> dict[str, int]:
+    """Counts over the whole corpus, markup skipped, of the words of a-z that occur in a piece of urls(host, path); all others' sum is that of the empty word."""
     plain = F.regexp_replace(F.lower(F.col(text_col)), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = corpus.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]++"), F.lit(0))).alias("word"))
-    counts = words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n"))
-    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    counts = cut(words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n")))
+    text = F.concat_ws(" ", "host", F.lower("path"))
+    pieces = urls.select(F.explode(F.regexp_extract_all(text, F.lit(r"[a-z]++"), F.lit(0))).alias("piece")).distinct()
+    starts = pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("at"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("piece") - F.col("at") + 1))
+    parts = starts.select("piece", "at", F.explode(lengths).alias("n")).select(F.substring("piece", F.col("at"), F.col("n")).alias("word")).distinct()
+    found = {r.word: r.n for r in counts.join(parts, "word", "left_semi").collect()}
+    rest = (counts.agg(F.sum("n")).first()[0] or 0) - sum(found.values())
+    return found | ({"": rest} if rest else {})
 
 
 def _with_tokens(urls: DataFrame, counts: dict[str, int]) -> DataFrame:
@@ -152,13 +158,13 @@ def _with_tokens(urls: DataFrame, counts: dict[str, int]) -> DataFrame:
     return urls.mapInPandas(run, "block boolean, token string")
 
 
-def train_bayes(labelled: DataFrame, counts: dict[str, int], vocabulary: int = VOCABULARY) -> dict:
+def train_bayes(labelled: DataFrame, counts: dict[str, int]) -> dict:
     """Multinomial naive Bayes with add-one smoothing from all rows of labelled(host, path, block)."""
     prior = {bool(r.block): r["count"] for r in labelled.groupBy("block").count().collect()}
     tokens = _with_tokens(labelled.select("host", "path", "block"), counts).groupBy("token").agg(
         F.count_if("block").alias("bad"), F.count_if(~F.col("block")).alias("good")
     )
-    rows = tokens.orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(vocabulary).collect()
+    rows = tokens.collect()
     bad, good = sum(r.bad for r in rows) + len(rows) + 1, sum(r.good for r in rows) + len(rows) + 1
     n_bad, n_good = prior.get(True, 0), prior.get(False, 0)
     return {
@@ -203,7 +209,7 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    counts = word_counts(pages, "html")
+    counts = word_counts(pages, "html", pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
     number = F.try_to_number(F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:\D|$)", 1), F.lit("9" * 18)).cast("long")
     labelled = (
         pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), number.alias("doc_id"))
