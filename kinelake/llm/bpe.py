@@ -1,17 +1,22 @@
 """Byte-pair encoding without a merge loop: the unique last token of every prefix, by dynamic programming.
 
 In the encoding of a string the tokens of each prefix that ends at a token's end are the encoding of that prefix. So one
-pass suffices: an automaton over the reversed-suffix links of the vocabulary names all tokens that end at a position, and the one is right that
-stays apart from the last token of the prefix before it. Whether two tokens stay apart follows from their edges alone:
-replayed backwards from the two whole tokens, no pair that meets at the border may have a merge that comes before the
-merges that made either edge.
+pass suffices: an automaton names all tokens that end at a position, and the one is right that stays apart from the last
+token of the prefix before it. Whether two tokens stay apart follows from their edges alone: replayed backwards from the
+two whole tokens, no pair that meets at the border may have a merge that comes before the merges that made either edge.
 
-Texts are cut at single spaces between words, and the encoding of such a piece is kept (CACHE of them at most), so that a
-frequent word is encoded once per worker.
+The automaton's states are the prefixes of tokens, joined by suffix links: a suffix automaton of the text would find the
+same matches (all tokens that are suffixes of what was read), but would have to be built for every piece; this one is
+built once, over the vocabulary, and its size is bounded by it.
+
+Texts are cut at single spaces between words; where white space is irregular only that stretch is cut by the
+pre-tokenizer as a whole. New pieces are encoded in sorted order, so that the last tokens stored for a prefix serve all
+pieces that begin with it. The encodings of pieces and words are kept (CACHE of those used lately, as many from before).
 
 Defined results: a null text is empty and has no tokens; special tokens in a text are encoded as such (``specials=False``
-makes them ordinary text); rows keep their multiplicity; only the id and text columns are read; an empty table gives an
-empty result.
+makes them ordinary text); rows keep their multiplicity; only the id and text columns are read, so others can't clash; ids
+are cast to long (an id that is no number fails under ANSI mode and is null without it); an empty table gives an empty
+result. A text may be of any length: its words are encoded CHUNK characters at a time.
 """
 
 from __future__ import annotations
@@ -31,8 +36,12 @@ from pyspark.sql import functions as F
 from kinelake.runtime import ship
 
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose encoding one worker keeps.
-CACHE = 300_000
+#: Characters whose new words are encoded together.
+CHUNK = 1 << 20
+#: Pieces, and words, whose encodings one worker keeps as used lately; as many may be kept from before.
+CACHE = 200_000
+#: Results of pair tests and steps of the automaton that one worker keeps.
+PAIRS, STEPS = 2_000_000, 1_000_000
 NEVER = 1 << 60
 
 
@@ -98,33 +107,22 @@ def _suffix_links(go: dict[int, int], n: int) -> list[int]:
     return link
 
 
-class _Kept(dict):
-    """Encodings by piece, made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece):
-        made = self[piece] = self.make(piece)
-        return made
-
-
-class _Irregular(Exception):
-    """White space beyond single spaces between words: pieces can't be encoded one by one."""
-
-
 class Encoder:
     def __init__(self, tables: dict, specials: bool = True):
         self.t = tables
         self.find = regex.compile(PRETOKENS).findall
+        self.border = regex.compile(r"(?<=\S) (?=\S)").search
         self.special = tables["special"] if specials else {}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.whole: dict[int, bool] = {}
         self.apart: dict[int, bool] = {}
-        self.ending: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.pretokens = _Kept(lambda p: array("i", self.encode_bytes(p.encode())).tobytes())
-        self.words = _Kept(self._word)
+        self.steps: dict[int, int] = {}
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(tables["at"])
+        # of pieces and of words the encodings used lately, and those used before
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}
+        self.old_words: dict[str, bytes | None] = {}
 
     def stay_apart(self, x: int, y: int, once: bool = False) -> bool:
         """Whether tokens x, y side by side are what their joined bytes are encoded as. once: don't count the merge of x and y as wholes."""
@@ -152,77 +150,179 @@ class Encoder:
 
     def _tokens_at(self, node: int) -> tuple[tuple[int, int], ...]:
         """(token, length) of all tokens that are suffixes of the node's string, the longest first."""
-        found = self.ending.get(node)
-        if found is None:
-            out, at, n = [], self.t["at"], node
-            while n:
-                if at[n] >= 0:
-                    out.append((at[n], len(self.t["token"][at[n]])))
-                n = self.t["links"][n]
-            found = self.ending[node] = tuple(out)
+        out, at, n = [], self.t["at"], node
+        while n:
+            if at[n] >= 0:
+                out.append((at[n], len(self.t["token"][at[n]])))
+            n = self.t["links"][n]
+        found = self.ending[node] = tuple(out)
         return found
 
+    def _step(self, key: int) -> int:
+        """The node of the longest suffix of a node's string and a byte (key: node << 8 | byte) that is a node."""
+        go, links = self.t["go"], self.t["links"]
+        node, byte = key >> 8, key & 255
+        while node and (node << 8 | byte) not in go:
+            node = links[node]
+        if len(self.steps) > STEPS:
+            self.steps.clear()
+        found = self.steps[key] = go.get(node << 8 | byte, 0)
+        return found
+
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each of the pre-tokens, which come in order: what is stored of a prefix holds for the next one that begins with it."""
+        size, apart, steps, ending = self.t["size"], self.apart, self.steps, self.ending
+        last, back, nodes, before = [-1], [0], [0], b""
+        for data in pieces:
+            end = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                end += 1
+            before = data
+            del last[end + 1 :], back[end + 1 :], nodes[end + 1 :]
+            node = nodes[end]
+            for byte in data[end:] if end else data:
+                end += 1
+                key = node << 8 | byte
+                node = steps.get(key)
+                if node is None:
+                    node = self._step(key)
+                for token, n in ending[node] or self._tokens_at(node):
+                    start = end - n
+                    if start:
+                        key = last[start] * size + token
+                        fits = apart.get(key)
+                        if fits is None:
+                            if len(apart) > PAIRS:
+                                apart.clear()
+                            fits = apart[key] = self.stay_apart(last[start], token)
+                    else:
+                        fits = self.is_whole(token)
+                    if fits:
+                        last.append(token)
+                        back.append(start)
+                        nodes.append(node)
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+            ids = []
+            while end:
+                ids.append(last[end])
+                end = back[end]
+            ids.reverse()
+            yield ids
+
     def encode_bytes(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        go, links, size, apart = self.t["go"], self.t["links"], self.t["size"], self.apart
-        last, back, node = [-1], [0], 0
-        for end, byte in enumerate(data, 1):
-            while node and (node << 8 | byte) not in go:
-                node = links[node]
-            node = go.get(node << 8 | byte, 0)
-            for token, n in self._tokens_at(node):
-                start = end - n
-                if start == 0:
-                    fits = self.is_whole(token)
+        return next(self.encode_sorted([data]))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodings of all pieces into the lately used ones."""
+        have, old, new = self.pieces, self.old_pieces, []
+        for p in pieces:
+            if p not in have:
+                found = old.get(p)
+                if found is None:
+                    new.append((p.encode(), p))
                 else:
-                    before = last[start]
-                    key = before * size + token
-                    fits = apart.get(key)
-                    if fits is None:
-                        if len(apart) > 2_000_000:
-                            apart.clear()
-                        fits = apart[key] = self.stay_apart(before, token)
-                if fits:
-                    last.append(token)
-                    back.append(start)
-                    break
+                    have[p] = found
+        new.sort()
+        for (_, p), ids in zip(new, self.encode_sorted([b for b, _ in new])):
+            have[p] = array("i", ids).tobytes()
+
+    def _segments(self, text: str) -> Iterator[tuple[int | None, bool, str]]:
+        """(special token, False, "") or (None, whether a space came before, a stretch of about CHUNK that ends at a border between words)."""
+        for part in self.split(text) if self.split and any(s in text for s in self.special) else (text,):
+            if part in self.special:
+                yield self.special[part], False, ""
+                continue
+            start, spaced = 0, False
+            while len(part) - start > CHUNK and (hit := self.border(part, start + CHUNK)):
+                yield None, spaced, part[start : hit.start()]
+                start, spaced = hit.end(), True
+            if start < len(part):
+                yield None, spaced, part[start:]
+
+    def _units(self, spaced: bool, words: list[str]) -> list[tuple[str | None, str]]:
+        """Of a stretch with irregular white space: (word, "") where a word stands between single spaces, else (None, the whole irregular part)."""
+        out, held = [], [words[0]]
+        for w in words[1:]:
+            p = held[-1]
+            if p and w and not p[-1].isspace() and not w[0].isspace():
+                out.append(held)
+                held = []
+            held.append(w)
+        out.append(held)
+        single = lambda h: len(h) == 1 and h[0] and not h[0][0].isspace() and not h[0][-1].isspace()
+        first = (out[0][0], "") if spaced and single(out[0]) else (None, " " * spaced + " ".join(out[0]))
+        return [first, *[(h[0], "") if single(h) else (None, " " + " ".join(h)) for h in out[1:]]]
+
+    def _encode_held(self, held: list[tuple[int, int | None, bool, str]], parts: list[list[bytes]]) -> None:
+        split = [(i, special, spaced, text.split(" ")) for i, special, spaced, text in held]
+        need: set[str] = set()
+        for _, _, spaced, ws in split:
+            need.update(ws if spaced else ws[1:])
+        words, old, cuts, pieces = self.words, self.old_words, {}, set()
+        for w in need:
+            if w in words:
+                continue
+            if w in old:
+                words[w] = old[w]
+            elif not w or w[0].isspace() or w[-1].isspace():
+                words[w] = None
+            else:
+                cuts[w] = self.find(" " + w)
+                pieces.update(cuts[w])
+        odd = {w for w in need if w not in cuts and words[w] is None}
+        plain, units = {}, {}
+        for at, (_, special, spaced, ws) in enumerate(split):
+            if special is not None:
+                continue
+            if not odd.isdisjoint(ws if spaced else ws[1:]) or (len(ws) > 1 and not spaced and ws[0] and ws[0][-1].isspace()):
+                units[at] = self._units(spaced, ws)
+                plain.update((u, self.find(u)) for w, u in units[at] if w is None)
+            elif not spaced:
+                plain[ws[0]] = self.find(ws[0])
+        for cut in plain.values():
+            pieces.update(cut)
+        self._learn(pieces)
+        known = self.pieces
+        for w, cut in cuts.items():
+            words[w] = known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut])
+        whole = {u: b"".join([known[p] for p in cut]) for u, cut in plain.items()}
+        for at, (i, special, spaced, ws) in enumerate(split):
+            if special is not None:
+                parts[i].append(array("i", [special]).tobytes())
+            elif at in units:
+                parts[i] += [whole[u] if w is None else words[w] for w, u in units[at]]
             else:
-                raise ValueError("the vocabulary lacks a byte")
-        ids, end = [], len(data)
-        while end:
-            ids.append(last[end])
-            end = back[end]
-        return ids[::-1]
-
-    def _word(self, word: str) -> bytes:
-        """A word that stands between single spaces, with the space before it."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Irregular
-        return self._plain(" " + word)
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pretokens.__getitem__, self.find(text)))
-
-    def _segment(self, text: str) -> bytes:
-        head, *words = text.split(" ")
-        if words:
-            last = words.pop()
-            try:
-                if head and not head[-1].isspace() and last and not last[0].isspace():
-                    return self._plain(head) + b"".join(map(self.words.__getitem__, words)) + self._plain(" " + last)
-            except _Irregular:
-                pass
-        return self._plain(text)
+                if not spaced:
+                    parts[i].append(whole[ws[0]])
+                    del ws[0]
+                parts[i].append(b"".join(map(words.__getitem__, ws)))
+        if len(self.words) > CACHE:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > CACHE:
+            self.pieces, self.old_pieces = {}, self.pieces
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text. New words of about CHUNK characters are encoded together."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for special, spaced, stretch in self._segments(text):
+                held.append((i, special, spaced, stretch))
+                size += len(stretch) + 1
+                if size > CHUNK:
+                    self._encode_held(held, parts)
+                    held, size = [], 0
+        self._encode_held(held, parts)
+        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        for kept in (self.words, self.pretokens):
-            if len(kept) > CACHE:
-                kept.clear()
-        if self.split and any(s in text for s in self.special):
-            parts = [array("i", [self.special[p]]).tobytes() if p in self.special else self._segment(p) for p in self.split(text)]
-            return np.frombuffer(b"".join(parts), np.int32)
-        return np.frombuffer(self._segment(text), np.int32)
+        return self.encode_all([text])[0]
 
 
 def decode(ids: list[int], token: list[bytes]) -> str:
@@ -249,7 +349,7 @@ def encode_texts(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, specials)
         for b in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in b.column(1)]
+            ids = encoder.encode_all([t or "" for t in b.column(1).to_pylist()])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[id_col, "ids"])
@@ -257,22 +357,25 @@ def encode_texts(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
-def digests(encoded: DataFrame, tables: dict, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): the ids decoded again."""
-    shared = encoded.sparkSession.sparkContext.broadcast((tables["token"], [str(i) for i in range(tables["size"])]))
+def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: the ids of encode_texts and the text that they decode to, digested where they are made."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, name = shared.value
+        encoder, token = _encoder(shared, specials), shared.value["token"]
+        name = [str(i) for i in range(len(token))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for x in b.column(1):
-                ids = x.values.to_numpy().tolist()
+            for x in encoder.encode_all([t or "" for t in b.column(1).to_pylist()]):
+                ids = x.tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decode(ids, token).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    return kept.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary() -> str:
@@ -283,4 +386,4 @@ def default_vocabulary() -> str:
 
 def op6_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     tables = load_tables(vocabulary or default_vocabulary())
-    return digests(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tables), tables)
+    return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tables)

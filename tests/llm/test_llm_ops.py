@@ -141,6 +141,38 @@ def test_bpe_as_the_library(spark, odd):
         assert encoder.encode(text).tolist() == ids
         assert bpe.decode(ids, tables["token"]) == library.decode(ids, skip_special_tokens=False)
     assert {r.doc_id: list(r.ids) for r in bpe.encode_texts(odd, tables).collect()}[0] == []
+    want = {}
+    for r in odd.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    clash = odd.withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    assert {r.doc_id: tuple(r)[1:] for r in bpe.encode_digests(clash, tables).collect()} == want
+    assert bpe.encode_digests(odd.limit(0), tables).count() == bpe.encode_texts(odd.limit(0), tables).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [bpe.CHUNK, 7])
+def test_bpe_stretches_and_caches(monkeypatch, chunk):
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    path = bpe.default_vocabulary()
+    encoder, library = bpe.Encoder(bpe.load_tables(path)), tokenizers.Tokenizer.from_file(path)
+    random.seed(6)
+    pool = [*"aaabbeett  '' \n\t.,!?0123éß中😀\x85\u3000\x1c\x1f", "<|endoftext|>", "'ll", " the", " ", " ", " "]
+    texts = ["".join(random.choices(pool, k=random.randrange(80))) for _ in range(1500)] + ["word and other " * 3000, "a" * 20000, " " * 500]
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_vocabulary()
+    encoder, library = bpe.Encoder(bpe.load_tables(path)), tokenizers.Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c} x" for c in points[at : at + 4096]) for at in range(0, len(points), 4096)]
+    for ids, want in zip(encoder.encode_all(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == want.ids
 
 
 def test_mtree_prunes_and_is_exact():
