@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinelake.runtime import cut
 
 ROUNDS = 64
+#: Tasks over which the members of one component are dealt when they get what belongs to it.
+SALTS = 32
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,3 +36,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = now
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def with_value(members: DataFrame, values: DataFrame, node: str = "node", key: str = "component", salts: int = SALTS) -> DataFrame:
+    """members(node, key, ...) joined to values(key, ...), one row per key; a key's members are dealt over salts tasks by their node."""
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64(node), F.lit(salts)).cast("int"))
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def with_lowest(found: DataFrame) -> DataFrame:
+    """Components with the row of each one's smallest node, which names itself."""
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -1,10 +1,14 @@
 """Near copies by true similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: 24 bands of 5 minima each, so a pair at exactly 0.8 shares a band with a probability of
+Candidates are what the SimHash operator links, over five-word shingles, and what shares a MinHash band. SimHash alone
+can't give right results here: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits, so its 4 bits find
+one pair in twenty or thirty, and a radius that finds them all (18 bits) makes candidates of one unrelated pair in
+several thousand. There are 24 bands of 5 minima each, so a pair at exactly 0.8 shares a band with a probability of
 0.99993, at 0.9 of 1 - 1e-9; that is the only place where a pair can be missed. Bands with the same texts count once.
-Candidates that hang together go to one task, each text once; only where they have more than LARGE shingles does each
-band go to a task of its own. There, a spanning forest of all links is found breadth-first with exact similarities from an
-inverted index of the texts not yet reached; no group is cut.
+Every candidate is verified. Those that hang together go to one task, each text once; where they have more than LARGE
+shingles each band goes to a task of its own, and a band that is larger still is cut in parts and every two parts meet in
+one task. There, a spanning forest of all links is found breadth-first with exact similarities from an inverted index of
+the texts not yet reached; no group is cut short.
 
 Defined results: texts of up to five words have one shingle, the whole text; null and wordless texts are alike; words are
 split at ASCII white space, A-Z lower-cased.
@@ -21,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.llm.components import connected_components
+from kinelake.llm.components import connected_components, with_lowest, with_value
+from kinelake.llm.simhash import near_duplicates
 from kinelake.runtime import cut, ship
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
@@ -115,16 +120,25 @@ def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     w = W.partitionBy("key")
     shared = keys.select("node", "n", F.count("*").over(w).alias("many"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mix")).where("many > 1")
     members = cut(shared.select(F.xxhash64("many", "low", "mix").alias("band"), "low", "node", "n").distinct())
-    tied = _with_lowest(connected_components(members.select(F.col("low").alias("a"), F.col("node").alias("b"))))
-    size = members.select("node", "n").distinct().join(tied, "node")
+    alike = _by_fingerprint(texts, members)
+    edges = members.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(alike.select(F.col("band").alias("a"), F.col("node").alias("b")))
+    tied = cut(with_lowest(connected_components(edges)))
+    size = members.select("node", "n").unionByName(alike.select("node", "n")).distinct().join(tied, "node")
     whole = size.groupBy("component").agg(F.sum("n").alias("total")).select("component", (F.col("total") <= large).alias("whole"))
-    put = tied.join(whole, "component")
-    alone = put.where("whole").select("node", F.lit(True).alias("whole"), F.col("component").alias("at"))
-    apart = members.join(put.where("NOT whole").select("node"), "node").select("node", F.lit(False).alias("whole"), F.col("band").alias("at"))
-    groups = texts.select("node", "text").join(alone.unionByName(apart), "node").groupBy("whole", "at")
-    return _with_lowest(connected_components(groups.applyInArrow(_links, "a long, b long").distinct()))
-
-
-def _with_lowest(found: DataFrame) -> DataFrame:
-    """Components with the row of each one's smallest node, which names itself."""
-    return found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
+    put = with_value(tied, whole)
+    alone = put.where("whole").select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("component").alias("at"))
+    banded = members.select("band", "node", "n").unionByName(alike.select("band", "node", "n")).join(put.where("NOT whole").select("node"), "node")
+    parts = banded.groupBy("band").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / F.lit(max(1, large))).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
+    paired = with_value(banded, parts, key="band").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    apart = paired.select("node", (F.least("mine", "other") + 1).alias("i"), (F.greatest("mine", "other") + 1).alias("j"), F.col("band").alias("at"))
+    groups = texts.select("node", "text").join(alone.unionByName(apart), "node").groupBy("at", "i", "j")
+    return with_lowest(connected_components(groups.applyInArrow(_links, "a long, b long").distinct()))
+
+
+def _by_fingerprint(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(band, node, n): nodes that the SimHash operator links over five-word shingles, the smallest of them as the band; n as in members, else 0."""
+    found = near_duplicates(texts.select("node", "text"), "node", "text", SHINGLE).select("node", F.col("component_id").alias("band"))
+    many = found.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
+    linked = with_value(found, many, key="band")
+    return cut(linked.join(members.select("node", "n").distinct(), "node", "left").select("band", "node", F.coalesce("n", F.lit(0)).alias("n")))

@@ -10,7 +10,8 @@ point has at most 2,081 fingerprints.
 
 Defined results: null and wordless texts have fingerprint zero, which links like any other; rows with a null id have a
 fingerprint and count for no component's smallest id (null if there is no other); repeated ids keep their rows; an empty
-table gives an empty result; only the id and text columns are read.
+table gives an empty result; only the id and text columns are read; ids are cast to long (one that is no number fails under
+ANSI mode and is null without it).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.components import connected_components
+from kinelake.llm.components import connected_components, with_lowest, with_value
 from kinelake.runtime import cut, ship
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -161,12 +162,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) of every row; component_id is the smallest id reachable over links of at most radius bits."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     least = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-    component = connected_components(links(fps, radius)).withColumnRenamed("node", "fp")
-    # every linked fingerprint has a row in component but each component's smallest one, which names itself
-    tied = component.unionByName(component.select(F.col("component").alias("fp"), "component").distinct()).distinct()
-    named = least.join(tied, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "low")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return fps.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    tied = with_lowest(connected_components(links(fps, radius))).withColumnRenamed("node", "fp")
+    linked = least.join(tied, "fp")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = with_value(linked.select("fp", "component"), lowest, node="fp").select("fp", "component_id")
+    # a fingerprint without a link is a component of its own; where all ids of a component are null, so is its low
+    own = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    return fps.join(own, "fp").select(id_col, "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

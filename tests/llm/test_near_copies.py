@@ -47,7 +47,7 @@ def _brute(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("large", [near_copies.LARGE, 0])
+@pytest.mark.parametrize("large", [near_copies.LARGE, 500])
 def test_components_as_brute_force(spark, large):
     texts = _edited(random.Random(3))
     got = dict(near_copies.components(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), large).collect())
