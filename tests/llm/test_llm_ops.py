@@ -180,18 +180,48 @@ def test_mtree_prunes_and_is_exact():
     x = np.concatenate([random.normal(c, 20, (200, 4)) for c in (0, 500, -500, 900)]).astype(np.int64)
     tree, seen = mtree.build(np.arange(len(x)), x), [0]
     for q in (5, 250, 777):
-        s, i = mtree.search(tree, x[q], q, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 10, seen)
-        score = x @ x[q]
-        want = sorted((-int(v), k) for k, v in enumerate(score) if k != q)[:10]
-        assert list(zip((-s).tolist(), i.tolist())) == want
+        want = sorted((-int(v), k) for k, v in enumerate(x @ x[q]))[:10]
+        assert [(-s, i) for s, i in mtree.search(tree, x[q], 10, seen)] == want
     assert seen[0] < 3 * len(x)
 
 
-def test_mtree_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0]), (5, [1.0, 0.0]), (6, []), (100, [0.5, 2.0]), (None, [1.0])]
-    v = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(mtree.index(v), v.where("id % 100 = 0"), 10).collect())
-    assert [g[2] for g in got if g[0] == 0] == [4, 5, 100] and len(got) == 6
+@pytest.mark.parametrize("scale", [10, 1 << 27])
+def test_mtree_batches_as_brute_force(scale):
+    random = np.random.default_rng(2)
+    x = np.concatenate([random.integers(-scale, scale, (300, 8)), np.zeros((5, 8), np.int64), np.repeat(random.integers(-scale, scale, (1, 8)), 200, axis=0)])
+    ids = random.integers(0, 400, len(x))
+    q = np.concatenate([x[:50], random.integers(-scale, scale, (30, 6)) @ np.eye(6, 8, dtype=np.int64)])
+    scores, found = np.full((len(q), 7), mtree.NONE), np.full((len(q), 7), np.iinfo(np.int64).max)
+    for part in np.array_split(np.arange(len(x)), 3):
+        mtree.search_all(mtree.build(ids[part], x[part], page=16), q, scores, found)
+    for i, v in enumerate(q):
+        want = sorted((-int(p), int(k)) for p, k in zip(x @ v, ids))[:7]
+        assert list(zip((-scores[i]).tolist(), found[i].tolist())) == want
+
+
+def _nearest(rows, k):
+    """(query_id, rank, vec_id, score) by brute force; rows of (id, whole vector)."""
+    out = []
+    for a, (query, q) in enumerate(rows):
+        if query % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, v)), i) for b, (i, v) in enumerate(rows) if a != b)[:k]
+            out += [(query, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("query_bytes", [mtree.QUERY_BYTES, 40])
+def test_mtree_odd_rows(spark, query_bytes):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [0.5, 0.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0]), (5, [1.0, 0.0]), (6, []), (100, [0.5, 2.0]), (200, []), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
+    v = mtree.integer_vectors(df, "vec_id", "embedding")
+    fine = [(i, [int(1024 * x) for x in e]) for i, e in rows if i not in (1, 2, 3, None)]
+    for k in (3, 10):
+        got = mtree.top_k(mtree.index(v, shard_rows=3), v.where("id % 100 = 0"), k, query_bytes)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == _nearest(fine, k)
+    none = v.limit(0)
+    assert mtree.top_k(mtree.index(none), none, 10).count() == 0
+    with pytest.raises(Exception, match="63 bits"):
+        mtree.integer_vectors(spark.createDataFrame([(1, [3e9, 0.0])], "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()
 
 
 @pytest.mark.parametrize("sizes", [(1 << 22, 1 << 22), (3000, 900)])
