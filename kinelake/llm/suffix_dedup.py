@@ -9,21 +9,26 @@ substrings (their key), so keys route the work, and a string can repeat only if
    on by doubling, settled suffixes left out), takes Kasai's common prefixes in text order (stretches of the text side by
    side, only as far as LENGTH), and finds each string's smallest document in the shard; the strings it has first are cut
    into pieces of one key and sent to the key's bucket if the key occurs across shards;
-4. a bucket takes equal pieces together; keys with several distinct pieces get suffix arrays, of bounded size each, which
-   are merged by binary search of one's strings in the other; what a smaller document also has goes back to the shard;
+4. a bucket takes equal pieces together (found by hash, verified byte by byte); keys with several distinct pieces get
+   suffix arrays, of bounded size each, which are merged by binary search of one's strings in the other; what a smaller
+   document also has goes back to the shard;
 5. a shard removes the union of all spans.
 
-A passage in a third of all documents is one piece per shard and key. The texts are shuffled once: all three passes over
-them read the same exchange.
+A passage in a third of all documents is one piece per shard and key: about 100 bytes for each SHARD_BYTES of input come
+to its bucket (25 MB at 1 TB). A key in over HOT_SHARDS shards is cut by a second key, exactly as by the first. A shard
+sends a row for each bucket that it has keys for, never more rows than it has keys. The texts are shuffled once: all three
+passes over them read the same exchange.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep everything; a null id is larger than any other and
 equal ids are not smaller than each other, whatever their texts; rows keep their multiplicity; only the id and text
-columns are read; an empty table gives an empty result.
+columns are read; ids are cast to long (one that is no number fails under ANSI mode and counts as null without it; the
+largest long counts as null); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,10 @@ from kinelake.runtime import ship
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, on average, and of distinct pieces in one suffix array of a bucket.
 SHARD_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20
+#: Bytes of text in a shuffle partition, and of text whose keys are in one key bucket (about one key in 16 bytes), on average.
+PARTITION_BYTES, KEY_BUCKET_BYTES = 128 << 20, 32 << 20
+#: A key in more shards than this is cut by a second key, so that its pieces spread over buckets.
+HOT_SHARDS = 256
 #: Positions that one lane of the common prefixes goes through.
 STRETCH = 64
 NO_ID = np.iinfo(np.int64).max
@@ -48,6 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SECOND = np.uint64(0xA0761D6478BD642F)
 _BYTE_STEPS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 _BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A)
 
@@ -66,16 +76,18 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return _mix(h[16][: len(text) - GRAM + 1] * _power(4) + h[4][16:])
 
 
-def window_keys(text: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-    """The smallest gram hash of every string of LENGTH bytes of text; blocks of them stay in a processor's cache."""
+def window_keys(text: np.ndarray, block: int = 1 << 14, second: bool = False) -> np.ndarray:
+    """The smallest gram hash of every string of LENGTH bytes of text; blocks of them stay in a processor's cache. second: of other hashes."""
     keys = np.empty(len(text) - LENGTH + 1, np.uint64)
     for a in range(0, len(keys), block):
-        keys[a : a + block] = _block_keys(text[a : a + block + LENGTH - 1])
+        keys[a : a + block] = _block_keys(text[a : a + block + LENGTH - 1], second)
     return keys
 
 
-def _block_keys(text: np.ndarray) -> np.ndarray:
+def _block_keys(text: np.ndarray, second: bool) -> np.ndarray:
     m, width, want = gram_hashes(text), 1, LENGTH - GRAM + 1
+    if second:
+        m = _mix(m ^ _SECOND)
     while 2 * width <= want:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
@@ -267,6 +279,14 @@ def _rows(name: str, numbers: list[int], blobs: list[bytes], more: dict | None =
     return pa.table({name: pa.array(numbers, pa.int32()), "blob": pa.array(blobs, pa.binary())} | (more or {}))
 
 
+def _parts(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, its places in order) of the numbers that occur."""
+    order = np.argsort(number, kind="stable")
+    found, first = np.unique(number[order], return_index=True)
+    for b, part in zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else ():
+        yield b, part
+
+
 def _send_keys(table: pa.Table, buckets: int) -> pa.Table:
     shard = table.column("shard")[0].as_py()
     _, _, keys, rows = Texts(table).runs()
@@ -277,16 +297,11 @@ def _send_keys(table: pa.Table, buckets: int) -> pa.Table:
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     end = np.concatenate((at[1:], [len(keys)])) - 1
     many, keys = rows[end] != rows[at], keys[at]
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
     out, numbers = [], []
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[cuts[b] : cuts[b + 1]]
-        if len(part):
-            six = keys[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            out.append(pickle.dumps((six, np.packbits(many[part]).tobytes()), protocol=5))
-            numbers.append(b)
+    for b, part in _parts((keys % np.uint64(buckets)).astype(np.int64)):
+        six = keys[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        out.append(pickle.dumps((six, np.packbits(many[part]).tobytes()), protocol=5))
+        numbers.append(b)
     return _rows("bucket", numbers, out, {"shard": pa.array([shard] * len(out), pa.int32())})
 
 
@@ -296,8 +311,8 @@ def _keys(six: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """The keys of a bucket -> for each shard those across shards, and those repeated within it alone."""
+def _repeated(table: pa.Table, hot_shards: int) -> pa.Table:
+    """The keys of a bucket -> for each shard those across shards, those repeated within it alone, and which of the former are in over hot_shards shards."""
     shards, keys, many = [], [], []
     for s, blob in zip(table.column("shard").to_pylist(), table.column("blob"), strict=True):
         six, bits = pickle.loads(blob.as_py())
@@ -307,16 +322,17 @@ def _repeated(table: pa.Table) -> pa.Table:
         many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(k)).astype(bool))
     shard, key, multi = map(np.concatenate, (shards, keys, many))
     order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    across = np.zeros(len(key), bool)
-    across[order[1:]] |= same
-    across[order[:-1]] |= same
-    alone = multi & ~across
+    shard, key, multi = shard[order], key[order], multi[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.concatenate((first, [len(key)])))
+    among = np.repeat(n, n)  # shards of each key
+    kept = np.flatnonzero((among > 1) | multi)
+    shard, key, among = shard[kept], key[kept], among[kept]
     numbers, out = [], []
-    for s in np.unique(shard[across | alone]):
-        own = shard == s
-        numbers.append(int(s))
-        out.append(pickle.dumps([key[own & w].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for w in (across, alone)], protocol=5))
+    for s, part in _parts(shard):
+        of, k = among[part], key[part]
+        numbers.append(s)
+        out.append(pickle.dumps([k[w].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for w in (of > 1, of == 1, of > hot_shards)], protocol=5))
     return _rows("shard", numbers, out)
 
 
@@ -329,7 +345,7 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
     t = Texts(texts)
     first, last, key, row = t.runs()
     sent = [pickle.loads(b.as_py()) for b in flagged.column("blob")]
-    across, alone = (np.unique(np.concatenate([_keys(s[i]) for s in sent])) for i in (0, 1))
+    across, alone, hot = (np.unique(np.concatenate([_keys(s[i]) for s in sent])) for i in (0, 1, 2))
     is_across = np.isin(key, across)
     kept = np.flatnonzero(is_across | np.isin(key, alone))
     if not len(kept):
@@ -345,7 +361,12 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
     place = np.zeros(len(t.text), np.int64)
     place[covered] = np.arange(len(covered))
     ids = t.ids[row[run]]
-    made = Shard(t.text[covered], place[start], ids)
+    held = t.text[covered]
+    route = key[run]
+    if len(hot) and (many := np.flatnonzero(np.isin(key, hot)[run])).size:
+        # a key with too many pieces for one bucket is cut further, by a second key
+        route[many] = _mix(route[many] ^ window_keys(held, second=True)[place[start[many]]])
+    made = Shard(held, place[start], ids)
     gone = ids > made.low[made.group]
     numbers, out, kinds = [], [], []
 
@@ -353,7 +374,7 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         """First and last place, among the chosen starts, of stretches within one run."""
         at = np.flatnonzero(which)
         new = np.ones(len(at), bool)
-        new[1:] = (run[at[1:]] != run[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)
+        new[1:] = (run[at[1:]] != run[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1) | (route[at[1:]] != route[at[:-1]])
         head = np.flatnonzero(new)
         return at[head], at[np.concatenate((head[1:], [len(at)])) - 1] if len(at) else at
 
@@ -364,21 +385,17 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         kinds.append(shard)
         out.append(_pack(r, start[a] - t.starts[r], start[z] + LENGTH - t.starts[r]))
     a, z = spans(~gone & is_across[run])
-    bucket = (key[run[a]] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        part = order[cuts[b] : cuts[b + 1]]
+    for b, part in _parts((route[a] % np.uint64(buckets)).astype(np.int64)):
         pa_, pz = a[part], z[part]
         r = row[run[pa_]]
         size = start[pz] - start[pa_] + LENGTH
         take = np.repeat(start[pa_] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        numbers.append(int(b))
+        numbers.append(b)
         kinds.append(-1 - shard)
-        held, local = np.unique(r, return_inverse=True)
+        rows, local = np.unique(r, return_inverse=True)
         # 32 more bits of the key: keys that agree in them share suffix arrays, no more
-        low = (key[run[pa_]] // np.uint64(buckets)).astype(np.uint32)
-        out.append(_pack(low, t.ids[held], held.astype(np.int32), np.diff(local, prepend=0).astype(np.uint16 if len(held) < 1 << 16 else np.uint32), (start[pa_] - t.starts[r]).astype(np.int32), size.astype(np.int32), t.text[take]))
+        low = (route[pa_] // np.uint64(buckets)).astype(np.uint32)
+        out.append(_pack(low, t.ids[rows], rows.astype(np.int32), np.diff(local, prepend=0).astype(np.uint16 if len(rows) < 1 << 16 else np.uint32), (start[pa_] - t.starts[r]).astype(np.int32), size.astype(np.int32), t.text[take]))
     return _rows("bucket", numbers, out, {"kind": pa.array(kinds, pa.int32())})
 
 
@@ -391,6 +408,20 @@ def _slice_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     return _mix((total[start + size] - total[start]) * back[start])
 
 
+def _unlike(text: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """Places of the pieces that aren't, byte for byte, what begins at other."""
+    look = np.flatnonzero(start != other)
+    bad = []
+    for part in np.split(look, np.flatnonzero(np.diff(np.cumsum(size[look]) // block)) + 1):
+        if len(part):
+            n = size[part]
+            first = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            differs = text[np.repeat(start[part] - first, n) + step] != text[np.repeat(other[part] - first, n) + step]
+            bad.append(part[np.logical_or.reduceat(differs, first)])
+    return np.concatenate(bad) if bad else look
+
+
 def _across(table: pa.Table, array_bytes: int) -> pa.Table:
     """The pieces of a bucket -> what goes, by shard; a shard's own removals pass through."""
     numbers, out, parts, shards = [], [], [], []
@@ -418,6 +449,12 @@ def _across(table: pa.Table, array_bytes: int) -> pa.Table:
     variant[order] = np.cumsum(new) - 1
     per_key = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))
     varied = np.repeat(per_key > 1, per_key)  # of each distinct piece
+    if len(bad := _unlike(text, start, size, start[head[variant]])):  # equal hashes of unequal pieces: each for itself, all of their key by suffix array
+        number = np.repeat(np.arange(len(per_key)), per_key)  # of each distinct piece its key
+        clash = number[variant[bad]]
+        varied |= np.isin(number, clash)
+        variant[bad] = len(head) + np.arange(len(bad))
+        head, varied = np.concatenate((head, bad)), np.concatenate((varied, np.ones(len(bad), bool)))
     low = ids[head]
     a = [np.flatnonzero(~varied[variant] & (ids > low[variant]))]
     spans = [(a[0], at[a[0]].astype(np.int64), at[a[0]].astype(np.int64) + size[a[0]])]
@@ -452,12 +489,9 @@ def _across(table: pa.Table, array_bytes: int) -> pa.Table:
             f, z = gone[h], gone[np.concatenate((h[1:], [len(gone)])) - 1]
             spans.append((owner[f], at[owner[f]] + inside[f], at[owner[z]] + inside[z] + LENGTH))
     who, begin, end = (np.concatenate(c) for c in zip(*spans, strict=True))
-    order = np.argsort(shard[who], kind="stable")
-    who, begin, end = who[order], begin[order], end[order]
-    found, first = np.unique(shard[who], return_index=True)
-    for s, i, j in zip(found.tolist(), first, [*first[1:], len(who)], strict=True):
+    for s, part in _parts(shard[who]):
         numbers.append(s)
-        out.append(_pack(row[who[i:j]].astype(np.int64), begin[i:j], end[i:j]))
+        out.append(_pack(row[who[part]].astype(np.int64), begin[part], end[part]))
     return _rows("shard", numbers, out)
 
 
@@ -478,19 +512,21 @@ def _removed(texts: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(t.original, pa.int64()), "n_bytes": pa.array((t.ends - t.starts).tolist(), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, array_bytes: int = ARRAY_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     shards = max(1, -(-total // shard_bytes))
+    key_buckets = max(4 * n, -(-total // KEY_BUCKET_BYTES))
     buckets = max(4 * n, shards // 4)  # small ones: a bucket is in one worker's memory at a time
-    number = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col)), F.lit(shards)).cast("int")
+    # rows alike in id and text go by the partition they come from
+    number = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(shards)).cast("int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), number.alias("shard")).repartition(n, "shard")
     by_shard = texts.groupBy("shard")
-    keys = by_shard.applyInArrow(lambda x: _send_keys(x, buckets), "bucket int, blob binary, shard int")
-    flagged = keys.groupBy("bucket").applyInArrow(_repeated, "shard int, blob binary")
+    keys = by_shard.applyInArrow(lambda x: _send_keys(x, key_buckets), "bucket int, blob binary, shard int")
+    flagged = keys.groupBy("bucket").applyInArrow(lambda x: _repeated(x, hot_shards), "shard int, blob binary")
     pieces = by_shard.cogroup(flagged.groupBy("shard")).applyInArrow(lambda x, y: _within(x, y, buckets), "bucket int, blob binary, kind int")
     spans = pieces.groupBy("bucket").applyInArrow(lambda x: _across(x, array_bytes), "shard int, blob binary")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -224,25 +224,72 @@ def test_mtree_odd_rows(spark, query_bytes):
         mtree.integer_vectors(spark.createDataFrame([(1, [3e9, 0.0])], "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()
 
 
-@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 22), (3000, 900)])
-def test_suffix_dedup_as_brute_force(spark, sizes):
-    random.seed(9)
-    passages = ["".join(random.choices("abcde ", k=120)) for _ in range(6)]
-    texts = ["".join(random.choices("abcde ", k=random.randrange(80))) + random.choice(passages)[random.randrange(40) :] + "x" * random.randrange(70) for _ in range(60)] + [None, "", "ti " * 200, "ti " * 300]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=sizes[0], array_bytes=sizes[1]).collect()}
-    seen = {}
+def _kept_by_brute_force(rows):
+    """(id, n_bytes, n_removed, n_spans, kept) of each row; null ids are larger than all others."""
+    rank = lambda i: (i is None, i or 0)
+    least, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for j in range(len(b) - 49):
+            least[b[j : j + 50]] = min(least.get(b[j : j + 50], (True, 1)), rank(i))
     for i, t in rows:
         b = (t or "").encode()
         gone = [False] * len(b)
         for j in range(len(b) - 49):
-            if seen.setdefault(b[j : j + 50], i) < i:
+            if least[b[j : j + 50]] < rank(i):
                 gone[j : j + 50] = [True] * 50
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        assert got[i] == (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
+        out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return sorted(out, key=str)
+
+
+def _passages(n=60):
+    random.seed(9)
+    passages = ["".join(random.choices("abcde ", k=120)) for _ in range(6)]
+    return ["".join(random.choices("abcde ", k=random.randrange(80))) + random.choice(passages)[random.randrange(40) :] + "x" * random.randrange(70) for _ in range(n)] + [None, "", "ti " * 200, "ti " * 300]
+
+
+def _deduplicated(spark, rows, **sizes):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("shard", F.lit(1)).withColumn("kept", F.lit(0))
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(df, **sizes).collect()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 3000, "array_bytes": 900}, {"shard_bytes": 1500, "array_bytes": 900, "hot_shards": 1}])
+def test_suffix_dedup_as_brute_force(spark, sizes):
+    rows = list(enumerate(_passages()))
+    assert _deduplicated(spark, rows, **sizes) == _kept_by_brute_force(rows)
+    texts = _passages(30)
+    odd = [(None if i % 3 == 0 else i % 7, t) for i, t in enumerate(texts)] + [(None, texts[1]), (2, texts[1]), (2, texts[1])]
+    assert _deduplicated(spark, odd, **sizes) == _kept_by_brute_force(odd)
     assert suffix_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_dedup_does_not_trust_hashes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "_slice_hashes", lambda text, start, size: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "window_keys", lambda text, second=False: np.zeros(len(text) - 49, np.uint64))
+    shards = [[(4 * i + s, t) for i, t in enumerate(_passages(20)[s::4])] for s in range(4)]
+    tables = [pa.table({"id": pa.array([i for i, _ in x], pa.int64()), "text": [t for _, t in x], "shard": pa.array([s] * len(x), pa.int32())}) for s, x in enumerate(shards)]
+    sent = suffix_dedup.pa.concat_tables([suffix_dedup._send_keys(t, 1) for t in tables])
+    flagged = suffix_dedup._repeated(sent, 100)
+    of = lambda table, s: table.filter(pa.compute.equal(table.column("shard"), s))
+    pieces = pa.concat_tables([suffix_dedup._within(t, of(flagged, s), 1) for s, t in enumerate(tables)])
+    spans = suffix_dedup._across(pieces, 1 << 20)
+    got = [tuple(r.values()) for s, t in enumerate(tables) for r in suffix_dedup._removed(t, of(spans, s)).to_pylist()]
+    assert sorted(got, key=str) == _kept_by_brute_force([r for x in shards for r in x])
+
+
+def test_suffix_dedup_sends_no_more_rows_than_keys():
+    import pyarrow as pa
+
+    texts = _passages(200)
+    table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": texts, "shard": pa.array([0] * len(texts), pa.int32())})
+    keys = len(np.unique(suffix_dedup.Texts(table).runs()[2]))
+    assert suffix_dedup._send_keys(table, 10).num_rows == 10
+    assert 0.9 * keys < suffix_dedup._send_keys(table, 1 << 30).num_rows <= keys
+
+
 def test_transport_round_trip():
     for n in (0, 1, 63, 150, 160, 161, 170, 184, 4096, 4097, 40000):
         payload = random.Random(n).randbytes(n)
