@@ -1,32 +1,35 @@
 """URL filter: hand-written rules first, then unigram Viterbi segmentation and multinomial naive Bayes.
 
-Concatenated host labels (``besthotelsdeals``) are split into words by the most probable unigram
-path; a multinomial naive Bayes model over the words of host and path decides what no rule covers.
-
-Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and gets
-the class with the larger prior; rows keep their multiplicity; only the id and url columns are read,
-so extra columns can't clash; an empty table gives an empty result; with no labelled rows the model
-allows everything.
+Runs of letters in host and path (``besthotelsdeals``) are split into words by the most probable unigram path; a
+multinomial naive Bayes model over the words of host and path decides what no rule covers. Words, pieces, tokens and odds
+are tables that are joined, whatever their number; only keys that are hot (fewer than HOT_SHARE of them) are broadcast.
+Where the classes can't be told apart, the larger prior decides.
+
+Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and gets the class with the
+larger prior; rows keep their multiplicity; only the id and url columns are read, so extra columns can't clash; an empty
+table gives an empty result; with no labelled rows the model allows everything.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinelake.runtime import cut, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number are part of the plan as literals; more of them are joined on host suffixes.
 INLINE_RULES = 256
-#: Longest word that segmentation knows.
-MAX_WORD = 24
+#: Words up to this length are looked up among all substrings of a piece, longer ones through their first letters.
+SHORT = 24
+#: A key with over one in so many of all rows is hot.
+HOT_SHARE = 5000
+#: The prior's logarithm where nothing is labelled: allow.
+NO_LABELS = -1.0
 
 
 def host_of(url: Column) -> Column:
@@ -51,11 +54,11 @@ def parse_rule(verdict: str, rule: str) -> tuple[str, str, str, str]:
 
 
 def apply_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Adds ``rule`` and ``rule_verdict``: the longest rule that fits; of equal ones that with the longer host, then the smaller string.
+    """Adds ``rule`` and ``rule_verdict``: the longest rule that fits; of equal ones that with the longer host, then the smaller string; of a rule listed twice, the first.
 
     urls needs columns host and path. A rule fits its host and all subdomains if the path starts with the rule's.
     """
-    parsed = [parse_rule(*r) for r in rules]
+    parsed = list({r[1]: parse_rule(*r) for r in reversed(rules)}.values())
     if not parsed:
         return urls.withColumn("rule", F.lit(None).cast("string")).withColumn("rule_verdict", F.lit(None).cast("string"))
     if len(parsed) <= INLINE_RULES:
@@ -82,35 +85,31 @@ def apply_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 class Segmenter:
     """Most probable split of a string of letters into words under a unigram model.
 
-    A word of n letters that isn't known has probability 10 / (total * 10 ** n), so that long unknown strings stay whole
-    only if no known words fill them. Equal probabilities go to the split whose last word is longer.
+    A word of n letters that isn't known has probability 10 / (total * 10 ** n), whatever its length, so that unknown
+    strings stay whole only if no known words fill them; no known word is less probable than that. Equal probabilities go
+    to the split whose last word is longer.
     """
 
-    def __init__(self, counts: dict[str, int], max_word: int = MAX_WORD):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = max(1, sum(counts.values()) if total is None else total)
         self.log = {w: math.log(c / total) for w, c in counts.items()}
-        self.unknown = [math.log(10 / total) - n * math.log(10) for n in range(max_word + 1)]
-        self.max_word = max_word
-        self.known: dict[str, list[str]] = {}
-
-    def __call__(self, letters: str) -> list[str]:
-        found = self.known.get(letters)
-        if found is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            found = self.known[letters] = self._viterbi(letters)
-        return found
-
-    def _viterbi(self, s: str) -> list[str]:
-        best, back = [0.0], [0]
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
+        self.unknown = math.log(10 / total)
+
+    def __call__(self, s: str) -> list[str]:
+        best, back, ten, log = [0.0], [0], math.log(10), self.log
+        far, since = 0.0, 0  # where an unknown word that ends here or later begins best
         for end in range(1, len(s) + 1):
-            top, at = -math.inf, end - 1
-            for start in range(max(0, end - self.max_word), end):
-                p = best[start] + self.log.get(s[start:end], self.unknown[end - start])
-                if p > top:
-                    top, at = p, start
+            top, at = best[since] + (self.unknown - (end - since) * ten), since
+            for n in self.lengths:
+                if n <= end and (known := log.get(s[end - n : end])) is not None:
+                    p = best[end - n] + known
+                    if p > top or (p == top and end - n < at):
+                        top, at = p, end - n
             best.append(top)
             back.append(at)
+            if top + end * ten > far:
+                far, since = top + end * ten, end
         words, end = [], len(s)
         while end:
             words.append(s[back[end] : end])
@@ -118,86 +117,106 @@ class Segmenter:
         return words[::-1]
 
 
-_PIECES = re.compile(r"[a-z]+|[0-9]+")
+def word_counts(corpus: DataFrame, text_col: str) -> DataFrame:
+    """(word, n) of all words of a-z in the whole corpus, markup skipped, A-Z lower-cased."""
+    plain = F.regexp_replace(F.lower(F.col(text_col)), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    words = corpus.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]++"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
 
+def pieces_of(host: Column, path: Column) -> Column:
+    """array<struct<mark, piece>>: runs of letters of host (mark ``h:``) and path (``p:``) in order; every run of digits is the piece ``0``."""
+    runs = lambda mark, text: F.transform(
+        F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]++|[0-9]++"), F.lit(0)),
+        lambda x: F.struct(F.lit(mark).alias("mark"), F.when(x.rlike("^[0-9]"), F.lit("0")).otherwise(x).alias("piece")),
+    )
+    return F.concat(runs("h:", host), runs("p:", path))
 
-def tokens_of(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Words of the host as ``h:word`` and of the path as ``p:word``; every number is the one token ``0``."""
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for piece in _PIECES.findall(text):
-            out += [mark + "0"] if piece[0].isdigit() else [mark + w for w in segment(piece)]
-    return out
 
+def segmented(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """(piece, words) of the distinct pieces(piece); counts(word, n).
 
-def word_counts(corpus: DataFrame, text_col: str, urls: DataFrame) -> dict[str, int]:
-    """Counts over the whole corpus, markup skipped, of the words of a-z that occur in a piece of urls(host, path); all others' sum is that of the empty word."""
-    plain = F.regexp_replace(F.lower(F.col(text_col)), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = corpus.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[a-z]++"), F.lit(0))).alias("word"))
-    counts = cut(words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n")))
-    text = F.concat_ws(" ", "host", F.lower("path"))
-    pieces = urls.select(F.explode(F.regexp_extract_all(text, F.lit(r"[a-z]++"), F.lit(0))).alias("piece")).distinct()
+    Known words are found by joins, so that no table of words is ever sent whole: up to SHORT letters through all
+    substrings of the pieces, longer ones through their first SHORT letters.
+    """
+    ship(pieces.sparkSession)
     starts = pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("at"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("piece") - F.col("at") + 1))
-    parts = starts.select("piece", "at", F.explode(lengths).alias("n")).select(F.substring("piece", F.col("at"), F.col("n")).alias("word")).distinct()
-    found = {r.word: r.n for r in counts.join(parts, "word", "left_semi").collect()}
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - sum(found.values())
-    return found | ({"": rest} if rest else {})
+    lengths = F.sequence(F.lit(1), F.least(F.lit(SHORT), F.length("piece") - F.col("at") + 1))
+    parts = starts.select("piece", F.explode(F.transform(lengths, lambda n: F.substring(F.col("piece"), F.col("at"), n))).alias("word")).distinct()
+    short = parts.join(counts.where(F.length("word") <= SHORT), "word").select("piece", "word", "n")
+    grams = starts.where(F.length("piece") - F.col("at") >= SHORT).select("piece", "at", F.substring(F.col("piece"), F.col("at"), F.lit(SHORT)).alias("gram"))
+    more = counts.where(F.length("word") > SHORT).withColumn("gram", F.substring("word", 1, SHORT))
+    long = grams.join(more, "gram").where(F.substring(F.col("piece"), F.col("at"), F.length("word")) == F.col("word")).select("piece", "word", "n").distinct()
+    known = short.unionByName(long).groupBy("piece").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("ns"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
+    ready = pieces.join(known, "piece", "left").join(F.broadcast(total), F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*[b.column(i).to_pylist() for i in range(4)], strict=True)
+            words = [["0"] if piece == "0" else Segmenter(dict(zip(known or (), ns or (), strict=True)), total)(piece) for piece, known, ns, total in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["piece", "words"])
 
+    return ready.select("piece", "known", "ns", "total").mapInArrow(run, "piece string, words array<string>")
 
-def _with_tokens(urls: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """urls(host, path, block) -> a row (block, token) for each token."""
-    words = urls.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment = Segmenter(words.value)
-        for b in batches:
-            rows = [(block, t) for host, path, block in zip(b.host, b.path, b.block, strict=True) for t in tokens_of(host, path, segment)]
-            yield pd.DataFrame(rows, columns=["block", "token"]).astype({"block": "bool", "token": "object"})
+def train_bayes(tokens: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes with add-one smoothing: (token, odds) and one row (prior).
 
-    return urls.mapInPandas(run, "block boolean, token string")
+    tokens(token, bad, good) has each token once with its occurrences in blocked and in allowed urls, rows(block) a row
+    per labelled url.
+    """
+    per = cut(tokens)
+    size = per.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("all_good"))  # one row
+    share = lambda c: F.log((F.col(c) + 1) / (F.col(f"all_{c}") + F.col("n") + 1))
+    odds = per.join(F.broadcast(size), F.lit(True)).select("token", (share("bad") - share("good")).alias("odds"))
+    bad, good = F.count_if("block"), F.count_if(~F.col("block"))
+    return odds, rows.agg(F.when(bad + good > 0, F.log((bad + 1) / (good + 1))).otherwise(F.lit(NO_LABELS)).alias("prior"))
 
 
-def train_bayes(labelled: DataFrame, counts: dict[str, int]) -> dict:
-    """Multinomial naive Bayes with add-one smoothing from all rows of labelled(host, path, block)."""
-    prior = {bool(r.block): r["count"] for r in labelled.groupBy("block").count().collect()}
-    tokens = _with_tokens(labelled.select("host", "path", "block"), counts).groupBy("token").agg(
-        F.count_if("block").alias("bad"), F.count_if(~F.col("block")).alias("good")
-    )
-    rows = tokens.collect()
-    bad, good = sum(r.bad for r in rows) + len(rows) + 1, sum(r.good for r in rows) + len(rows) + 1
-    n_bad, n_good = prior.get(True, 0), prior.get(False, 0)
-    return {
-        "prior": math.log((n_bad + 1) / (n_good + 1)) if n_bad + n_good else -1.0,
-        "odds": {r.token: math.log((r.bad + 1) / bad) - math.log((r.good + 1) / good) for r in rows},
-    }
+def _joined(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to values, unique in on. Keys with over one in HOT_SHARE of all rows, so fewer than HOT_SHARE keys, are broadcast; the others are shuffled."""
+    sizes = cut(rows.groupBy(*on).count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.where(F.col("count") * HOT_SHARE > total).select(*on)
+    hot_values, others = values.join(F.broadcast(hot), on), values.join(F.broadcast(hot), on, "left_anti")
+    near = rows.join(F.broadcast(hot_values), on)
+    return near.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(others, on))
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str]], counts: dict[str, int], model: dict, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules: list[tuple[str, str]], counts: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
-    """(id, host, path, rule, verdict, block_score, words) of every url; the rule's verdict, else the model's."""
-    spark = pages.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((counts, model))
-    urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-
-    @F.pandas_udf(T.StructType([T.StructField("block_score", T.DoubleType()), T.StructField("words", T.StringType())]))
-    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        counts, model = shared.value
-        segment, odds = Segmenter(counts), model["odds"]
-        for hosts, paths in batches:
-            rows = []
-            for host, path in zip(hosts, paths, strict=True):
-                tokens = tokens_of(host, path, segment)
-                logit = model["prior"] + sum(odds.get(t, 0.0) for t in tokens)
-                rows.append((1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))), " ".join(tokens)))
-            yield pd.DataFrame(rows, columns=["block_score", "words"])
-
-    scored = apply_rules(urls, rules).withColumn("_judged", judged("host", "path"))
-    by_model = F.when(F.col("_judged.block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "_judged.block_score", "_judged.words")
+    """(id, host, path, rule, verdict, block_score, words) of every url; the rule's verdict, else the model's.
+
+    counts(word, n) are the corpus's words; labels(doc_id, block) judge the documents that urls name by the first whole
+    number in their path, and are what the model learns from.
+    """
+    ship(pages.sparkSession)
+    number = F.try_to_number(F.regexp_extract("path", r"/([0-9]{1,18})(?:\D|$)", 1), F.lit("9" * 18)).cast("long")
+    urls = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path"))
+    urls = cut(urls)
+    exploded = urls.select("_row", F.posexplode(pieces_of(F.col("host"), F.col("path"))).alias("pos", "p")).select("_row", "pos", "p.mark", "p.piece")
+    kinds = cut(exploded.select("mark", "piece").distinct())
+    words = cut(segmented(kinds.select("piece").distinct(), counts))
+    tokens = kinds.join(words, "piece").select("mark", "piece", F.posexplode(F.transform("words", lambda w: F.concat("mark", w))).alias("at", "token"))
+    scores = tokens.select("mark", "piece", "at", "token", F.lit(0.0).alias("odds"))
+    prior = pages.sparkSession.range(1).select(F.lit(NO_LABELS).alias("prior"))
+    if labels is not None:
+        judged = cut(urls.select("_row", number.alias("doc_id")).join(labels.select("doc_id", "block"), "doc_id").select("_row", "block"))
+        by_piece = judged.join(exploded, "_row").groupBy("mark", "piece").agg(F.count_if("block").alias("bad"), F.count_if(~F.col("block")).alias("good"))
+        weighed = by_piece.join(tokens, ["mark", "piece"])
+        odds, prior = train_bayes(weighed.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), judged)
+        scores = tokens.join(odds, "token", "left").select("mark", "piece", "at", "token", F.coalesce("odds", F.lit(0.0)).alias("odds"))
+    per_piece = cut(scores.groupBy("mark", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "token", "odds"))).alias("tokens")))
+    found = _joined(exploded, per_piece, ["mark", "piece"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
+    flat = F.flatten(F.transform("all", lambda p: p["tokens"]))
+    found = found.select("_row", F.array_join(F.transform(flat, lambda t: t["token"]), " ").alias("words"), F.aggregate(flat, F.lit(0.0), lambda s, t: s + t["odds"]).alias("logit"))
+    scored = urls.join(found, "_row", "left").join(F.broadcast(prior), F.lit(True))
+    logit = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("prior") + F.coalesce("logit", F.lit(0.0))))
+    scored = scored.select("_id", "host", "path", (1 / (1 + F.exp(-logit))).alias("block_score"), F.coalesce("words", F.lit("")).alias("words"))
+    by_model = F.when(F.col("block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
+    return apply_rules(scored, rules).select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "block_score", "words")
 
 
 #: The rules of the query.
@@ -206,14 +225,7 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     """All pages. The words are those of the pages; the labels those of the document that a url's number names (toxic or of low quality: block)."""
-    ship(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    counts = word_counts(pages, "html", pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    number = F.try_to_number(F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:\D|$)", 1), F.lit("9" * 18)).cast("long")
-    labelled = (
-        pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), number.alias("doc_id"))
-        .join(labels, "doc_id")
-        .select("host", "path", ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("block"))
-    )
-    return filter_urls(pages, RULES, counts, train_bayes(labelled, counts))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    block = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    return filter_urls(pages, RULES, cut(word_counts(pages, "html")), labels.select("doc_id", block.alias("block")))

@@ -41,15 +41,18 @@ def test_oracles(spark, name):
 def test_rules_and_urls(spark):
     urls = [None, "no scheme", "HTTP://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "http://xexample.com/en/7", "http://net", "http://m.example.net/de/81", "http://a.org/es/", "ftp://a.b.net/de/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    counts, model = {"best": 5, "hotels": 5, "deals": 5}, {"prior": -1.0, "odds": {"h:deals": 9.0}}
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.RULES, counts, model).collect()}
+    df = df.withColumn("host", F.lit("x")).withColumn("words", F.lit(1)).withColumn("_row", F.lit(2))
+    counts = spark.createDataFrame([("best", 5), ("hotels", 5), ("deals", 5)], "word string, n long")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.RULES, counts).collect()}
     assert got[0] == got[1] == ("", "", None, "allow")
     assert got[2] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
     assert got[3][2:] == ("com/en/", "block") and got[4][2:] == ("com/en/", "block") and got[5] == ("net", "", None, "allow")
     assert got[6][2:] == ("example.net/de/8", "block") and got[7][2:] == ("org/es/", "block") and got[8][2:] == ("net/de/", "allow")
-    assert url_filter.Segmenter(counts)("besthoteldealsx"[:4] + "hotelsdeals") == ["best", "hotels", "deals"]
     many = [*url_filter.RULES, *[("block", f"h{i}.zz/") for i in range(300)]]
-    assert {r.page_id: r.rule for r in url_filter.filter_urls(df, many, counts, model).collect()} == {k: v[2] for k, v in got.items()}
+    assert {r.page_id: r.rule for r in url_filter.filter_urls(df, many, counts).collect()} == {k: v[2] for k, v in got.items()}
+    for twice in ([("allow", "org/"), ("block", "org/")], [*[("block", f"h{i}.zz/") for i in range(300)], ("allow", "org/"), ("block", "org/")]):
+        assert {r.verdict for r in url_filter.filter_urls(df, twice, counts).where("rule = 'org/'").collect()} == {"allow"}
+    assert url_filter.filter_urls(df.limit(0), url_filter.RULES, counts).count() == 0
 
 
 def test_chat_round_trip(spark):
