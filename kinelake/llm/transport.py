@@ -2,12 +2,13 @@
 
 A stream has a program association and a program map table (before every random-access point), and one elementary stream
 of private data: the payload in packetized parts of PES_BYTES with presentation time stamps, every RANDOM_EVERY-th of
-them a random-access point with a clock reference. The reader parses the tables, checks their CRC and all continuity
-counters, reassembles the parts and lists time stamps and random-access points.
+them a random-access point with a clock reference. The reader parses the tables, which may span packets, checks their CRC
+and all continuity counters, drops packets sent twice, reassembles the parts of every elementary stream by itself and
+lists time stamps and random-access points.
 
 Defined results: a null text is empty; a payload is never empty (64 bytes of 0 at least); equal payloads give equal
-streams; rows keep their multiplicity; only the id and text columns are read; an empty table gives an empty result;
-bytes that are no transport stream raise ValueError.
+streams; rows keep their multiplicity; only the id and text columns are read; ids are cast to long (one that is no number
+fails under ANSI mode and is null without it); an empty table gives an empty result; bytes that are no transport stream raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from kinelake.runtime import ship
 
 PACKET, SYNC = 188, 0x47
-PAT_PID, PMT_PID, ES_PID, PROGRAM, PRIVATE = 0x0000, 0x1000, 0x0100, 1, 0x06
+PAT_PID, PMT_PID, ES_PID, NULL_PID, PROGRAM, PRIVATE = 0x0000, 0x1000, 0x0100, 0x1FFF, 1, 0x06
 PES_BYTES, RANDOM_EVERY, TICKS, FIRST_PTS = 4096, 8, 3000, 90_000
 ALIGN = 64
 
@@ -101,15 +102,51 @@ def _pts(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
 
 
+class _Sections:
+    """Reassembles the program tables of one PID; a section may span packets and follow another."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def add(self, data: bytes, starts: bool) -> Iterator[bytes]:
+        if starts:
+            before, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if self.held is not None:
+                self.held += before
+                yield from self._whole()
+            self.held = b""
+        if self.held is not None:
+            self.held += data
+            yield from self._whole()
+
+    def _whole(self) -> Iterator[bytes]:
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < size:
+                return
+            yield self.held[:size]
+            self.held = self.held[size:]
+        if self.held[:1] == b"\xff":  # stuffing up to the end of the packet
+            self.held = None
+
+
 def demux(stream: bytes) -> dict:
-    """payload, pts (of each part), random_access (indices of parts), counter_errors, crc_errors, programs, packets."""
+    """What a stream holds, read back.
+
+    streams (by elementary PID: its payload), payload (that of the smallest elementary PID), pts (time stamps of that
+    PID's parts, None for a part without), random_access (indices of its parts), counter_errors, crc_errors, programs,
+    packets. A packet may be sent twice in a row: the second is dropped. A lost packet is a counter error.
+    """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     pmt_pids: dict[int, int] = {}
-    es_pids: set[int] = set()
     counters: dict[int, int] = {}
-    parts: list[list[bytes]] = []
-    random_access, counter_errors, crc_errors = [], 0, 0
+    before: dict[int, bytes] = {}
+    doubled: set[int] = set()
+    tables: dict[int, _Sections] = {}
+    parts: dict[int, list[list[bytes]]] = {}
+    random_access: dict[int, list[int]] = {}
+    counter_errors = crc_errors = 0
     for at in range(0, len(stream), PACKET):
         sync, b1, b2, b3 = stream[at : at + 4]
         if sync != SYNC:
@@ -119,43 +156,55 @@ def demux(stream: bytes) -> dict:
             length = stream[body]
             flags = stream[body + 1] if length else 0
             body += 1 + length
-        if not kind & 0x10:
+        if not kind & 0x10 or pid == NULL_PID:
             continue
-        if pid in counters and b3 & 15 != counters[pid] + 1 & 15 and not flags & 0x80:
-            counter_errors += 1
-        counters[pid] = b3 & 15
         data = stream[body : at + PACKET]
-        if pid in es_pids:
-            if b1 & 0x40:
+        if pid in counters and not flags & 0x80:
+            if b3 & 15 == counters[pid] and data == before[pid] and pid not in doubled:
+                doubled.add(pid)
+                continue
+            counter_errors += b3 & 15 != counters[pid] + 1 & 15
+        doubled.discard(pid)
+        counters[pid], before[pid] = b3 & 15, data
+        starts = bool(b1 & 0x40)
+        if pid in parts:
+            if starts:
                 if flags & 0x40:
-                    random_access.append(len(parts))
-                parts.append([data])
-            elif parts:
-                parts[-1].append(data)
-        elif (pid == PAT_PID or pid in pmt_pids) and b1 & 0x40:
-            data = data[1 + data[0] :]
-            section = data[: 3 + ((data[1] & 0x0F) << 8 | data[2])]
-            if section_crc(section):
-                crc_errors += 1
-            elif pid == PAT_PID:
-                for i in range(8, len(section) - 4, 4):
-                    if number := section[i] << 8 | section[i + 1]:
-                        pmt_pids[(section[i + 2] & 0x1F) << 8 | section[i + 3]] = number
-            else:
-                i = 12 + ((section[10] & 0x0F) << 8 | section[11])
-                while i < len(section) - 4:
-                    es_pids.add((section[i + 1] & 0x1F) << 8 | section[i + 2])
-                    i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
-    payload, stamps = [], []
-    for part in parts:
-        pes = b"".join(part)
-        if pes[:3] != b"\x00\x00\x01":
-            raise ValueError("a packetized part without its start code")
-        length = pes[4] << 8 | pes[5]
-        if pes[7] & 0x80:
-            stamps.append(_pts(pes[9:14]))
-        payload.append(pes[9 + pes[8] : 6 + length if length else None])
-    return {"payload": b"".join(payload), "pts": stamps, "random_access": random_access, "counter_errors": counter_errors, "crc_errors": crc_errors, "programs": len(pmt_pids), "packets": len(stream) // PACKET}
+                    random_access[pid].append(len(parts[pid]))
+                parts[pid].append([data])
+            elif parts[pid]:
+                parts[pid][-1].append(data)
+        elif pid == PAT_PID or pid in pmt_pids:
+            for section in tables.setdefault(pid, _Sections()).add(data, starts):
+                if section_crc(section):
+                    crc_errors += 1
+                elif pid == PAT_PID:
+                    for i in range(8, len(section) - 4, 4):
+                        if number := section[i] << 8 | section[i + 1]:
+                            pmt_pids[(section[i + 2] & 0x1F) << 8 | section[i + 3]] = number
+                else:
+                    i = 12 + ((section[10] & 0x0F) << 8 | section[11])
+                    while i < len(section) - 4:
+                        found = (section[i + 1] & 0x1F) << 8 | section[i + 2]
+                        parts.setdefault(found, [])
+                        random_access.setdefault(found, [])
+                        i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
+    streams, stamps = {}, {}
+    for pid, held in parts.items():
+        payload, stamps[pid] = [], []
+        for part in held:
+            pes = b"".join(part)
+            if pes[:3] != b"\x00\x00\x01":
+                raise ValueError("a packetized part without its start code")
+            length = pes[4] << 8 | pes[5]
+            stamps[pid].append(_pts(pes[9:14]) if pes[7] & 0x80 else None)
+            payload.append(pes[9 + pes[8] : 6 + length if length else None])
+        streams[pid] = b"".join(payload)
+    main = min(streams, default=None)
+    return {
+        "streams": streams, "payload": streams.get(main, b""), "pts": stamps.get(main, []), "random_access": random_access.get(main, []),
+        "counter_errors": counter_errors, "crc_errors": crc_errors, "programs": len(pmt_pids), "packets": len(stream) // PACKET,
+    }
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
