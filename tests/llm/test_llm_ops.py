@@ -307,6 +307,70 @@ def test_transport_round_trip():
         transport.demux(b"\x00" * 188)
 
 
+def _table_packets(pid, section, sizes):
+    """A table that spans packets, so many bytes of it in each."""
+    out, at = [], 0
+    for i, n in enumerate(sizes):
+        data = (b"\x00" if i == 0 else b"") + section[at : at + n]
+        at += n
+        stuffing = 183 - len(data) if i < len(sizes) - 1 else None
+        if stuffing is None:
+            out.append(bytes([0x47, pid >> 8 | (0x40 if i == 0 else 0), pid & 255, 0x10 | i]) + data.ljust(184, b"\xff"))
+        else:
+            out.append(bytes([0x47, pid >> 8 | (0x40 if i == 0 else 0), pid & 255, 0x30 | i, stuffing]) + (b"\x00".ljust(stuffing, b"\xff") if stuffing else b"") + data)
+    return out
+
+
+def test_transport_reads_legal_streams():
+    payload = random.Random(1).randbytes(9000)
+    stream = transport.mux(payload)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    twice = transport.demux(b"".join(p for i, p in enumerate(packets) for _ in range(2 if i % 7 == 3 or i < 3 else 1)))
+    assert twice["payload"] == payload and twice["counter_errors"] == 0
+    assert transport.demux(b"".join([*packets[:9], packets[8], packets[8], *packets[9:]]))["counter_errors"] == 1
+    # a second elementary stream in a map table that spans packets
+    other = [p[:1] + bytes([p[1] & 0xE0 | 0x02, 0x05]) + p[3:] for p in packets if (p[1] & 0x1F) << 8 | p[2] == transport.ES_PID]
+    pid, private = (0xE000 | transport.ES_PID).to_bytes(2, "big"), bytes([transport.PRIVATE])
+    pmt = transport._section(2, 1, pid + b"\xf0\x00" + private + pid + b"\xf0\x00" + private + b"\xe2\x05\xf0\x04ABCD")
+    mixed = [packets[0], *_table_packets(transport.PMT_PID, pmt, (7, 11, len(pmt) - 18))]
+    mine = [p for p in packets if (p[1] & 0x1F) << 8 | p[2] == transport.ES_PID]
+    for a, b in zip(mine, other):
+        mixed += [a, b, b"\x47\x1f\xff\x10".ljust(188, b"\xff")]
+    both = transport.demux(b"".join(mixed))
+    assert both["streams"] == {transport.ES_PID: payload, 0x205: payload} and both["counter_errors"] == both["crc_errors"] == 0
+    broken = bytearray(b"".join(packets))
+    broken[188 + 12] ^= 1
+    assert transport.demux(bytes(broken))["crc_errors"] == 1
+
+
+def _read_independently(stream):
+    """Payload of the one elementary stream: adaptation fields off, parts cut at their starts, headers off."""
+    pes = []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        if int.from_bytes(p[1:3], "big") & 0x1FFF != 0x100:
+            continue
+        body = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+        if p[1] & 0x40:
+            pes.append(b"")
+        pes[-1] += body
+    return b"".join(x[9 + x[8] :] for x in pes)
+
+
+def test_transport_query_as_brute_force(spark, odd):
+    clash = odd.withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit("x"))
+    media = {r.doc_id: bytes(r.media) for r in transport.store(clash).collect()}
+    got = {r.doc_id: r for r in transport.features(transport.store(clash)).collect()}
+    for r in odd.collect():
+        text = (r.text or "").encode()
+        want = text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
+        g, m = got[r.doc_id], media[r.doc_id]
+        assert _read_independently(m) == want
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(text), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (g.media_bytes, g.media_sha256) == (len(m), hashlib.sha256(m).hexdigest()) and "counter_errors=0;crc_errors=0" in g.feature
+    assert transport.features(transport.store(odd.limit(0))).count() == 0
+
+
 def test_transport_odd_rows(spark, odd):
     rows = {r.doc_id: r for r in transport.features(transport.store(odd)).collect()}
     assert rows[0].payload_bytes == 64 and rows[0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() and rows[6].media_sha256 == rows[7].media_sha256
@@ -338,6 +402,34 @@ def test_language_sample_takes_a_repeated_id_once(spark, monkeypatch):
     kept = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
     docs = spark.createDataFrame([(kept, f"the {i} words of a text", "en") for i in range(300)], "doc_id long, text string, lang string")
     seen = []
-    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append((len(x), langs)))
+    monkeypatch.setattr(langid, "fit", lambda x, langs, spark: seen.append((len(x), langs)))
     langid.train(docs)
     assert seen == [(1, ["en"])]
+
+
+def test_language_votes_and_ties():
+    assert langid.decide(["a", "b", "c"], {("a", "b"): 1.0, ("a", "c"): 0.5, ("b", "c"): -2.0}) == ("a", 0.5)
+    # one vote each: a beats b by 3, b beats c by 1, c beats a by 1
+    assert langid.decide(["a", "b", "c"], {("a", "b"): 3.0, ("a", "c"): -1.0, ("b", "c"): 1.0}) == ("a", -1.0)
+    assert langid.decide(["a", "b"], {("a", "b"): 0.0}) == ("a", 0.0) and langid.decide(["a"], {}) == ("a", float("inf"))
+    assert langid.decide(["a", "b", "c"], {("a", "b"): 1.0, ("b", "c"): 1.0, ("a", "c"): -1.0})[0] == "a"  # equal sums too: the name
+
+
+def test_machine_separates():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(1, 0.2, (50, 6)), rng.normal(-1, 0.2, (20, 6))]).astype(np.float32)
+    y = np.repeat([1, -1], (50, 20))
+    w = langid.train_svm(x, y)
+    assert (np.sign(x @ w[:-1] + w[-1]) == y).all() and (y * (x @ w[:-1] + w[-1])).min() > 0.5
+
+
+def test_more_than_a_hundred_languages_and_one(spark):
+    rng = random.Random(8)
+    words = {f"x{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for i in range(105)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(sorted(words) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    found = langid.identify(docs, langid.train(docs), keep=("lang",)).where(langid.held_out(F.col("doc_id"))).collect()
+    assert len({r.lang_pred for r in found}) > 100 and sum(r.lang == r.lang_pred for r in found) > 0.95 * len(found)
+    one = docs.where("lang = 'x001'")
+    assert {(r.lang_pred, r.score) for r in langid.identify(one, langid.train(one)).collect()} == {("x001", 1.0)}
+    assert langid.identify(docs.limit(0), langid.train(docs.limit(0))).count() == 0
