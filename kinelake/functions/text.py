@@ -73,17 +73,26 @@ def year_strict(title: Column) -> Column:
     return F.when(F.size(years) == 1, F.get(years, F.lit(0)).cast("int"))
 
 
-def year_ranked(text: Column, upload_year: Column) -> Column:
-    """struct<year, confidence>: the earliest valid year next to a recording word or in a date, else in brackets; years that belong to an opus number don't count."""
-    plain = F.regexp_replace(text, rf"(?i)(?:op\.?|no\.?|k\.?|bwv|d\.)\s*{YEAR}", " ")
+# fixed values: patterns of a catalog number and of dates; only the last of them can begin inside a catalog number
+OPUS = rf"(?i)(?:op\.?|no\.?|k\.?|bwv|d\.)\s*{YEAR}"
+
+
+def year_ranked(text: Column, upload_year: Column, this_year: Column | None = None) -> Column:
+    """struct<year, confidence>: the earliest valid year next to a recording word or in a date, else in brackets.
+
+    What begins inside a catalog number is no year. Years after upload_year don't count, where it is null or 0 those after
+    this_year (the current year unless given).
+    """
+    latest = F.coalesce(F.nullif(upload_year, F.lit(0)), F.year(F.current_date()) if this_year is None else this_year)
     ranked = {
         "context": [rf"(?i)(?:{CONTEXT})[^.\n]{{0,60}}?{YEAR}", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})[a-z]*\.?,?\s+{YEAR}\b", rf"(?i)\b(?:{MONTHS})[a-z]*\.?\s+\d{{1,2}},?\s+{YEAR}\b", rf"\b{YEAR}-\d{{2}}-\d{{2}}\b"],
         "weak": [rf"[(\[]\s*{YEAR}\s*[)\]]"],
     }
 
     def first(patterns: list[str]) -> Column:
-        years = F.transform(F.concat(*[F.regexp_extract_all(plain, F.lit(p), F.lit(1)) for p in patterns]), lambda y: y.cast("int"))
-        return F.array_min(F.filter(years, lambda y: (y >= RANKED_MIN) & (y <= upload_year)))
+        source = lambda p: F.regexp_replace(text, OPUS, " ") if p.startswith(rf"\b{YEAR}") else text
+        years = F.transform(F.concat(*[F.regexp_extract_all(source(p), F.lit(p), F.lit(1)) for p in patterns]), lambda y: y.cast("int"))
+        return F.array_min(F.filter(years, lambda y: (y >= RANKED_MIN) & (y <= latest)))
 
     strong, weak = first(ranked["context"]), first(ranked["weak"])
     return F.struct(F.coalesce(strong, weak).alias("year"), F.when(strong.isNotNull(), "context").when(weak.isNotNull(), "weak").otherwise("").alias("confidence"))

@@ -83,36 +83,80 @@ def interleaved(rows: DataFrame) -> DataFrame:
     return ranked.join(placed.drop("count"), ["round", "conductor", "video_id"])
 
 
-def review_order(rows: DataFrame) -> list[Column]:
-    """Model-scored rows first, most probable rejects first; then by the rescored percentile, blanks in front; then the key."""
-    p, p90 = F.try_to_number("model_p", F.lit("9.9999")), F.coalesce(F.col("rescore_p90"), F.lit(-1.0))
-    return [p.isNull(), F.desc_nulls_last(p), p90, F.col("run")]
+def review_queue(rows: DataFrame, only_pending: bool = True, accept_first: bool = False) -> DataFrame:
+    """rows with their ``position``: model-scored ones first, most probable rejects first (accept_first: last); then by rescore_p90, blanks in front; then the run.
 
-
-def review_positions(rows: DataFrame) -> DataFrame:
-    """rows with their ``position`` in review_order, from counts per rank of model_p and rescore_p90, not from one global window over rows."""
+    Positions come from counts per rank of model_p and rescore_p90, not from one global window over rows.
+    """
     p = F.try_to_number("model_p", F.lit("9.9999"))
-    ranked = rows.withColumn("_p", F.coalesce(p, F.lit(-1).cast("decimal(5,4)"))).withColumn("_q", F.coalesce(F.col("rescore_p90"), F.lit(-1.0)))
+    kept = rows.where("trim(coalesce(verdict, '')) = ''") if only_pending else rows
+    ranked = kept.withColumn("_p", F.coalesce(p if accept_first else -p, F.lit(9).cast("decimal(5,4)"))).withColumn("_q", F.coalesce(F.col("rescore_p90"), F.lit(-1.0)))
     sizes = ranked.groupBy("_p", "_q").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy(F.desc("_p"), "_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("count").over(W.orderBy("_p", "_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(W.partitionBy("_p", "_q").orderBy("run"))
     placed = ranked.withColumn("_within", within).join(sizes.withColumn("_before", before).drop("count"), ["_p", "_q"])
     return placed.withColumn("position", (F.col("_before") + F.col("_within")).cast("long")).drop("_p", "_q", "_within", "_before")
 
 
+def footage(runs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(video_id, footage, quality): frames in the segments of a video's runs(video_id, run, conf), and their mean conf weighted by frames."""
+    per = segments.groupBy("run").agg(F.sum(F.col("b") - F.col("a")).alias("frames"))
+    return per.join(runs, "run").groupBy("video_id").agg(F.sum("frames").alias("footage"), F.try_divide(F.sum(F.col("conf") * F.col("frames")), F.sum("frames")).alias("quality"))
+
+
 def undo_pick(ledger: DataFrame) -> DataFrame:
     """The one row that an undo resets: of judged rows that didn't inherit their verdict, the latest stamp; without any stamp, the largest key."""
-    judged = ledger.where("verdict <> '' AND source_verdict = ''")
-    key = F.struct("judged_at", "conductor", "video_id", "run")
+    judged = ledger.where("trim(verdict) <> '' AND trim(source_verdict) = ''")
+    key = F.struct(F.coalesce("judged_at", F.lit("")), "conductor", "video_id", "run")
     return judged.agg(F.max_by(F.struct("conductor", "video_id", "run", "judged_at"), key).alias("r")).select("r.*")
 
 
-def apply_model(rows: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
-    """Pending rows get model_p (four digits), and a tagged reject at or above the threshold; judged rows stay as they are."""
-    both = rows.join(scores, "run", "left")
-    pending = (F.col("verdict") == "") & F.col("p").isNotNull()
-    auto = pending & (F.col("p") >= threshold)
-    return both.select("run", F.when(auto, "reject").otherwise(F.col("verdict")).alias("verdict"), F.when(pending, F.format_string("%.4f", "p")).otherwise("").alias("model_p"), F.when(auto, "auto").otherwise("").alias("model_auto"))
+def undo(ledger: DataFrame) -> DataFrame:
+    """The ledger with its latest human verdict and stamp taken back; the pick is one row."""
+    pick = undo_pick(ledger).select("conductor", "video_id", "run", F.lit(True).alias("_undo"))
+    both = ledger.join(F.broadcast(pick), ["conductor", "video_id", "run"], "left")
+    blank = lambda c: F.when(F.col("_undo"), "").otherwise(F.col(c)).alias(c)
+    return both.select(*[blank(c) if c in ("verdict", "judged_at") else c for c in ledger.columns])
+
+
+def apply_model(rows: DataFrame, scores: DataFrame, threshold: float | None, tag: str = "auto") -> DataFrame:
+    """Pending rows get model_p (four digits), and a tagged reject at or above the threshold (None: no rejects); judged rows keep every column as it is."""
+    blank = [F.lit("").alias(c) for c in ("model_p", "model_auto") if c not in rows.columns]
+    both = rows.select("*", *blank).join(scores.select("run", F.col("p").alias("_p")), "run", "left")
+    pending = (F.trim(F.coalesce("verdict", F.lit(""))) == "") & F.col("_p").isNotNull()
+    auto = pending & (F.lit(False) if threshold is None else F.col("_p") >= threshold)
+    made = {"verdict": F.when(auto, "reject").otherwise(F.col("verdict")), "model_p": F.when(pending, F.format_string("%.4f", "_p")).otherwise(F.col("model_p")), "model_auto": F.when(auto, tag).otherwise(F.col("model_auto"))}
+    return both.select(*[made[c].alias(c) if c in made else c for c in [*rows.columns, *(c for c in ("model_p", "model_auto") if c not in rows.columns)]])
+
+
+# fixed values: what a run or a clip may be judged as; blank takes a verdict back
+VERDICTS = ("", "accept", "reject", "skeljump", "hold")
+
+
+def valid_verdict(verdict: Column, allowed: tuple[str, ...] = VERDICTS) -> Column:
+    """The verdict itself; an error for any other value, null too."""
+    return F.when(verdict.isin(*allowed), verdict).otherwise(F.raise_error(F.concat(F.lit("invalid verdict: "), F.coalesce(verdict, F.lit("null")))).cast("string"))
+
+
+def record_verdicts(ledger: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """ledger with the verdicts of changes(conductor, run, verdict), stamped now, or with no stamp where blank. An unknown verdict or run is an error."""
+    made = changes.select(*LEDGER_KEY, valid_verdict(F.col("verdict")).alias("_verdict"), F.lit(True).alias("_new"))
+    both = ledger.withColumn("_old", F.lit(True)).join(made, LEDGER_KEY, "full_outer")
+    known = F.when(F.col("_old"), F.col("_new")).otherwise(F.raise_error(F.concat(F.lit("no such run: "), F.col("run").cast("string"))).cast("boolean"))
+    set_to = {"verdict": F.col("_verdict"), "judged_at": F.when(F.col("_verdict") == "", "").otherwise(now)}
+    both = both.withColumn("_hit", known)
+    return both.select(*[F.when(F.col("_hit"), set_to[c]).otherwise(F.col(c)).alias(c) if c in set_to else c for c in ledger.columns])
+
+
+def record_clip_verdicts(clips: DataFrame, changes: DataFrame) -> DataFrame:
+    """clips(video_id, clip_num, verdict, crops, ...) with changes(video_id, clip_num, verdict, crops) on every row of the clip; null crops clear what was there. An unknown verdict or clip is an error."""
+    number = F.lpad(F.trim(F.col("clip_num").cast("string")), 2, "0")
+    keys = [F.trim("video_id").alias("_video"), number.alias("_number")]
+    made = changes.select(*keys, valid_verdict(F.col("verdict")).alias("_verdict"), F.coalesce("crops", F.lit("")).alias("_crops"), F.lit(True).alias("_new"))
+    both = clips.select("*", *keys, F.lit(True).alias("_old")).join(made, ["_video", "_number"], "full_outer")
+    known = F.when(F.col("_old"), F.col("_new")).otherwise(F.raise_error(F.concat(F.lit("no such clip: "), F.col("_video"))).cast("boolean"))
+    both = both.withColumn("_hit", known)
+    return both.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("verdict", "crops") else c for c in clips.columns])
 
 
 def metadata_gate(title: Column, channel: Column, duration: Column, views: Column, aliases: list[str], exclude: list[str], low: int, high: int, min_views: int) -> Column:

@@ -45,6 +45,30 @@ def accuracy_against_chance(predicted: DataFrame) -> DataFrame:
     return whole.select("n", acc.alias("acc"), c.alias("chance"), ((acc - c) / F.sqrt(F.greatest(F.lit(1e-9), c * (1 - c) / F.col("n")))).alias("z"))
 
 
+def window_chance(matrix: DataFrame) -> DataFrame:
+    """(n, chance, acc) of confusion counts (y, pred, n): the largest true class's share, and what was hit."""
+    per = matrix.groupBy("y").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"))
+    total = F.sum("n")
+    return per.agg(total.alias("n"), F.try_divide(F.max("n"), total).alias("chance"), F.try_divide(F.sum("hit"), total).alias("acc"))
+
+
+def crop_subgroup(scored: DataFrame, threshold: float | None) -> DataFrame:
+    """(n, false_reject, rate) among accepted rows that have crops, of scored(p, y, has_crops); without a threshold, or without such rows, nothing is rejected and the rate is null."""
+    above = F.lit(False) if threshold is None else F.col("p") >= threshold
+    rate = F.lit(None).cast("double") if threshold is None else F.try_divide(F.count_if(above), F.count("*"))
+    return scored.where("y = 0 AND has_crops").agg(F.count("*").alias("n"), F.count_if(above).alias("false_reject"), rate.alias("rate"))
+
+
+def distinct_counts(rows: DataFrame, by: list[str], what: dict[str, list[str]]) -> DataFrame:
+    """(by, a count of distinct values for each name in what)."""
+    return rows.groupBy(*by).agg(*[F.count_distinct(*cols).alias(name) for name, cols in what.items()])
+
+
+def mean_scores(rows: DataFrame, by: list[str], score: str) -> DataFrame:
+    """(by, n, score): the mean of a recording's scores, nulls left out."""
+    return rows.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("score"))
+
+
 def average_rank(by: str, value: str) -> Column:
     """0-based rank within ``by``, ties at their mean."""
     w = W.partitionBy(by).orderBy(value)

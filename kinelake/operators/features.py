@@ -47,13 +47,14 @@ def autocorrelation_peak(x: np.ndarray, min_lag: int = 3) -> float:
 
 
 def spectrum_peak(x: np.ndarray) -> tuple[float, float]:
-    """(share of power at the peak and its neighbours, period in frames) of a Hann-windowed track, the mean left out."""
-    power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
-    power = power[1:]
-    if not len(power) or power.sum() < EPS:
+    """(share of power at the peak and its neighbours, period in frames) of a Hann-windowed track, the mean left out. A flat track has no peak and its own length as period; fewer than three frequencies, or hardly any power, give no share."""
+    x = x - x.mean()
+    power = (np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2)[1:]
+    if x.std() < EPS or not len(power):
         return 0.0, float(len(x))
     at = int(np.argmax(power))
-    return float(power[max(0, at - 1) : at + 2].sum() / power.sum()), len(x) / (at + 1)
+    share = power[max(0, at - 1) : at + 2].sum() / power.sum() if len(power) >= 3 and power.sum() >= EPS else 0.0
+    return float(share), len(x) / (at + 1)
 
 
 def spectral_features(track: DataFrame, by: str = "run") -> DataFrame:

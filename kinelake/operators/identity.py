@@ -134,14 +134,14 @@ def band(value: Column, limits: tuple[float, float]) -> Column:
     return F.when(value >= limits[0], "accept").when(value >= limits[1], "hold").otherwise("reject")
 
 
-def decide(frontal: Column, n_frontal: Column, identity: Column, crop: Column) -> Column:
-    """struct<decision, reasons>: any reject rejects, any hold holds; a crop alone never rejects, unknown identity holds."""
-    f = F.when(n_frontal < MIN_FRONTAL, "reject").otherwise(band(frontal, FRONTAL))
+def decide(frontal: Column, n_frontal: Column | None, identity: Column, crop: Column, identity_enabled: bool = True) -> Column:
+    """struct<decision, reasons>: any reject rejects, any hold holds; a crop alone never rejects, unknown identity holds. identity_enabled: False leaves identity out; n_frontal: None doesn't count frames."""
+    f = band(frontal, FRONTAL) if n_frontal is None else F.when(n_frontal < MIN_FRONTAL, "reject").otherwise(band(frontal, FRONTAL))
     i, c = F.when(identity.isNull(), "hold").otherwise(band(identity, IDENTITY)), band(crop, CROP)
-    bands = F.array(f, i, F.when(c == "reject", "hold").otherwise(c))
+    bands = F.array(f, *[i][: int(identity_enabled)], F.when(c == "reject", "hold").otherwise(c))
     decision = F.when(F.array_contains(bands, "reject"), "reject").when(F.array_contains(bands, "hold"), "hold").otherwise("accept")
     said = F.concat_ws(
-        ";", F.format_string("frontal=%.2f(%s)", frontal, f), F.when(identity.isNull(), "id=none(hold)").otherwise(F.format_string("id=%.2f(%s)", identity, i)), F.format_string("crop=%.2f(%s)", crop, c)
+        ";", F.format_string("frontal=%.2f(%s)", frontal, f), F.when(F.lit(not identity_enabled), "id=off").when(identity.isNull(), "id=none(hold)").otherwise(F.format_string("id=%.2f(%s)", identity, i)), F.format_string("crop=%.2f(%s)", crop, c)
     )
     return F.struct(decision.alias("decision"), said.alias("reasons"))
 

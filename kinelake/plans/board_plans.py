@@ -78,10 +78,6 @@ def _padded(signal):
 
 
 def padded_steps(spark, d):
-    return _padded(v.v_signal(spark, d).where("t < 40"))
-
-
-def padded_steps_all(spark, d):
     return _padded(v.v_signal(spark, d))
 
 
@@ -98,7 +94,7 @@ def fold_accuracy(spark, d):
     return b.fold_accuracy(_hits(spark, d)).select("folds", F.round("mean_acc", 6).alias("mean_acc"), F.round("pooled_acc", 6).alias("pooled_acc"))
 
 
-QUERIES = {f.__name__: f for f in (meta_merge, year_tab, year_edits, year_edit_errors, review_board, pacing_waits, local_hands, padded_steps, padded_steps_all, padded_tallies, fold_accuracy)}
+QUERIES = {f.__name__: f for f in (meta_merge, year_tab, year_edits, year_edit_errors, review_board, pacing_waits, local_hands, padded_steps, padded_tallies, fold_accuracy)}
 
 _M = "m AS (SELECT p_partkey AS ordinal, p_brand AS conductor, 'v' || (p_partkey % 700) AS video_id, p_name AS title, CAST(p_partkey % 90 + 1930 AS VARCHAR) AS year_title, ['', ' ', '1985', '1980s'][p_partkey % 4 + 1] AS year_manual FROM part)"
 _E = """e AS (SELECT 'v' || (s_suppkey * 13) AS video_id, CASE s_suppkey % 3 WHEN 0 THEN CAST(s_suppkey % 200 + 1850 AS VARCHAR) WHEN 1 THEN (s_suppkey % 10) || '0s' ELSE 'soon' END AS value FROM supplier),
@@ -114,11 +110,9 @@ ORACLES = {
           CASE WHEN k % 3 = 0 OR k % 7 = 0 THEN stem WHEN k % 4 = 0 THEN stem || '_c00' END AS file, NOT (k % 3 = 0 OR k % 7 = 0) AS locked FROM r WHERE k % 5 < 3
         UNION ALL SELECT 'accept', 'x' || stem, 'xk' || k, lpad(CAST(k % 30 AS VARCHAR), 2, '0'), '', '', true, 'x' || stem, false FROM r WHERE k % 11 = 0""",
     "pacing_waits": "SELECT o_orderkey, o_orderkey % 12 IN (5, 10) AS rests, CAST(CASE o_orderkey % 12 WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 900 ELSE 3600 END AS DOUBLE) AS wait_s FROM orders",
-    "local_hands": duck("v_frames") + ", h AS (SELECT *, CASE WHEN j BETWEEN 9 AND 13 THEN 9 WHEN j BETWEEN 15 AND 19 THEN 15 END AS w FROM v_frames) SELECT h.run, h.t, h.j, round(h.x - coalesce(r.x, 0), 6) AS x, round(h.y - coalesce(r.y, 0), 6) AS y FROM h LEFT JOIN v_frames r ON h.run = r.run AND h.t = r.t AND h.w = r.j",
-    "padded_steps": duck("v_signal") + """, s AS (SELECT run, CAST(t AS INTEGER) AS i, CAST(coalesce(lead(flag::INT) OVER (PARTITION BY run ORDER BY t) - flag::INT, 0) AS DOUBLE) AS value FROM v_signal WHERE t < 40), n AS (SELECT run, count(*) AS n FROM s GROUP BY 1)
+    "local_hands": duck("v_frames") + ", h AS (SELECT *, CASE WHEN j BETWEEN 9 AND 13 THEN 9 WHEN j BETWEEN 15 AND 19 THEN 15 END AS w FROM v_frames) SELECT run, t, j, " + ", ".join(f"round({c} - coalesce(CASE w WHEN 9 THEN max({c}) FILTER (j = 9) OVER o WHEN 15 THEN max({c}) FILTER (j = 15) OVER o END, 0), 6) AS {c}" for c in "xy") + " FROM h WINDOW o AS (PARTITION BY run, t)",
+    "padded_steps": duck("v_signal") + """, s AS (SELECT run, CAST(t AS INTEGER) AS i, CAST(coalesce(lead(flag::INT) OVER (PARTITION BY run ORDER BY t) - flag::INT, 0) AS DOUBLE) AS value FROM v_signal), n AS (SELECT run, count(*) AS n FROM s GROUP BY 1)
         SELECT run, i, value, 1 AS mask FROM s UNION ALL SELECT run, CAST(range AS INTEGER), 1.0::DOUBLE, 0 FROM n, range(32) WHERE range >= n""",
     "padded_tallies": f"{_H} SELECT y, count(*) FILTER (is_pad) AS pad_n, count(*) FILTER (is_pad AND hit) AS pad_ok, count(*) FILTER (NOT is_pad) AS unpad_n, count(*) FILTER (NOT is_pad AND hit) AS unpad_ok FROM h GROUP BY y",
     "fold_accuracy": f"{_H}, f AS (SELECT fold, count(*) FILTER (hit) AS ok, count(*) AS n FROM h GROUP BY 1) SELECT count(*) AS folds, round(avg(ok::DOUBLE / n), 6) AS mean_acc, round(sum(ok)::DOUBLE / sum(n)::DOUBLE, 6) AS pooled_acc FROM f",
 }
-#: padded_steps keeps the steps that its SQL names; this is the same for every step.
-ORACLES["padded_steps_all"] = ORACLES["padded_steps"].replace(" WHERE t < 40", "")

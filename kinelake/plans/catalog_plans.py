@@ -29,10 +29,8 @@ def segment_blacklist(spark, d):
 
 def footage_quality(spark, d):
     """Frames and footage-weighted confidence per video."""
-    seg = v.v_segments(spark, d)
     runs = table(spark, d, "orders").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("run"), F.floor("o_totalprice").cast("long").alias("conf"))
-    per = seg.groupBy("run").agg(F.sum(F.col("b") - F.col("a")).alias("frames"))
-    return per.join(runs, "run").groupBy("video_id").agg(F.sum("frames").alias("footage"), F.round(F.sum(F.col("conf") * F.col("frames")) / F.sum("frames"), 6).alias("quality"))
+    return c.footage(runs, v.v_segments(spark, d)).select("video_id", "footage", F.round("quality", 6).alias("quality"))
 
 
 def _clusters(spark, d):
@@ -59,32 +57,65 @@ def ledger_interleave(spark, d):
     return c.interleaved(v.v_ledger(spark, d, False)).select("conductor", "video_id", "run", "round", "position")
 
 
-def _pending(spark, d):
-    return v.v_ledger(spark, d, True).where("verdict = ''").select("run", F.when(F.col("run") % 3 == 0, F.format_string("%.4f", F.col("run") % 997 / 997.0)).alias("model_p"), F.when(F.col("run") % 2 == 0, F.col("run") % 89 / 89.0).alias("rescore_p90"))
+def _ledger_scored(spark, d):
+    return v.v_ledger(spark, d, True).select("run", "verdict", F.when(F.col("run") % 3 == 0, F.format_string("%.4f", F.col("run") % 997 / 997.0)).alias("model_p"), F.when(F.col("run") % 2 == 0, F.col("run") % 89 / 89.0).alias("rescore_p90"))
 
 
 def review_queue(spark, d):
-    q = _pending(spark, d)
-    return q.orderBy(*c.review_order(q)).limit(100).select("run", "model_p")
+    """Every pending row with its position, as is done by default."""
+    return c.review_queue(_ledger_scored(spark, d)).select("position", "run", "model_p")
 
 
-def review_queue_all(spark, d):
-    return c.review_positions(_pending(spark, d)).select("position", "run", "model_p")
+def review_queue_accepts(spark, d):
+    """All rows, judged ones too, the least probable rejects first."""
+    return c.review_queue(_ledger_scored(spark, d), only_pending=False, accept_first=True).select("position", "run", "model_p")
 
 
 def undo_pick(spark, d):
     return c.undo_pick(v.v_ledger(spark, d, True))
 
 
+def undo_reset(spark, d):
+    return c.undo(v.v_ledger(spark, d, True))
+
+
 def model_apply(spark, d):
+    """Judged rows already have a probability from before, which stays."""
     scores = table(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("run"), ((F.col("o_orderkey") % 1009) / 1009.0).alias("p"))
-    return c.apply_model(v.v_ledger(spark, d, True), scores, 0.9)
+    rows = v.v_ledger(spark, d, True).select("conductor", "run", "verdict", "preview", F.when(F.col("run") % 5 == 0, "0.1234").otherwise("").alias("model_p"))
+    return c.apply_model(rows, scores, 0.9)
 
 
 def record_verdicts(spark, d):
-    changes = table(spark, d, "orders").where("o_orderkey % 6 = 0").select(F.col("o_orderpriority").alias("conductor"), F.col("o_orderkey").alias("run"), F.lit("reject").alias("verdict"), F.lit("cut").alias("crops"))
-    old = v.v_ledger(spark, d, True).select("conductor", "run", "verdict", "preview")
-    return c.upsert(old, changes, ["conductor", "run"])
+    """Every third run's verdict is given anew or taken back."""
+    verdict = F.element_at(F.array(*map(F.lit, ("accept", "reject", ""))), (F.floor(F.col("run") / 3) % 3 + 1).cast("int"))
+    changes = v.v_ledger(spark, d, True).where("run % 3 = 0").select("conductor", "run", verdict.alias("verdict"))
+    return c.record_verdicts(v.v_ledger(spark, d, True), changes, F.lit("2026-01-02T03:04:05"))
+
+
+def record_clip_verdicts(spark, d):
+    """Clips are named by video and number with or without leading zeros; a verdict without crops clears them."""
+    clips = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("v"), (F.col("p_partkey") % 900).cast("string")).alias("video_id"), (F.col("p_partkey") % 12).cast("string").alias("clip_num"), F.lit("hold").alias("verdict"), F.when(F.col("p_partkey") % 2 == 0, "1.00-2.00").otherwise("").alias("crops"))
+    changes = clips.where("k % 900 = k AND k % 4 = 0").select("video_id", F.lpad("clip_num", 2, "0").alias("clip_num"), F.lit("accept").alias("verdict"), F.when(F.col("k") % 8 == 0, "3.00-4.00").alias("crops"))
+    return c.record_clip_verdicts(clips, changes)
+
+
+def write_read(spark, d):
+    """A ledger written in each format and read back."""
+    from kinelake.runtime import checkpoint_dir
+
+    out = None
+    for fmt in ("parquet", "orc", "json", "csv"):
+        path = c.write_table(v.v_ledger(spark, d, True).select("conductor", "run", "verdict"), f"{checkpoint_dir(spark)}/ledger_{fmt}", fmt)
+        back = spark.read.schema("conductor string, run long, verdict string").format(fmt).option("header", True).load(path).select("run", F.coalesce("verdict", F.lit("")).alias("verdict"), F.lit(fmt).alias("fmt"))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("fmt", "verdict").agg(F.count("*").alias("n"), F.sum("run").alias("runs"))
+
+
+def first_year(spark, d):
+    k = F.col("p_partkey")
+    m = table(spark, d, "part").select(k.alias("video_id"), F.when(k % 3 == 0, F.concat((1900 + k % 120).cast("string"), F.lit("s "))).when(k % 3 == 1, " soon").alias("year_manual"), F.when(k % 2 == 0, F.concat(F.lit(" "), (1950 + k % 60).cast("string"), F.lit("-05"))).otherwise("").alias("year_desc"), (1960 + k % 50).cast("string").alias("year_title"))
+    return m.select("video_id", text.first_year(F.col("year_manual"), F.col("year_desc"), F.when(F.col("video_id") % 5 != 0, F.col("year_title"))).alias("year"))
 
 
 def metadata_gate(spark, d):
@@ -132,7 +163,11 @@ def year_strict(spark, d):
 
 
 def year_ranked(spark, d):
-    t = v.v_titles_years(spark, d).select("video_id", text.year_ranked(F.col("title"), F.lit(2026)).alias("g"))
+    """Titles of all kinds, some after the video's upload, some without a year of upload."""
+    k = F.col("video_id")
+    tails = ["", " recorded op 1985", " op 1985-03-04", " live 1990", " no. 1950 [1971]", " 3 May 1966 (1970)"]
+    t = v.v_titles_years(spark, d).withColumn("title", F.concat("title", F.element_at(F.array(*map(F.lit, tails)), (k % 6 + 1).cast("int"))))
+    t = t.select("video_id", text.year_ranked(F.col("title"), F.when(k % 5 == 0, 1980).when(k % 5 == 1, 2026), F.lit(2026)).alias("g"))
     return t.select("video_id", "g.year", "g.confidence")
 
 
@@ -163,7 +198,7 @@ def crops(spark, d):
     return table(spark, d, "part").select("p_partkey", text.format_crops(text.parse_crops(raw)).alias("crops"), span["a"].alias("a"), span["z"].alias("z"))
 
 
-QUERIES = {f.__name__: f for f in (accepted_runs, ood_antijoin, segment_blacklist, footage_quality, duplicate_clusters, duplicate_drop, ledger_merge, ledger_interleave, review_queue, review_queue_all, undo_pick, model_apply, record_verdicts, metadata_gate, failure_class, rolling_cap_wait, title_normalize, work_numbers, sessions_exact, sessions_fuzzy, merge_overrides, year_strict, year_ranked, era_bucket, year_span, video_ids, crops)}
+QUERIES = {f.__name__: f for f in (accepted_runs, ood_antijoin, segment_blacklist, footage_quality, duplicate_clusters, duplicate_drop, ledger_merge, ledger_interleave, review_queue, review_queue_accepts, undo_pick, undo_reset, model_apply, record_verdicts, record_clip_verdicts, write_read, first_year, metadata_gate, failure_class, rolling_cap_wait, title_normalize, work_numbers, sessions_exact, sessions_fuzzy, merge_overrides, year_strict, year_ranked, era_bucket, year_span, video_ids, crops)}
 
 _ACC = "acc AS (SELECT * FROM v_runs WHERE verdict = 'accept' OR source_verdict = 'accept')"
 _DUP = duck("v_dup_pairs") + """, e AS (SELECT conductor, vid_a AS a, vid_b AS b FROM v_dup_pairs UNION SELECT conductor, vid_b, vid_a FROM v_dup_pairs),
@@ -174,6 +209,7 @@ _SESS = f""", t AS (SELECT conductor, video_id, {_NORM} AS norm FROM v_titles),
 e AS (SELECT conductor, a, b FROM e0 WHERE a <> b UNION SELECT conductor, b, a FROM e0 WHERE a <> b),
 r AS (SELECT conductor, video_id AS n, video_id AS m FROM t UNION SELECT r.conductor, r.n, e.b FROM r JOIN e ON r.conductor = e.conductor AND r.m = e.a)
 SELECT conductor, n AS video_id, min(m) AS session FROM r GROUP BY 1, 2"""
+_QUEUE = ", q AS (SELECT run, verdict, CASE WHEN run % 3 = 0 THEN printf('%.4f', run % 997 / 997.0::DOUBLE) END AS model_p, CASE WHEN run % 2 = 0 THEN run % 89 / 89.0::DOUBLE END AS p90 FROM v_ledger_old)"
 ORACLES = {
     "accepted_runs": duck("v_runs") + f", {_ACC} SELECT conductor, video_id, run, fps FROM acc",
     "ood_antijoin": duck("v_runs") + f", {_ACC} SELECT conductor, video_id, run FROM acc WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE n_chars < 200 AND d.lang = conductor AND d.source = video_id)",
@@ -189,13 +225,19 @@ CASE WHEN n.run IS NULL THEN o.verdict ELSE coalesce(nullif(o.verdict, ''), n.ve
 CASE WHEN o.run IS NOT NULL THEN o.judged_at ELSE n.judged_at END AS judged_at FROM v_ledger_new n FULL JOIN v_ledger_old o ON n.conductor = o.conductor AND n.run = o.run WHERE n.run IS NOT NULL OR o.verdict <> ''""",
     "ledger_interleave": duck("v_ledger_new") + """, k AS (SELECT conductor, video_id, run, CAST(row_number() OVER (PARTITION BY conductor, video_id ORDER BY run) AS INTEGER) AS round FROM v_ledger_new)
 SELECT *, row_number() OVER (ORDER BY round, conductor, video_id) AS position FROM k""",
-    "review_queue": duck("v_ledger_old") + """, q AS (SELECT run, CASE WHEN run % 3 = 0 THEN printf('%.4f', run % 997 / 997.0::DOUBLE) END AS model_p, CASE WHEN run % 2 = 0 THEN run % 89 / 89.0::DOUBLE END AS p90 FROM v_ledger_old WHERE verdict = '')
-SELECT run, model_p FROM q ORDER BY model_p IS NULL, CAST(model_p AS DECIMAL(6,4)) DESC NULLS LAST, coalesce(p90, -1), run LIMIT 100""",
+    "review_queue": duck("v_ledger_old") + _QUEUE + " SELECT row_number() OVER (ORDER BY model_p IS NULL, CAST(model_p AS DECIMAL(6,4)) DESC NULLS LAST, coalesce(p90, -1), run) AS position, run, model_p FROM q WHERE verdict = ''",
+    "review_queue_accepts": duck("v_ledger_old") + _QUEUE + " SELECT row_number() OVER (ORDER BY model_p IS NULL, CAST(model_p AS DECIMAL(6,4)), coalesce(p90, -1), run) AS position, run, model_p FROM q",
     "undo_pick": duck("v_ledger_old") + " SELECT conductor, video_id, run, judged_at FROM v_ledger_old WHERE verdict <> '' AND source_verdict = '' ORDER BY judged_at DESC, conductor DESC, video_id DESC, run DESC LIMIT 1",
-    "model_apply": duck("v_ledger_old") + """, x AS (SELECT l.run, verdict, CASE WHEN o_orderkey IS NOT NULL THEN (l.run % 1009) / 1009.0::DOUBLE END AS p FROM v_ledger_old l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1) o ON o_orderkey = l.run)
-SELECT run, CASE WHEN verdict = '' AND p >= 0.9 THEN 'reject' ELSE verdict END AS verdict, CASE WHEN verdict = '' AND p IS NOT NULL THEN printf('%.4f', p) ELSE '' END AS model_p, CASE WHEN verdict = '' AND p >= 0.9 THEN 'auto' ELSE '' END AS model_auto FROM x""",
-    "record_verdicts": duck("v_ledger_old") + """, ch AS (SELECT o_orderpriority AS conductor, o_orderkey AS run FROM orders WHERE o_orderkey % 6 = 0)
-SELECT coalesce(o.conductor, ch.conductor) AS conductor, coalesce(o.run, ch.run) AS run, CASE WHEN ch.run IS NOT NULL THEN 'reject' ELSE verdict END AS verdict, preview, CASE WHEN ch.run IS NOT NULL THEN 'cut' END AS crops FROM v_ledger_old o FULL JOIN ch ON o.conductor = ch.conductor AND o.run = ch.run""",
+    "undo_reset": duck("v_ledger_old") + """, u AS (SELECT run FROM v_ledger_old WHERE verdict <> '' AND source_verdict = '' ORDER BY judged_at DESC, conductor DESC, video_id DESC, run DESC LIMIT 1)
+SELECT conductor, video_id, run, source_verdict, CASE WHEN run IN (FROM u) THEN '' ELSE verdict END AS verdict, preview, CASE WHEN run IN (FROM u) THEN '' ELSE judged_at END AS judged_at FROM v_ledger_old""",
+    "model_apply": duck("v_ledger_old") + """, x AS (SELECT l.*, CASE WHEN l.run % 5 = 0 THEN '0.1234' ELSE '' END AS before, CASE WHEN o_orderkey IS NOT NULL THEN (l.run % 1009) / 1009.0::DOUBLE END AS p FROM v_ledger_old l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1) o ON o_orderkey = l.run)
+SELECT conductor, run, CASE WHEN verdict = '' AND p >= 0.9 THEN 'reject' ELSE verdict END AS verdict, preview, CASE WHEN verdict = '' AND p IS NOT NULL THEN printf('%.4f', p) ELSE before END AS model_p, CASE WHEN verdict = '' AND p >= 0.9 THEN 'auto' ELSE '' END AS model_auto FROM x""",
+    "record_verdicts": duck("v_ledger_old") + """ SELECT conductor, video_id, run, source_verdict, CASE WHEN run % 3 = 0 THEN ['accept', 'reject', ''][run // 3 % 3 + 1] ELSE verdict END AS verdict, preview,
+CASE WHEN run % 3 = 0 THEN CASE WHEN run // 3 % 3 = 2 THEN '' ELSE '2026-01-02T03:04:05' END ELSE judged_at END AS judged_at FROM v_ledger_old""",
+    "record_clip_verdicts": """WITH c AS (SELECT p_partkey AS k, p_partkey % 900 AS v, p_partkey % 12 AS n FROM part), ch AS (SELECT v, n, k % 8 = 0 AS cut FROM c WHERE k < 900 AND k % 4 = 0)
+SELECT k, 'v' || c.v AS video_id, CAST(c.n AS VARCHAR) AS clip_num, CASE WHEN ch.v IS NOT NULL THEN 'accept' ELSE 'hold' END AS verdict, CASE WHEN ch.cut THEN '3.00-4.00' WHEN ch.v IS NOT NULL THEN '' WHEN k % 2 = 0 THEN '1.00-2.00' ELSE '' END AS crops FROM c LEFT JOIN ch ON c.v = ch.v AND c.n = ch.n""",
+    "write_read": duck("v_ledger_old") + " SELECT fmt, verdict, count(*) AS n, CAST(sum(run) AS BIGINT) AS runs FROM v_ledger_old, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) f(fmt) GROUP BY 1, 2",
+    "first_year": "SELECT p_partkey AS video_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1900 + p_partkey % 120 WHEN p_partkey % 2 = 0 THEN 1950 + p_partkey % 60 WHEN p_partkey % 5 <> 0 THEN 1960 + p_partkey % 50 END AS INTEGER) AS year FROM part",
     "metadata_gate": """WITH p AS (SELECT p_partkey, lower(p_name) AS t, lower(p_brand) AS c, CASE WHEN p_partkey % 9 <> 0 THEN p_size END AS dur, CASE WHEN p_partkey % 4 <> 0 THEN CAST(floor(p_retailprice) AS INTEGER) END AS views FROM part)
 SELECT p_partkey, CASE WHEN dur < 5 THEN 'too_short(' || dur || 's)' WHEN dur > 45 THEN 'too_long(' || dur || 's)' WHEN contains(t, 'steel') THEN 'exclude_term' WHEN NOT (contains(t, 'a') OR contains(t, 'e') OR contains(c, 'a') OR contains(c, 'e')) THEN 'no_alias_in_title' WHEN views < 1000 THEN 'low_views(' || views || ')' ELSE 'ok' END AS why FROM p""",
     "failure_class": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'block' WHEN 1 THEN 'permanent' WHEN 2 THEN 'transient' ELSE 'block' END AS kind FROM orders",
@@ -207,7 +249,10 @@ SELECT event_id, n, CASE WHEN n < 3 THEN 0 ELSE greatest(0, nth + 86400000000 -
     "sessions_exact": duck("v_titles") + _SESS.replace("{more}", ""),
     "merge_overrides": duck("v_titles", "v_groups") + _SESS.replace("{more}", ' UNION ALL SELECT conductor, video_id, min(video_id) OVER (PARTITION BY conductor, "group") FROM v_groups'),
     "year_strict": duck("v_titles_years") + " SELECT p_partkey AS video_id, CASE WHEN p_partkey % 4 = 0 THEN 1950 + p_size END AS year FROM part",
-    "year_ranked": "SELECT p_partkey AS video_id, CASE WHEN p_partkey % 4 IN (0, 1) THEN 1950 + p_size END AS year, CASE p_partkey % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'context' ELSE '' END AS confidence FROM part",
+    "year_ranked": """WITH x AS (SELECT p_partkey AS k, 1950 + p_size AS y, CASE WHEN p_partkey % 5 = 0 THEN 1980 ELSE 2026 END AS cap FROM part),
+c AS (SELECT k, cap, CASE WHEN k % 4 = 1 THEN [y] ELSE [] END || CASE k % 6 WHEN 1 THEN [1985] WHEN 3 THEN [1990] WHEN 5 THEN [1966] ELSE [] END AS strong, CASE WHEN k % 4 = 0 THEN [y] ELSE [] END || CASE k % 6 WHEN 4 THEN [1971] WHEN 5 THEN [1970] ELSE [] END AS weak FROM x),
+m AS (SELECT k, list_min(list_filter(strong, lambda v: v <= cap)) AS s, list_min(list_filter(weak, lambda v: v <= cap)) AS w FROM c)
+SELECT k AS video_id, CAST(coalesce(s, w) AS INTEGER) AS year, CASE WHEN s IS NOT NULL THEN 'context' WHEN w IS NOT NULL THEN 'weak' ELSE '' END AS confidence FROM m""",
     "era_bucket": "SELECT p_partkey, CASE WHEN p_size < 10 THEN '1950s' WHEN p_size < 30 THEN '1960s~70s' WHEN p_size < 40 THEN '1980s' WHEN p_size < 70 THEN '1990s~10s' END AS era FROM part",
     "year_span": """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, 1925 + p_size AS y, CASE WHEN (p_size % 10) * 10 >= 30 THEN 1900 ELSE 2000 END + (p_size % 10) * 10 AS d2, 1920 + p_size * 2 AS d4, p_size FROM part),
 n AS (SELECT p_partkey, CASE WHEN k = 0 THEN CASE WHEN y BETWEEN 1930 AND 2029 THEN CAST(y AS VARCHAR) END WHEN k = 1 THEN CASE WHEN p_size % 10 <> 0 AND d2 + 9 <= 2029 THEN d2 || 's' END WHEN k = 2 THEN CASE WHEN d4 % 10 = 0 AND d4 >= 1930 AND d4 + 9 <= 2029 THEN d4 || 's' END ELSE '' END AS norm FROM p)
@@ -218,5 +263,3 @@ f AS (SELECT *, CASE WHEN a IS NULL THEN greatest(60 - z, 0) ELSE a END AS x, CA
 SELECT p_partkey, CASE WHEN q * 2 - 5 > q THEN printf('%.2f-%.2f;', q::DOUBLE, (q * 2 - 5)::DOUBLE) ELSE '' END || printf('%.2f-%.2f', (q + 10)::DOUBLE, (q + 20)::DOUBLE) AS crops,
 CAST(CASE WHEN (a IS NOT NULL OR z > 0) AND x <= y AND x < 60 THEN x END AS BIGINT) AS a, CAST(CASE WHEN (a IS NOT NULL OR z > 0) AND x <= y AND x < 60 THEN y END AS BIGINT) AS z FROM f""",
 }
-#: review_queue keeps the first rows that its SQL names; this is the whole queue with its positions.
-ORACLES["review_queue_all"] = ORACLES["review_queue"].replace("SELECT run, model_p FROM q ORDER BY", "SELECT row_number() OVER (ORDER BY").replace(" LIMIT 100", ") AS position, run, model_p FROM q")

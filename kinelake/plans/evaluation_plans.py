@@ -52,9 +52,9 @@ def frontal_reasons(spark, d):
 
 def hands_in_frame(spark, d):
     f = v.v_frames(spark, d)
-    wrists, hand = F.array(joint(9), joint(10)), F.slice("joints", 11, 11)
+    wrists, left, right = F.array(joint(9), joint(10)), F.slice("joints", 11, 5), F.slice("joints", 16, 6)
     inside = lambda j: F.transform(j, lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"), p["conf"].alias("conf")))
-    return f.select("run", "t", i.in_frame(inside(wrists), 1.0, 1.0).alias("wrists"), i.hand_kept(inside(hand), 0.9, 0.9).alias("hand"))
+    return f.select("run", "t", i.in_frame(inside(wrists), 1.0, 1.0).alias("wrists"), i.hand_kept(inside(left), 0.9, 0.9).alias("left"), i.hand_kept(inside(right), 0.9, 0.9).alias("right"))
 
 
 def shot_decision(spark, d):
@@ -162,7 +162,26 @@ def calibrate_threshold(spark, d):
 
 
 def crop_subgroup(spark, d):
-    return _scored(spark, d).where("y = 0 AND has_crops").agg(F.count("*").alias("n"), F.count_if(F.col("p") >= 0.5).alias("above"), F.round(F.avg((F.col("p") >= 0.5).cast("double")), 6).alias("rate"))
+    return e.crop_subgroup(_scored(spark, d), 0.5).select("n", "false_reject", F.round("rate", 6).alias("rate"))
+
+
+def crop_subgroup_uncalibrated(spark, d):
+    return e.crop_subgroup(_scored(spark, d), None)
+
+
+def window_chance(spark, d):
+    m = e.confusion(e.vote(_votes(spark, d), ["run"], 10))
+    return e.window_chance(m).select("n", *_r("chance", "acc"))
+
+
+def distinct_counts(spark, d):
+    rows = _votes(spark, d).select("conductor", "video_id", "run", F.floor(F.col("video_id") / 3).alias("session"))
+    return e.distinct_counts(rows, ["conductor"], {"videos": ["video_id"], "sessions": ["session"], "runs": ["run"]})
+
+
+def mean_scores(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("conductor"), F.col("o_custkey").alias("video_id"), (F.col("o_orderkey") % 1009).alias("score"))
+    return e.mean_scores(o, ["conductor", "video_id"], "score").select("conductor", "video_id", "n", *_r("score"))
 
 
 def stratified_folds(spark, d):
@@ -176,11 +195,6 @@ def pooled_embeddings(spark, d):
     return x.groupBy("conductor", "k").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("max"))
 
 
-def motion_basic(spark, d):
-    track = long_frames(v.v_frames(spark, d)).where("j = 9")
-    return m.speed_features(track).select("run", "n", *_r("path", "cv", "skew", "pause", "turn", "height"))
-
-
 def _wrists(spark, d):
     """Both wrists' frames, ``track`` naming run and joint."""
     return long_frames(v.v_frames(spark, d)).where("j IN (9, 10)").withColumn("track", F.col("run").cast("long") * 32 + F.col("j"))
@@ -190,7 +204,7 @@ def _by_wrist(features):
     return features.select(F.shiftright("track", 5).cast("int").alias("run"), (F.col("track") % 32).cast("int").alias("j"), *[c for c in features.columns if c != "track"])
 
 
-def motion_basic_wrists(spark, d):
+def motion_basic(spark, d):
     found = _by_wrist(m.speed_features(_wrists(spark, d), "track"))
     return found.select("run", "j", "n", *_r("path", "cv", "skew", "pause", "turn", "height"))
 
@@ -206,7 +220,7 @@ def minirocket_ppv(spark, d):
     return _by_wrist(m.ppv_features(track, m.fit_biases(track, [1, 2, 4], by="track"), "track"))
 
 
-QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, stratified_folds, pooled_embeddings, motion_basic, motion_basic_wrists, motion_spectral, minirocket_ppv)}
+QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, crop_subgroup_uncalibrated, window_chance, distinct_counts, mean_scores, stratified_folds, pooled_embeddings, motion_basic, motion_spectral, minirocket_ppv)}
 
 _U = duck("v_faces") + """, u AS (SELECT conductor, video_id, vec_id, list_transform(emb, lambda x: x / greatest(sqrt(list_sum(list_transform(emb, lambda z: z * z))), 1e-9)) AS u FROM v_faces),
 k AS (SELECT CAST(range AS INTEGER) AS k FROM range(64)),
@@ -237,7 +251,7 @@ SELECT run, t, CASE WHEN NOT (conf5 >= 0.3 AND conf6 >= 0.3) THEN 'shoulder not
 CASE WHEN NOT ((x5 + x6) / 2 BETWEEN 0.6::DOUBLE * 0.225::DOUBLE AND 0.6::DOUBLE * 0.775::DOUBLE) THEN 'off center' END, CASE WHEN NOT conf0 >= 0.3 THEN 'nose not visible' WHEN degrees(atan(2 * abs(x0 - (x5 + x6) / 2) / greatest(abs(x5 - x6), 1e-6))) > 30 THEN 'face not frontal' END) END AS reasons FROM wd""",
     "hands_in_frame": duck("v_frames") + """, f AS (SELECT run, t, j, x + 0.5::DOUBLE AS x, y + 0.5::DOUBLE AS y, conf FROM v_frames)
 SELECT run, t, bool_and(conf >= 0.3 AND x BETWEEN 0.02 AND 0.98 AND y BETWEEN 0.02 AND 0.98) FILTER (j IN (9, 10)) AS wrists,
-count(*) FILTER (j >= 10 AND conf >= 0.3) = 0 OR count(*) FILTER (j >= 10 AND conf >= 0.3 AND NOT (x BETWEEN 0.018 AND 0.882 AND y BETWEEN 0.018 AND 0.882))::DOUBLE / greatest(count(*) FILTER (j >= 10 AND conf >= 0.3), 1) < 0.3 AS hand FROM f GROUP BY run, t""",
+count(*) FILTER (j BETWEEN 10 AND 14 AND conf >= 0.3) = 0 OR count(*) FILTER (j BETWEEN 10 AND 14 AND conf >= 0.3 AND NOT (x BETWEEN 0.018 AND 0.882 AND y BETWEEN 0.018 AND 0.882))::DOUBLE / greatest(count(*) FILTER (j BETWEEN 10 AND 14 AND conf >= 0.3), 1) < 0.3 AS "left", count(*) FILTER (j BETWEEN 15 AND 20 AND conf >= 0.3) = 0 OR count(*) FILTER (j BETWEEN 15 AND 20 AND conf >= 0.3 AND NOT (x BETWEEN 0.018 AND 0.882 AND y BETWEEN 0.018 AND 0.882))::DOUBLE / greatest(count(*) FILTER (j BETWEEN 15 AND 20 AND conf >= 0.3), 1) < 0.3 AS "right" FROM f GROUP BY run, t""",
     "shot_decision": """WITH s AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS f, p_partkey % 7 AS n, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 64) / 100.0::DOUBLE END AS id, (p_partkey % 21) / 20.0::DOUBLE AS c FROM part),
 b AS (SELECT *, CASE WHEN n < 3 THEN 'reject' WHEN f >= 0.25 THEN 'accept' WHEN f >= 0.15 THEN 'hold' ELSE 'reject' END AS fb, CASE WHEN id IS NULL THEN 'hold' WHEN id >= 0.3 THEN 'accept' WHEN id >= 0.12 THEN 'hold' ELSE 'reject' END AS ib, CASE WHEN c >= 0.7 THEN 'accept' WHEN c >= 0.5 THEN 'hold' ELSE 'reject' END AS cb FROM s)
 SELECT p_partkey, CASE WHEN fb = 'reject' OR ib = 'reject' THEN 'reject' WHEN fb = 'hold' OR ib = 'hold' OR cb <> 'accept' THEN 'hold' ELSE 'accept' END AS decision,
@@ -262,13 +276,15 @@ SELECT p_partkey, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS at FROM
     "composer_accuracy": _V + f""", h AS (SELECT CASE WHEN lower(p_name) LIKE '%a%' AND lower(p_name) LIKE '%e%' THEN 'both' WHEN lower(p_name) LIKE '%o%' THEN 'o' ELSE 'other' END AS kind, video_id, {_WHIT} AS hit FROM pv JOIN part ON p_partkey = l_partkey),
 g AS (SELECT kind, video_id, count(*) AS n, count(*) FILTER (hit) AS hits, bool_and(hit) AS whole FROM h GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n, round(sum(hits)::DOUBLE / sum(n)::DOUBLE, 6) AS acc, count(*) FILTER (whole) AS all_correct FROM g GROUP BY 1""",
     "calibrate_threshold": f"WITH {_SC}, c AS (SELECT DISTINCT p, count(*) OVER (ORDER BY p DESC) AS n, sum(y) OVER (ORDER BY p DESC) AS pos FROM sc) SELECT min(p) AS threshold FROM c WHERE n >= 20 AND pos::DOUBLE / n >= 0.9",
-    "crop_subgroup": f"WITH {_SC} SELECT count(*) AS n, count(*) FILTER (p >= 0.5) AS above, round(avg(CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM sc WHERE y = 0 AND has_crops",
+    "crop_subgroup": f"WITH {_SC} SELECT count(*) AS n, count(*) FILTER (p >= 0.5) AS false_reject, round(count(*) FILTER (p >= 0.5)::DOUBLE / count(*), 6) AS rate FROM sc WHERE y = 0 AND has_crops",
+    "crop_subgroup_uncalibrated": f"WITH {_SC} SELECT count(*) AS n, 0::BIGINT AS false_reject, NULL::DOUBLE AS rate FROM sc WHERE y = 0 AND has_crops",
+    "window_chance": _RUN + ", ro AS (SELECT y, sum(n) AS n FROM cf GROUP BY y) SELECT CAST(sum(n) AS BIGINT) AS n, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS chance, round((SELECT sum(n) FROM cf WHERE y = pred)::DOUBLE / sum(n)::DOUBLE, 6) AS acc FROM ro",
+    "distinct_counts": _V + " SELECT conductor, count(DISTINCT video_id) AS videos, count(DISTINCT video_id // 3) AS sessions, count(DISTINCT run) AS runs FROM pv GROUP BY 1",
+    "mean_scores": "SELECT o_orderpriority AS conductor, o_custkey AS video_id, count(*) AS n, round(avg(o_orderkey % 1009), 6) AS score FROM orders GROUP BY 1, 2",
     "pooled_embeddings": duck("v_faces") + ", k AS (SELECT CAST(range AS INTEGER) AS k FROM range(64)) SELECT conductor, k, round(avg(emb[k + 1]), 6) AS mean, round(max(emb[k + 1]), 6) AS max FROM v_faces, k GROUP BY 1, 2",
-    "motion_basic": duck("v_frames") + """, s0 AS (SELECT run, t, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM v_frames WHERE j = 9 WINDOW w AS (PARTITION BY run ORDER BY t)), s1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS s FROM s0),
-s2 AS (SELECT *, avg(s) OVER (PARTITION BY run) AS mean, median(s) OVER (PARTITION BY run) AS mid, lag(dx) OVER w AS pdx, lag(dy) OVER w AS pdy, lag(s) OVER w AS ps FROM s1 WINDOW w AS (PARTITION BY run ORDER BY t))
-SELECT run, count(s) AS n, round(coalesce(sum(s), 0), 6) AS path, round(stddev_pop(s) / (avg(s) + 1e-8), 6) AS cv, round(CASE WHEN stddev_pop(s) < 1e-8 THEN 0 ELSE avg((s - mean) * (s - mean) * (s - mean)) / (stddev_pop(s) * stddev_pop(s) * stddev_pop(s)) END, 6) AS skew,
+    "motion_basic": duck("v_frames") + """, s0 AS (SELECT run, j, t, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM v_frames WHERE j IN (9, 10) WINDOW w AS (PARTITION BY run, j ORDER BY t)), s1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS s FROM s0),
+s2 AS (SELECT *, avg(s) OVER (PARTITION BY run, j) AS mean, median(s) OVER (PARTITION BY run, j) AS mid, lag(dx) OVER w AS pdx, lag(dy) OVER w AS pdy, lag(s) OVER w AS ps FROM s1 WINDOW w AS (PARTITION BY run, j ORDER BY t))
+SELECT run, j, count(s) AS n, round(coalesce(sum(s), 0), 6) AS path, round(stddev_pop(s) / (avg(s) + 1e-8), 6) AS cv, round(CASE WHEN stddev_pop(s) < 1e-8 THEN 0 ELSE avg((s - mean) * (s - mean) * (s - mean)) / (stddev_pop(s) * stddev_pop(s) * stddev_pop(s)) END, 6) AS skew,
 round(CASE WHEN max(mid) < 1e-8 THEN 1 ELSE avg(CASE WHEN s < 0.2 * mid THEN 1.0::DOUBLE WHEN s IS NOT NULL THEN 0 END) END, 6) AS pause,
-round(coalesce(avg(CASE WHEN s > 0.25 * mean AND ps > 0.25 * mean THEN atan2(abs(pdx * dy - pdy * dx), pdx * dx + pdy * dy) END), 0), 6) AS turn, round(avg(y), 6) AS height FROM s2 GROUP BY run""",
+round(coalesce(avg(CASE WHEN s > 0.25 * mean AND ps > 0.25 * mean THEN atan2(abs(pdx * dy - pdy * dx), pdx * dx + pdy * dy) END), 0), 6) AS turn, round(avg(y), 6) AS height FROM s2 GROUP BY run, j""",
 }
-#: motion_basic keeps the joint that its SQL names; this is the same for both wrists.
-ORACLES["motion_basic_wrists"] = ORACLES["motion_basic"].replace("WHERE j = 9", "WHERE j IN (9, 10)").replace("SELECT run, t, y", "SELECT run, j, t, y").replace("SELECT run, count(s)", "SELECT run, j, count(s)").replace("PARTITION BY run", "PARTITION BY run, j").replace("GROUP BY run", "GROUP BY run, j")

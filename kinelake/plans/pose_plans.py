@@ -11,6 +11,8 @@ from kinelake.sources.views import duck
 
 #: v_frames has 21 joints, so its tree is the body without the hands.
 TREE = [(a, b) for a, b in p.BODY_BONES if b < 21]
+#: Left and right of every pair of joints that v_frames has: body, ears and eyes, knees and ankles.
+PAIRS = [(5, 6), (7, 8), (9, 10), (11, 12), (1, 2), (3, 4), (13, 14), (15, 16)]
 PARENT = {5: p.ROOT, 6: p.ROOT, 7: 5, 9: 7, 8: 6, 10: 8, 0: p.ROOT, 11: 5, 12: 6}
 
 
@@ -39,30 +41,12 @@ def bone_normalize(spark, d):
     return p.bone_normalize(b, p.canonical_bones(b), TREE).select("run", "t", "bone", *_r("x", "y"))
 
 
-def resample_25(spark, d):
-    return p.resample(p.long_frames(v.v_frames(spark, d)).where("j IN (5, 9)"), 29.97).select("run", "j", "t", *_r("x", "y", "conf"))
-
-
-def lowpass(spark, d):
-    return p.lowpass(p.long_frames(v.v_frames(spark, d)).where("j = 9")).select("run", "j", "t", *_r("x", "y"))
-
-
-def nearest_fill(spark, d):
-    one = p.long_frames(v.v_frames(spark, d)).where("j = 9").select("run", "t", F.when(F.col("conf") >= 0.3, F.col("x")).alias("x"))
-    return p.nearest_fill(one, "x").select("run", "t", "filled")
-
-
-def moving_average(spark, d):
-    one = p.long_frames(v.v_frames(spark, d)).where("j = 9").select("run", "t", "x")
-    return one.select("run", "t", F.round(p.moving_average(one, "x", 15), 6).alias("x"))
-
-
 def channels(spark, d):
     return p.channels(p.long_frames(v.v_frames(spark, d)), PARENT).select("run", "t", "j", *_r("x", "y", "conf", "vx", "vy", "ax", "ay", "ux", "uy"))
 
 
 def pair_channels(spark, d):
-    return p.pair_channels(v.v_frames(spark, d), [(5, 6), (7, 8), (9, 10), (11, 12)]).select("run", "t", "pair", *_r("mx", "my", "dx", "dy", "dist", "conf", "d_mx", "d_my", "d_dx", "d_dy", "d_dist"))
+    return p.pair_channels(v.v_frames(spark, d), PAIRS).select("run", "t", "pair", *_r("mx", "my", "dx", "dy", "dist", "conf", "d_mx", "d_my", "d_dx", "d_dy", "d_dist"))
 
 
 def graph_edges(spark, d):
@@ -73,10 +57,6 @@ def graph_adjacency(spark, d):
     return p.normalized_adjacency(p.graph_edges(spark, "body"), 9).select("i", "j", *_r("w"))
 
 
-def body_aligned(spark, d):
-    return p.long_frames(p.aligned(v.v_frames(spark, d))).where("j IN (5, 6, 9, 10)").select("run", "t", "j", *_r("x", "y"))
-
-
 def elbow_angle(spark, d):
     return v.v_frames(spark, d).select("run", "t", F.round(p.elbow_angle(5, 7, 9), 6).alias("left"), F.round(p.elbow_angle(6, 8, 10), 6).alias("right"))
 
@@ -101,8 +81,10 @@ def rescale_segments(spark, d):
 
 
 def mirror_crop(spark, d):
-    s = v.v_segments(spark, d).where("b - a < 75")
-    return s.select("run", "seg_idx", w.mirror_index(F.col("b") - F.col("a") + 3, F.col("b") - F.col("a")).alias("i"))
+    """The source frame of every place of a window of 75 that starts with a segment; beyond its end the segment is reflected."""
+    s, n = v.v_segments(spark, d), F.col("b") - F.col("a")
+    places = s.select("run", "seg_idx", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(74))).alias("k"))
+    return places.select("run", "seg_idx", "k", w.mirror_index(F.col("k"), F.col("n")).alias("i"))
 
 
 def strip_frames(spark, d):
@@ -111,31 +93,31 @@ def strip_frames(spark, d):
     return s.select("run", "seg_idx", F.array_join(w.strip_indices(n, 8).cast("array<string>"), ",").alias("at"), F.round(F.element_at(w.sample_times(n / 25.0, 5), 3), 6).alias("mid"))
 
 
-def resample_25_all(spark, d):
+def resample_25(spark, d):
     return p.resample(p.long_frames(v.v_frames(spark, d)), 29.97).select("run", "j", "t", *_r("x", "y", "conf"))
 
 
-def lowpass_all(spark, d):
+def lowpass(spark, d):
     return p.lowpass(p.long_frames(v.v_frames(spark, d))).select("run", "j", "t", *_r("x", "y"))
 
 
-def nearest_fill_all(spark, d):
+def nearest_fill(spark, d):
     every = p.long_frames(v.v_frames(spark, d)).select("run", "j", "t", F.when(F.col("conf") >= 0.3, F.col("x")).alias("x"))
     return p.nearest_fill(every, "x", ("run", "j")).select("run", "j", "t", "filled")
 
 
-def moving_average_all(spark, d):
+def moving_average(spark, d):
     every = p.long_frames(v.v_frames(spark, d)).select("run", "j", "t", "x")
     return every.select("run", "j", "t", F.round(p.moving_average(every, "x", 15, ("run", "j")), 6).alias("x"))
 
 
-def body_aligned_all(spark, d):
+def body_aligned(spark, d):
     return p.long_frames(p.aligned(v.v_frames(spark, d))).select("run", "t", "j", *_r("x", "y"))
 
 
-QUERIES = {f.__name__: f for f in (shoulder_norm, bone_lengths, canonical_bones, fore_factors, bone_normalize, resample_25, lowpass, nearest_fill, moving_average, channels, pair_channels, graph_edges, graph_adjacency, body_aligned, elbow_angle, window_starts, window_spans, eval_windows_capped, rescale_segments, mirror_crop, strip_frames, resample_25_all, lowpass_all, nearest_fill_all, moving_average_all, body_aligned_all)}
+QUERIES = {f.__name__: f for f in (shoulder_norm, bone_lengths, canonical_bones, fore_factors, bone_normalize, resample_25, lowpass, nearest_fill, moving_average, channels, pair_channels, graph_edges, graph_adjacency, body_aligned, elbow_angle, window_starts, window_spans, eval_windows_capped, rescale_segments, mirror_crop, strip_frames)}
 
-_W = duck("v_frames") + ", wd AS (SELECT run, t, " + ", ".join(f"max({f}) FILTER (j = {j}) AS {f}{j}" for j in (0, 5, 6, 7, 8, 9, 10, 11, 12) for f in ("x", "y", "conf")) + " FROM v_frames GROUP BY run, t)"
+_W = duck("v_frames") + ", wd AS (SELECT run, t, " + ", ".join(f"max({f}) FILTER (j = {j}) AS {f}{j}" for j in range(17) for f in ("x", "y", "conf")) + " FROM v_frames GROUP BY run, t)"
 
 
 def _bone(b: int, parent: int, child: int) -> str:
@@ -167,20 +149,20 @@ SELECT run, t, CAST(pt.bone AS INTEGER) AS bone, round(sum(ux), 6) AS x, round(s
     "resample_25": duck("v_frames") + """, m AS (SELECT run, max(t) AS last, CAST(round_even(max(t) * (25.0::DOUBLE / 29.97::DOUBLE), 0) AS INTEGER) AS n FROM v_frames GROUP BY run),
 o AS (SELECT run, last, n, i, i * last::DOUBLE / n AS pos FROM m, (SELECT CAST(range AS INTEGER) AS i FROM range(10000)) WHERE i <= n AND n > 0)
 SELECT o.run, f.j, o.i AS t, round(f.x + (pos - f.t) * coalesce(g.x - f.x, 0), 6) AS x, round(f.y + (pos - f.t) * coalesce(g.y - f.y, 0), 6) AS y, round(f.conf + (pos - f.t) * coalesce(g.conf - f.conf, 0), 6) AS conf
-FROM o JOIN v_frames f ON f.run = o.run AND f.t = least(CAST(floor(pos) AS INTEGER), last) AND f.j IN (5, 9) LEFT JOIN v_frames g ON g.run = f.run AND g.j = f.j AND g.t = f.t + 1""",
-    "lowpass": duck("v_frames") + f" SELECT run, j, t, {_lp('x')}, {_lp('y')} FROM v_frames WHERE j = 9 WINDOW w AS (PARTITION BY run, j ORDER BY t)",
-    "nearest_fill": duck("v_frames") + """, a AS (SELECT run, t, CASE WHEN conf >= 0.3 THEN x END AS x FROM v_frames WHERE j = 9)
-SELECT a.run, a.t, (SELECT b.x FROM a b WHERE b.run = a.run AND b.x IS NOT NULL ORDER BY abs(b.t - a.t), b.t LIMIT 1) AS filled FROM a""",
-    "moving_average": duck("v_frames") + """, a AS (SELECT run, t, x, max(t) OVER (PARTITION BY run) AS last FROM v_frames WHERE j = 9)
-SELECT a.run, a.t, round(sum(b.x) / 15, 6) AS x FROM a, (SELECT CAST(range AS INTEGER) - 7 AS k FROM range(15)) o JOIN a b ON b.run = a.run AND b.t = greatest(0, least(a.last, a.t + k)) GROUP BY a.run, a.t""",
+FROM o JOIN v_frames f ON f.run = o.run AND f.t = least(CAST(floor(pos) AS INTEGER), last) LEFT JOIN v_frames g ON g.run = f.run AND g.j = f.j AND g.t = f.t + 1""",
+    "lowpass": duck("v_frames") + f" SELECT run, j, t, {_lp('x')}, {_lp('y')} FROM v_frames WINDOW w AS (PARTITION BY run, j ORDER BY t)",
+    "nearest_fill": duck("v_frames") + """, a AS (SELECT run, j, t, CASE WHEN conf >= 0.3 THEN x END AS x FROM v_frames)
+SELECT a.run, a.j, a.t, (SELECT b.x FROM a b WHERE b.run = a.run AND b.j = a.j AND b.x IS NOT NULL ORDER BY abs(b.t - a.t), b.t LIMIT 1) AS filled FROM a""",
+    "moving_average": duck("v_frames") + """, a AS (SELECT run, j, t, x, max(t) OVER (PARTITION BY run, j) AS last FROM v_frames)
+SELECT a.run, a.j, a.t, round(sum(b.x) / 15, 6) AS x FROM a, (SELECT CAST(range AS INTEGER) - 7 AS k FROM range(15)) o JOIN a b ON b.run = a.run AND b.j = a.j AND b.t = greatest(0, least(a.last, a.t + k)) GROUP BY a.run, a.j, a.t""",
     "channels": _W + f""", c AS (SELECT f.run, f.t, j, x, y, conf, x - {_PAR.format(c='x')} AS bx, y - {_PAR.format(c='y')} AS by_ FROM v_frames f JOIN wd ON f.run = wd.run AND f.t = wd.t WHERE j IN ({', '.join(map(str, PARENT))}))
 SELECT run, t, j, round(x, 6) AS x, round(y, 6) AS y, round(conf, 6) AS conf, round(coalesce(lead(x, 1) OVER w - x, 0), 6) AS vx, round(coalesce(lead(y, 1) OVER w - y, 0), 6) AS vy, round(coalesce(lead(x, 2) OVER w - x, 0), 6) AS ax, round(coalesce(lead(y, 2) OVER w - y, 0), 6) AS ay,
 round(CASE WHEN sqrt(bx * bx + by_ * by_) > 1e-6 THEN bx / sqrt(bx * bx + by_ * by_) ELSE 0 END, 6) AS ux, round(CASE WHEN sqrt(bx * bx + by_ * by_) > 1e-6 THEN by_ / sqrt(bx * bx + by_ * by_) ELSE 0 END, 6) AS uy FROM c WINDOW w AS (PARTITION BY run, j ORDER BY t)""",
-    "pair_channels": _W + ", pr AS (" + " UNION ALL ".join(f"SELECT run, t, {i} AS pair, x{a} + x{b} AS mx, y{a} - y{b} AS my, x{a} - x{b} AS dx, y{a} - y{b} AS dy, sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b})) AS dist, least(conf{a}, conf{b}) AS conf FROM wd" for i, (a, b) in enumerate([(5, 6), (7, 8), (9, 10), (11, 12)])) + ") SELECT run, t, pair, round(conf, 6) AS conf, " + ", ".join(f"round({c}, 6) AS {c}, round(coalesce(lead({c}) OVER w - {c}, 0), 6) AS d_{c}" for c in ("mx", "my", "dx", "dy", "dist")) + " FROM pr WINDOW w AS (PARTITION BY run, pair ORDER BY t)",
+    "pair_channels": _W + ", pr AS (" + " UNION ALL ".join(f"SELECT run, t, {i} AS pair, x{a} + x{b} AS mx, y{a} - y{b} AS my, x{a} - x{b} AS dx, y{a} - y{b} AS dy, sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b})) AS dist, least(conf{a}, conf{b}) AS conf FROM wd" for i, (a, b) in enumerate(PAIRS)) + ") SELECT run, t, pair, round(conf, 6) AS conf, " + ", ".join(f"round({c}, 6) AS {c}, round(coalesce(lead({c}) OVER w - {c}, 0), 6) AS d_{c}" for c in ("mx", "my", "dx", "dy", "dist")) + " FROM pr WINDOW w AS (PARTITION BY run, pair ORDER BY t)",
     "graph_edges": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (VALUES (0, 1), (0, 2), (1, 2), (1, 3), (3, 5), (2, 4), (4, 6), (1, 7), (2, 8)) e(i, j)",
     "graph_adjacency": """WITH e(i, j) AS (VALUES (0, 1), (0, 2), (1, 2), (1, 3), (3, 5), (2, 4), (4, 6), (1, 7), (2, 8)), a AS (SELECT i, j FROM e UNION SELECT j, i FROM e UNION SELECT range, range FROM range(9)), g AS (SELECT i, count(*) AS d FROM a GROUP BY i)
 SELECT CAST(a.i AS INTEGER) AS i, CAST(a.j AS INTEGER) AS j, round(1 / sqrt(g.d * h.d), 6) AS w FROM a JOIN g ON g.i = a.i JOIN g h ON h.i = a.j""",
-    "body_aligned": _W + ", an AS (SELECT run, t, -atan2(y6 - y5, x6 - x5) AS a FROM wd) SELECT f.run, f.t, j, round(x * cos(a) - y * sin(a), 6) AS x, round(x * sin(a) + y * cos(a), 6) AS y FROM v_frames f JOIN an ON f.run = an.run AND f.t = an.t WHERE j IN (5, 6, 9, 10)",
+    "body_aligned": _W + ", an AS (SELECT run, t, -atan2(y6 - y5, x6 - x5) AS a FROM wd) SELECT f.run, f.t, j, round(x * cos(a) - y * sin(a), 6) AS x, round(x * sin(a) + y * cos(a), 6) AS y FROM v_frames f JOIN an ON f.run = an.run AND f.t = an.t",
     "elbow_angle": _W + " SELECT run, t, " + ", ".join(f"round(acos(least(1.0, greatest(-1.0, ((x{s} - x{e}) * (x{h} - x{e}) + (y{s} - y{e}) * (y{h} - y{e})) / (sqrt((x{s} - x{e}) * (x{s} - x{e}) + (y{s} - y{e}) * (y{s} - y{e})) * sqrt((x{h} - x{e}) * (x{h} - x{e}) + (y{h} - y{e}) * (y{h} - y{e})) + 1e-8)))), 6) AS \"{n}\"" for n, s, e, h in (("left", 5, 7, 9), ("right", 6, 8, 10))) + " FROM wd",
     "window_starts": duck("v_segments") + """, m AS (SELECT run, seg_idx, a, b, least(5, greatest(0, b - a - 75) // 2) AS m FROM v_segments), n AS (SELECT run, seg_idx, a + m AS a, b - a - 2 * m - 75 AS span FROM m), s AS (SELECT *, greatest(1, least(8, CAST(floor(span / 38.0) AS INTEGER) + 1)) AS k FROM n)
 SELECT run, seg_idx, CAST(CASE WHEN span <= 0 OR k = 1 THEN a ELSE a + CAST(round_even(i * (span::DOUBLE / (k - 1)), 0) AS INTEGER) END AS INTEGER) AS start FROM s, (SELECT CAST(range AS INTEGER) AS i FROM range(8)) y WHERE i = 0 OR (span > 0 AND i < k)""",
@@ -188,16 +170,6 @@ SELECT run, seg_idx, CAST(CASE WHEN span <= 0 OR k = 1 THEN a ELSE a + CAST(roun
     "eval_windows_capped": _WIN + """, o AS (SELECT run // 8 AS rec, run, seg_idx, start, row_number() OVER (PARTITION BY run // 8 ORDER BY run, seg_idx, start) - 1 AS pos, count(*) OVER (PARTITION BY run // 8) AS n FROM win)
 SELECT rec, run, seg_idx, start FROM o WHERE n <= 40 OR EXISTS (SELECT 1 FROM range(40) r(i) WHERE round_even(i * (n - 1)::DOUBLE / 39, 0) = pos)""",
     "rescale_segments": duck("v_segments") + " SELECT run, seg_idx, CAST(round_even(a * (25.0::DOUBLE / 29.97::DOUBLE), 0) AS INTEGER) AS a, CAST(round_even(b * (25.0::DOUBLE / 29.97::DOUBLE), 0) AS INTEGER) AS b FROM v_segments",
-    "mirror_crop": duck("v_segments") + " SELECT run, seg_idx, CAST(CASE WHEN b - a = 1 THEN 0 ELSE least((b - a + 3) % (2 * (b - a - 1)), 2 * (b - a - 1) - (b - a + 3) % (2 * (b - a - 1))) END AS INTEGER) AS i FROM v_segments WHERE b - a < 75",
+    "mirror_crop": duck("v_segments") + ", n AS (SELECT run, seg_idx, b - a AS n FROM v_segments) SELECT run, seg_idx, CAST(k AS INTEGER) AS k, CAST(CASE WHEN n = 1 THEN 0 ELSE least(k % (2 * (n - 1)), 2 * (n - 1) - k % (2 * (n - 1))) END AS INTEGER) AS i FROM n, range(75) r(k)",
     "strip_frames": duck("v_segments") + ", n AS (SELECT run, seg_idx, b - a AS n FROM v_segments) SELECT run, seg_idx, array_to_string(list_sort(list_distinct(list_transform(range(8), lambda i: least(CAST(floor((i + 0.5::DOUBLE) / 8 * n) AS INTEGER), n - 1)))), ',') AS at, round(2.5::DOUBLE * (n / 25.0::DOUBLE) / 5, 6) AS mid FROM n",
 }
-#: The same methods over every joint; the queries above keep the joints that their SQL names.
-ORACLES |= {
-    "resample_25_all": ORACLES["resample_25"].replace(" AND f.j IN (5, 9)", ""),
-    "lowpass_all": ORACLES["lowpass"].replace(" WHERE j = 9", ""),
-    "nearest_fill_all": duck("v_frames") + """, a AS (SELECT run, j, t, CASE WHEN conf >= 0.3 THEN x END AS x FROM v_frames)
-SELECT a.run, a.j, a.t, (SELECT b.x FROM a b WHERE b.run = a.run AND b.j = a.j AND b.x IS NOT NULL ORDER BY abs(b.t - a.t), b.t LIMIT 1) AS filled FROM a""",
-    "moving_average_all": duck("v_frames") + """, a AS (SELECT run, j, t, x, max(t) OVER (PARTITION BY run, j) AS last FROM v_frames)
-SELECT a.run, a.j, a.t, round(sum(b.x) / 15, 6) AS x FROM a, (SELECT CAST(range AS INTEGER) - 7 AS k FROM range(15)) o JOIN a b ON b.run = a.run AND b.j = a.j AND b.t = greatest(0, least(a.last, a.t + k)) GROUP BY a.run, a.j, a.t""",
-    "body_aligned_all": ORACLES["body_aligned"].replace(" WHERE j IN (5, 6, 9, 10)", ""),
-}

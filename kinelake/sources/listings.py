@@ -9,9 +9,10 @@ SCHEMA = "id string, title string, duration double, view_count long, channel str
 
 
 def parsed(lines: DataFrame, line: Column) -> DataFrame:
-    """(id, title, duration, view_count, channel, upload_date); the uploader stands in for a missing channel."""
-    r = lines.select(F.from_json(line, SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where("id IS NOT NULL")
-    return r.select("id", "title", "duration", "view_count", F.coalesce("channel", "uploader").alias("channel"), "upload_date")
+    """(id, title, duration, view_count, channel, upload_date); the uploader stands in for a missing or blank channel, a missing title or channel is blank."""
+    r = lines.select(F.from_json(line, SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where("id <> ''")
+    some = lambda *cols: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols], F.lit(""))
+    return r.select("id", some("title").alias("title"), "duration", "view_count", some("channel", "uploader").alias("channel"), "upload_date")
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
