@@ -55,6 +55,13 @@ def composer_set(normalized: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda c: F.contains(_folded(normalized), c)))
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What title_ratio can't exceed: twice the characters that both have, in any order, over all; 0 where the lengths alone exclude more."""
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * shared / (F.length(a) + F.length(b)))
+
+
 def title_ratio(a: Column, b: Column) -> Column:
     """Share of matching blocks of two normalized titles, in the argument order given."""
 

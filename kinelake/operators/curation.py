@@ -75,12 +75,13 @@ def merge_ledger(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def interleaved(rows: DataFrame) -> DataFrame:
-    """rows with ``round`` and ``position``: the k-th runs of all recordings before any (k+1)-th. Positions come from counts per round, not from one global window over rows."""
+    """rows with ``round`` and ``position``: the k-th runs of all recordings before any (k+1)-th. Positions come from counts per round and conductor, not from one global window over rows."""
     ranked = rows.withColumn("round", F.row_number().over(W.partitionBy("conductor", "video_id").orderBy("run")))
-    sizes = ranked.groupBy("round", "conductor", "video_id").count()
-    order = W.orderBy("round", "conductor", "video_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("position", (F.coalesce(F.sum("count").over(order), F.lit(0)) + 1).cast("long"))
-    return ranked.join(placed.drop("count"), ["round", "conductor", "video_id"])
+    sizes = ranked.groupBy("round", "conductor").count()
+    order = W.orderBy("round", "conductor").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("round", "conductor", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("round", "conductor").orderBy("video_id"))
+    return ranked.withColumn("_within", within).join(before, ["round", "conductor"]).withColumn("position", (F.col("_before") + F.col("_within")).cast("long")).drop("_before", "_within")
 
 
 def review_queue(rows: DataFrame, only_pending: bool = True, accept_first: bool = False) -> DataFrame:

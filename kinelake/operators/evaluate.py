@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.operators.sampling import RANGE_DIGITS, digest
+
 
 def argmax(p: Column) -> Column:
     """Place of the largest element, the first of equal ones."""
@@ -91,14 +93,18 @@ def era_auc(rows: DataFrame, by: str, cutoff: int) -> DataFrame:
     return ranked.groupBy(by).agg(F.try_divide(u, n1 * n0).alias("auc"))
 
 
-def calibrate(scored: DataFrame, precision: float, support: int) -> DataFrame:
+def calibrate(scored: DataFrame, precision: float, support: int, ranges: int = 4096) -> DataFrame:
     """(threshold): the lowest score at which rows at or above it are positive at the given precision, with that support.
 
-    Counts are taken per distinct score first, so the ordered window runs over distinct scores.
+    Counts are taken per distinct score, running totals within ranges of [0, 1]; only the ranges' own totals, a row each, are summed in one task.
     """
-    per = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    w = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = per.select("p", F.sum("n").over(w).alias("n"), F.sum("pos").over(w).alias("pos"))
+    at = F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(F.col("p") * ranges))).cast("int")
+    per = scored.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("range", at)
+    above = W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = per.groupBy("range").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    before = sizes.select("range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", "pos")])
+    w = W.partitionBy("range").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = per.join(before, "range").select("p", *[(F.sum(c).over(w) + F.col(f"before_{c}")).alias(c) for c in ("n", "pos")])
     return total.where((F.col("n") >= support) & (F.col("pos") / F.col("n") >= precision)).agg(F.min("p").alias("threshold"))
 
 
@@ -110,35 +116,42 @@ def matched_repertoire(rows: DataFrame) -> DataFrame:
 
 
 def stratified_group_folds(rows: DataFrame, k: int) -> DataFrame:
-    """(group, fold): whole groups dealt to k folds so that classes spread evenly.
+    """(group, fold): whole groups of rows(group, y) dealt to k folds so that classes spread evenly.
 
-    rows(group, y). Class counts per group are aggregated on the executors; the greedy pass over groups (most uneven first; each to the fold
-    that keeps the spread of class shares lowest, then the smaller fold) is sequential and runs on the driver over at most
-    MAX_GROUPS groups; larger inputs are first folded by hash into that many.
+    Groups with the same class counts are alike: each fold gets the same number of them, and fewer than k are left over. The
+    left-over ones are dealt one by one, most uneven first, each to the fold that keeps the spread of class shares lowest,
+    then the smaller fold. That pass runs on the driver, over a row per distinct list of class counts; groups themselves are
+    numbered on the executors, within ranges of a seeded hash. Where there are fewer than k groups each is a fold.
     """
-    key = F.pmod(F.xxhash64("group"), F.lit(MAX_GROUPS))
-    n = rows.select("group").distinct().count()
-    keyed = rows.withColumn("_g", F.col("group").cast("string") if n <= MAX_GROUPS else key.cast("string"))
-    counts = keyed.groupBy("_g", "y").count().collect()
-    groups, classes = sorted({r._g for r in counts}), sorted({r.y for r in counts})
-    m = np.zeros((len(groups), len(classes)))
-    at, ct = {g: i for i, g in enumerate(groups)}, {c: i for i, c in enumerate(classes)}
-    for r in counts:
-        m[at[r._g], ct[r.y]] = r["count"]
-    k, total, held, fold = min(k, max(1, len(groups))), np.maximum(1, m.sum(0)), np.zeros((k, len(classes))), {}
-    held = held[:k]
-    for i in np.argsort(-m.std(1), kind="stable"):
-        spread = []
-        for f in range(k):
-            held[f] += m[i]
-            spread.append((round(float((held / total).std(0).mean()), 12), float(held[f].sum()), f))
-            held[f] -= m[i]
-        best = min(spread)[2]
-        held[best] += m[i]
-        fold[groups[i]] = best
-    folds = rows.sparkSession.createDataFrame(list(fold.items()), "_g string, fold int")
-    return keyed.select("group", "_g").distinct().join(F.broadcast(folds), "_g").select("group", "fold")
-
-
-#: Groups that the driver deals out at most.
-MAX_GROUPS = 10_000
+    counts = rows.groupBy("group", "y").count()
+    listed = counts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct(F.col("y").alias("y"), F.col("count").alias("n")))).alias("kind"))
+    keyed = listed.withColumn("key", F.sha2(F.to_json("kind"), 256)).withColumn("_h", digest(F.col("group"))).withColumn("_range", F.substring("_h", 1, RANGE_DIGITS))
+    kinds = keyed.groupBy("key").agg(F.first("kind").alias("kind"), F.count("*").alias("many")).collect()
+    n_groups = sum(r.many for r in kinds)
+    k = min(k, max(1, n_groups))
+    classes = sorted({c.y for r in kinds for c in r.kind})
+    place = {c: i for i, c in enumerate(classes)}
+    m = np.zeros((len(kinds), len(classes)))
+    for i, r in enumerate(kinds):
+        for c in r.kind:
+            m[i, place[c.y]] = c.n
+    total = np.maximum(1, m.T @ np.array([r.many for r in kinds], float)) if kinds else np.ones(0)
+    held, sizes, left = np.zeros((k, len(classes))), np.zeros(k, int), []
+    for i in sorted(range(len(kinds)), key=lambda i: (-m[i].std(), kinds[i].key)):
+        even, rest = divmod(kinds[i].many, k)
+        held, sizes = held + m[i] * even, sizes + even
+        for at in range(rest):
+            spread = []
+            for f in range(k):
+                held[f] += m[i]
+                spread.append((round(float((held / total).std(0).mean()), 12), float(held[f].sum()), int(sizes[f]), f))
+                held[f] -= m[i]
+            best = min(spread)[-1]
+            held[best], sizes[best] = held[best] + m[i], sizes[best] + 1
+            left.append((kinds[i].key, even * k + at, best))
+    first = keyed.groupBy("key", "_range").count()
+    first = first.select("key", "_range", (F.sum("count").over(W.partitionBy("key").orderBy("_range")) - F.col("count")).alias("_first"))
+    inside = F.row_number().over(W.partitionBy("key", "_range").orderBy("_h", "group")) - 1
+    numbered = keyed.withColumn("_in", inside).join(first, ["key", "_range"]).select("group", "key", (F.col("_first") + F.col("_in")).alias("at"))
+    rest = rows.sparkSession.createDataFrame(left, "key string, at long, _fold int")
+    return numbered.join(rest, ["key", "at"], "left").select("group", F.coalesce("_fold", (F.col("at") % k).cast("int")).alias("fold"))

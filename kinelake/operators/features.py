@@ -1,9 +1,7 @@
-"""Motion features of a run's or window's wrist tracks: native where aggregates suffice, grouped pandas where spectra or convolutions are needed."""
+"""Motion features of a run's or window's wrist tracks: native where aggregates suffice, grouped pandas where spectra are needed."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,38 +65,3 @@ def spectral_features(track: DataFrame, by: str = "run") -> DataFrame:
 
     kind = dict(track.dtypes)[by]
     return track.groupBy(by).applyInPandas(run, f"{by} {kind}, autocorr double, concentration double, period double")
-
-
-def kernels() -> np.ndarray:
-    """84 kernels of nine taps: three of weight 2, the others -1, one for each choice of the three."""
-    out = np.full((84, 9), -1.0)
-    for row, high in zip(out, combinations(range(9), 3), strict=True):
-        row[list(high)] = 2.0
-    return out
-
-
-def convolve(x: np.ndarray, dilation: int) -> np.ndarray:
-    """(84, n) responses, zeros beyond the ends."""
-    pad = np.pad(x, 4 * dilation)
-    shifted = np.stack([pad[k * dilation : k * dilation + len(x)] for k in range(9)])
-    return kernels() @ shifted
-
-
-def ppv_features(track: DataFrame, biases: dict[int, np.ndarray], by: str = "run") -> DataFrame:
-    """(by, ppv array<double>): for each dilation and kernel the share of responses above its bias."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t").y.to_numpy()
-        ppv = [(convolve(y, d) > b[:, None]).mean(1) for d, b in sorted(biases.items())]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ppv": [np.concatenate(ppv)]})
-
-    kind = dict(track.dtypes)[by]
-    return track.groupBy(by).applyInPandas(run, f"{by} {kind}, ppv array<double>")
-
-
-def fit_biases(track: DataFrame, dilations: list[int], quantile: float = 0.5, rows: int = 64, by: str = "run") -> dict[int, np.ndarray]:
-    """Biases per dilation: a quantile of the responses of the ``rows`` groups with the smallest hashes (the bounded sample of the fit)."""
-    chosen = track.select(by).distinct().orderBy(F.xxhash64(by), by).limit(rows)
-    sample = track.join(F.broadcast(chosen), by, "left_semi").toPandas()
-    parts = [g.sort_values("t").y.to_numpy() for _, g in sample.groupby(by)]
-    return {d: np.quantile(np.concatenate([convolve(y, d) for y in parts], axis=1), quantile, axis=1) for d in dilations}

@@ -1,6 +1,6 @@
 """Identity by vectors, and the decisions that build on it.
 
-All-pairs scores run within a class only, as blocks of one class's matrix: pairs are an equi-join on the class.
+Mean similarities come from a class's sum of unit vectors; where single pairs count they are made within a class only, dealt over tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from kinelake.operators.qc import LEFT_SHOULDER, LEFT_WRIST, NOSE, RIGHT_SHOULDE
 
 # fixed values: bands and limits of the decisions
 MIN_CONF, MIN_FACES, CENTRE_BAND, MIN_SHOULDER, MAX_ANGLE, EDGE, HAND_CUT = 0.3, 3, 0.55, 0.08, 30.0, 0.02, 0.30
+#: Tasks over which one class's rows are dealt where all its pairs are needed.
+SALTS = 16
 FRONTAL, CROP, IDENTITY, MIN_FRONTAL = (0.25, 0.15), (0.70, 0.50), (0.30, 0.12), 3
 
 
@@ -45,35 +47,54 @@ def centroids(faces: DataFrame) -> DataFrame:
     return whole.select("conductor", unit(F.col("c")).alias("centroid"))
 
 
+def _dealt(rows: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on the class with ``_salt``: a class's rows are dealt over SALTS tasks by key, the other side goes to each."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def match_scores(probes: DataFrame, references: DataFrame) -> DataFrame:
     """(vec_id, score): per probe(conductor, vec_id, emb) the highest cosine to its class's references(conductor, emb)."""
-    p, r = probes.select("conductor", "vec_id", F.col("emb").alias("a")), references.select("conductor", F.col("emb").alias("b"))
-    return p.join(r, "conductor").groupBy("vec_id").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("score"))
+    p, r = _dealt(probes.select("conductor", "vec_id", F.col("emb").alias("a")), references.select("conductor", F.col("emb").alias("b")), "vec_id")
+    return p.join(r, ["conductor", "_salt"]).groupBy("vec_id").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("score"))
+
 
+def unit_faces(faces: DataFrame) -> DataFrame:
+    """(conductor, vec_id, video_id, u): unit vectors."""
+    return faces.select("conductor", "vec_id", "video_id", unit(F.col("emb")).alias("u"))
 
-def class_pairs(faces: DataFrame) -> DataFrame:
-    """(conductor, i, j, vi, vj, s): cosines of all ordered pairs within a class, itself included."""
-    u = faces.select("conductor", "vec_id", "video_id", unit(F.col("emb")).alias("u"))
-    a = u.select("conductor", F.col("vec_id").alias("i"), F.col("video_id").alias("vi"), F.col("u").alias("a"))
-    b = u.select("conductor", F.col("vec_id").alias("j"), F.col("video_id").alias("vj"), F.col("u").alias("b"))
-    return a.join(b, "conductor").select("conductor", "i", "j", "vi", "vj", dot(F.col("a"), F.col("b")).alias("s"))
 
+def class_sums(units: DataFrame) -> DataFrame:
+    """(conductor, total, n): the sum of a class's unit vectors, one partial aggregate per component."""
+    each = units.select("conductor", F.posexplode("u").alias("k", "x")).groupBy("conductor", "k").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    return each.groupBy("conductor").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("total"), F.max("n").alias("n"))
 
-def loo_scores(pairs: DataFrame) -> DataFrame:
-    """Mean cosine to the other members; 0 for a class of one."""
-    return pairs.groupBy("conductor", "i").agg(F.coalesce(F.avg(F.when(F.col("i") != F.col("j"), F.col("s"))), F.lit(0.0)).alias("score"))
 
+def loo_scores(faces: DataFrame) -> DataFrame:
+    """(conductor, i, score): mean cosine to the other members; 0 for a class of one. A mean of products is the product with the sum, so no pairs are made."""
+    u = unit_faces(faces)
+    both = u.join(class_sums(u), "conductor")
+    others = F.try_divide(dot(F.col("u"), F.col("total")) - dot(F.col("u"), F.col("u")), F.col("n") - 1)
+    return both.select("conductor", F.col("vec_id").alias("i"), F.coalesce(others, F.lit(0.0)).alias("score"))
 
-def dominant_cluster(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Members at or above the threshold to the medoid, the vector of highest mean cosine (ties: smaller id)."""
-    mean = pairs.groupBy("conductor", "i").agg(F.round(F.avg("s"), 9).alias("m"))
-    medoid = mean.groupBy("conductor").agg(F.max_by("i", F.struct("m", -F.col("i"))).alias("medoid"))
-    return pairs.join(medoid, "conductor").where(F.col("i") == F.col("medoid")).where(F.col("s") >= threshold).select("conductor", "medoid", F.col("j").alias("member"))
 
+def dominant_cluster(faces: DataFrame, threshold: float) -> DataFrame:
+    """(conductor, medoid, member): members at or above the threshold to the medoid, the vector of highest mean cosine (ties: smaller id)."""
+    u = unit_faces(faces)
+    mean = u.join(class_sums(u), "conductor").select("conductor", "vec_id", "u", F.round(dot(F.col("u"), F.col("total")) / F.col("n"), 9).alias("m"))
+    medoid = mean.groupBy("conductor").agg(F.max_by(F.struct(F.col("vec_id").alias("medoid"), F.col("u").alias("best")), F.struct("m", -F.col("vec_id"))).alias("b")).select("conductor", "b.*")
+    near = u.join(medoid, "conductor").where(dot(F.col("u"), F.col("best")) >= threshold)
+    return near.select("conductor", "medoid", F.col("vec_id").alias("member"))
 
-def cross_video_cluster(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Per class the seed whose neighbours span most videos, then are most (ties: smaller id), with those counts."""
-    per = pairs.where(F.col("s") >= threshold).groupBy("conductor", "i").agg(F.count_distinct("vj").alias("videos"), F.count("*").alias("members"))
+
+def cross_video_cluster(faces: DataFrame, threshold: float) -> DataFrame:
+    """Per class the seed whose neighbours span most videos, then are most (ties: smaller id), with those counts.
+
+    Neighbours are counted over all pairs of a class, as the method asks; a class's seeds are dealt over SALTS tasks and pairs are counted where they are made.
+    """
+    u = unit_faces(faces)
+    a, b = _dealt(u.select("conductor", F.col("vec_id").alias("i"), F.col("u").alias("a")), u.select("conductor", "video_id", F.col("u").alias("b")), "i")
+    near = a.join(b, ["conductor", "_salt"]).where(dot(F.col("a"), F.col("b")) >= threshold)
+    per = near.groupBy("conductor", "i").agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("members"))
     best = F.max_by(F.struct("i", "videos", "members"), F.struct("videos", "members", -F.col("i")))
     return per.groupBy("conductor").agg(best.alias("b")).select("conductor", F.col("b.i").alias("seed"), "b.videos", "b.members")
 

@@ -95,18 +95,75 @@ def root_paths(bones: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def bone_normalize(vectors: DataFrame, canonical: DataFrame, bones: list[tuple[int, int]]) -> DataFrame:
-    """(run, t, bone, x, y): the child joint of each bone in a tree rebuilt with canonical lengths.
+def rebuilt(frames: DataFrame, canonical: DataFrame, bones: list[tuple[int, int]], fore: bool = False) -> DataFrame:
+    """Frames redrawn around the origin with canonical(bone, length) lengths along the bones' own directions; joints outside the tree are 0, confidence too.
 
-    Closed form: the sum of scaled unit vectors along the root path, so no sequential state; the tree and the lengths (one row per bone) are the broadcast side.
+    fore: each bone is drawn as short as it looks in the frame, by its fore_factors. A joint's place is the sum of its
+    root path, so nothing but the run's anchors (an array per run) comes from other frames.
     """
-    spark = vectors.sparkSession
-    full = norm2(F.col("dx"), F.col("dy"))
-    unit = lambda c: F.when(full > 0, F.col(c) / full).otherwise(0.0)
-    lengths = canonical.withColumnRenamed("length", "canon")
-    scaled = vectors.join(F.broadcast(lengths), "bone").select("run", "t", F.col("bone").alias("part"), (unit("dx") * F.col("canon")).alias("ux"), (unit("dy") * F.col("canon")).alias("uy"))
-    paths = F.broadcast(spark.createDataFrame(root_paths(bones), "bone int, part int"))
-    return scaled.join(paths, "part").groupBy("run", "t", "bone").agg(F.sum("ux").alias("x"), F.sum("uy").alias("y"))
+    lengths = {r.bone: r.length or 0.0 for r in canonical.select("bone", "length").collect()}  # a row per bone
+    ls, rs = _j(5), _j(6)
+    cx, cy = (ls["x"] + rs["x"]) / 2, (ls["y"] + rs["y"]) / 2
+    width = norm2(ls["x"] - rs["x"], ls["y"] - rs["y"])
+    sure = (ls["conf"] >= MIN_CONF) & (rs["conf"] >= MIN_CONF) & (width > 1e-6)
+    if fore:
+        vectors = bone_vectors(frames, bones)
+        anchors = vectors.groupBy("run", "bone").agg(F.percentile(F.col("length") / F.col("width"), F.lit(0.95)).alias("anchor")).where("anchor >= 1e-6")
+        frames = frames.join(anchors.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("bone", "anchor"))).alias("_anchors")), "run", "left")
+
+    def part(b: int, parent: int, child: int) -> Column:
+        px, py = (cx, cy) if parent == ROOT else (_j(parent)["x"], _j(parent)["y"])
+        dx, dy = _j(child)["x"] - px, _j(child)["y"] - py
+        full, by = norm2(dx, dy), F.lit(float(lengths.get(b, 0.0)))
+        if fore:
+            seen = sure & (_j(child)["conf"] >= MIN_CONF)
+            seen = seen if parent == ROOT else seen & (_j(parent)["conf"] >= MIN_CONF)
+            look = F.when(seen, full / width / F.col("_anchors")[F.lit(b)])
+            by = by * F.when(look.isNotNull(), F.least(F.greatest(look, F.lit(0.15)), F.lit(1.15))).otherwise(1.0)
+        unit = lambda d: F.when(full > 1e-6, d / full).otherwise(0.0)
+        return F.struct((unit(dx) * by).alias("x"), (unit(dy) * by).alias("y"))
+
+    parts = frames.withColumn("_parts", F.array(*[part(b, p, c) for b, (p, c) in enumerate(bones)]))
+    paths: dict[int, list[int]] = {}
+    into = {c: b for b, (_, c) in enumerate(bones)}
+    for b, way in root_paths(bones):
+        paths.setdefault(bones[b][1], []).append(way)
+    table = F.create_map(*[x for joint, way in sorted(paths.items()) for x in (F.lit(joint), F.array(*[F.lit(w) for w in way]))])
+    along = lambda i, c: F.aggregate(table[i], F.lit(0.0), lambda s, b: s + F.get("_parts", b)[c])
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "conf")])
+    joints = F.transform("joints", lambda p, i: F.when(i.isin(*into), F.struct(along(i, "x").alias("x"), along(i, "y").alias("y"), p["conf"].alias("conf"))).otherwise(zero))
+    return parts.withColumn("joints", joints).drop("_parts", "_anchors")
+
+
+def fore_ratios(frames: DataFrame, bones: list[tuple[int, int]], anchor: str = "median") -> DataFrame:
+    """(run, t, j, r) of every joint: the bone that ends in it, in shoulder widths, over the run's median (or p95) length, within [0.2, 2]; 1 where it can't be judged."""
+    rel = F.col("length") / F.col("width")
+    usual = F.percentile(rel, F.lit(0.5 if anchor == "median" else 0.95)).over(W.partitionBy("run", "bone"))
+    child = F.element_at(F.array(*[F.lit(c) for _, c in bones]), F.col("bone") + 1)
+    found = bone_vectors(frames, bones).select("run", "t", child.alias("j"), F.when(rel.isNotNull() & (usual >= 1e-6), F.least(F.greatest(rel / usual, F.lit(0.2)), F.lit(2.0))).alias("r"))
+    every = frames.select("run", "t", F.explode(F.sequence(F.lit(0), F.size("joints") - 1)).alias("j"))
+    return every.join(found, ["run", "t", "j"], "left").select("run", "t", "j", F.coalesce("r", F.lit(1.0)).alias("r"))
+
+
+def resample_clamped(long: DataFrame, columns: list[str], target: float = 25.0) -> DataFrame:
+    """(run, j, t, columns) of long(run, j, t, fps, columns) at the target rate: round(frames * target / fps) of them, linear, the last frame held beyond its time. A rate within 0.05 of the target stays."""
+    w = W.partitionBy("run", "j")
+    spanned = long.select("*", (F.max("t").over(w) + 1).alias("n"), *[F.lead(c).over(w.orderBy("t")).alias(f"{c}1") for c in columns])
+    same = F.abs(F.col("fps") - target) < 0.05
+    step = F.when(same, 1.0).otherwise(F.col("fps") / target)
+    total = F.when(same, F.col("n")).otherwise(F.rint(F.col("n") * F.lit(target) / F.col("fps"))).cast("int")
+    place = lambda i: F.least(i * step, F.col("n") - 1)
+    near = F.sequence(F.greatest(F.lit(0), F.floor(F.col("t") / step).cast("int") - 1), F.greatest(F.lit(0), F.when(F.col("t") == F.col("n") - 1, total).otherwise(F.ceil((F.col("t") + 1) / step).cast("int") + 1)))
+    mine = F.filter(near, lambda i: (i < total) & (F.floor(place(i)) == F.col("t")))
+    found = spanned.withColumn("i", F.explode(mine)).withColumn("f", place(F.col("i")) - F.col("t"))
+    lerp = lambda c: F.col(c) + F.when(F.col(f"{c}1").isNull(), 0.0).otherwise(F.col("f") * (F.col(f"{c}1") - F.col(c)))
+    return found.select("run", "j", F.col("i").alias("t"), *[lerp(c).alias(c) for c in columns])
+
+
+def raw_body(frames: DataFrame, joints: int = 17) -> DataFrame:
+    """(run, j, t, x, y, conf) of the first joints of frames(run, t, fps, joints) at 25 frames a second."""
+    first = frames.select("run", "t", "fps", F.posexplode(F.slice("joints", 1, joints)).alias("j", "p")).select("run", "t", "fps", "j", "p.x", "p.y", "p.conf")
+    return resample_clamped(first, ["x", "y", "conf"])
 
 
 def resample(long: DataFrame, fps: float, target: float = 25.0) -> DataFrame:
@@ -156,34 +213,56 @@ def nearest_fill(rows: DataFrame, value: str, by: tuple[str, ...] = ("run",)) ->
 
 
 def moving_average(rows: DataFrame, value: str, window: int, by: tuple[str, ...] = ("run",)) -> Column:
-    """Centred mean over an odd window with repeated ends: what lies beyond an end counts as that end."""
-    half = window // 2
+    """Centred mean over a window with repeated ends: what lies beyond an end counts as that end; an even window reaches one frame less ahead, one of 1 or less changes nothing."""
+    if window <= 1:
+        return F.col(value).cast("double")
+    half, ahead = window // 2, window - 1 - window // 2
     w, whole = W.partitionBy(*by).orderBy("t"), W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    inside = w.rowsBetween(-half, half)
+    inside = w.rowsBetween(-half, ahead)
     first, last = F.first(value).over(whole), F.last(value).over(whole)
     n = F.count("*").over(W.partitionBy(*by))
-    before, after = F.greatest(F.lit(0), half - F.col("t")), F.greatest(F.lit(0), F.col("t") + half - (n - 1))
+    before, after = F.greatest(F.lit(0), half - F.col("t")), F.greatest(F.lit(0), F.col("t") + ahead - (n - 1))
     return (F.sum(value).over(inside) + before * first + after * last) / window
 
 
-def channels(long: DataFrame, parent: dict[int, int], by: str = "run") -> DataFrame:
-    """(by, t, j, pos, velocity, acceleration and bone direction in x and y); differences are forward and 0 where they'd leave the group.
+#: Branches in the order in which they come, with their channels.
+BRANCHES = {"pos": ("x", "y", "conf"), "vel": ("vx", "vy", "v2x", "v2y"), "acc": ("ax", "ay"), "bonedir": ("bdx", "bdy"), "bone": ("bx", "by", "r", "dr")}
+
+
+def parents(joint_set: str) -> dict[int, int]:
+    """The parent of each joint of a set, within it; a joint whose parent the set lacks is its own."""
+    joints = JOINT_SETS[joint_set]
+    up = {0: 5, 6: 5, 7: 5, 8: 6, 9: 7, 10: 8, 11: 5, 12: 6, LEFT_HAND: 9, RIGHT_HAND: 10}
+    up |= {c: p for root in (LEFT_HAND, RIGHT_HAND) for p, c in hand_bones(root)}
+    return {j: up[j] if up.get(j, j) in joints and j in up else j for j in joints}
+
+
+def channels(frames: DataFrame, joint_set: str, use: tuple[str, ...] = tuple(BRANCHES), drop_conf: bool = False) -> DataFrame:
+    """(run, t, j, the channels of the branches in use, in the order of BRANCHES) of frames(run, t, joints array<struct<x, y, conf, [r]>>).
 
-    parent: the parent joint of each joint; ROOT: the shoulder midpoint.
+    Differences are forward and 0 where they'd leave the run. The bone of nose and shoulders starts in the shoulders'
+    middle, others' in their parent, all inside the frame's row; r is 1 where joints have none. drop_conf: confidence is 0.
     """
-    w = W.partitionBy(by, "j").orderBy("t")
+    if unknown := set(use) - set(BRANCHES):
+        raise ValueError(f"unknown branches {sorted(unknown)}")
+    up = parents(joint_set)
+    has_r = "r" in frames.schema["joints"].dataType.elementType.names
+    middle = {c: (_j(5)[c] + _j(6)[c]) / 2 for c in "xy"}
+
+    def one(j: int) -> Column:
+        start = middle if j in (0, 5, 6) else {c: _j(up[j])[c] for c in "xy"}
+        p = _j(j)
+        return F.struct(
+            F.lit(j).alias("j"), p["x"].alias("x"), p["y"].alias("y"), (F.lit(0.0) if drop_conf else p["conf"]).alias("conf"),
+            (p["x"] - start["x"]).alias("bx"), (p["y"] - start["y"]).alias("by"), (p["r"] if has_r else F.lit(1.0)).alias("r"),
+        )
+
+    rows = frames.select("run", "t", F.explode(F.array(*[one(j) for j in JOINT_SETS[joint_set]])).alias("p")).select("run", "t", "p.*")
+    w = W.partitionBy("run", "j").orderBy("t")
     diff = lambda c, lag: F.coalesce(F.lead(c, lag).over(w) - F.col(c), F.lit(0.0))
-    at = W.partitionBy(by, "t")
-    joint = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c))).over(at)
-    places = F.create_map(*[x for j in sorted({*parent.values(), 5, 6} - {ROOT}) for x in (F.lit(j), F.struct(joint("x", j).alias("x"), joint("y", j).alias("y")))])
-    up = F.create_map(*[F.lit(x) for kv in sorted(parent.items()) for x in kv])
-    p = long.where(F.col("j").isin(sorted({*parent, 5, 6}))).withColumn("places", places).withColumn("up", up[F.col("j")])
-    mid = lambda c: (F.col("places")[F.lit(5)][c] + F.col("places")[F.lit(6)][c]) / 2
-    par = lambda c: F.when(F.col("up") == ROOT, mid(c)).otherwise(F.col("places")[F.col("up")][c])
-    moved = p.withColumn("bx", F.col("x") - par("x")).withColumn("by_", F.col("y") - par("y"))
-    length = norm2(F.col("bx"), F.col("by_"))
-    unit = lambda c: F.when(length > 1e-6, F.col(c) / length).otherwise(0.0)
-    return moved.select(by, "t", "j", "x", "y", "conf", diff("x", 1).alias("vx"), diff("y", 1).alias("vy"), diff("x", 2).alias("ax"), diff("y", 2).alias("ay"), unit("bx").alias("ux"), unit("by_").alias("uy"))
+    moved = rows.select("*", *[diff(c, lag).alias(n) for n, c, lag in (("vx", "x", 1), ("vy", "y", 1), ("v2x", "x", 2), ("v2y", "y", 2), ("dr", "r", 1))], F.col("bx").alias("bdx"), F.col("by").alias("bdy"))
+    moved = moved.select("*", diff("vx", 1).alias("ax"), diff("vy", 1).alias("ay"))
+    return moved.select("run", "t", "j", *[c for b, names in BRANCHES.items() if b in use for c in names])
 
 
 def pair_channels(frames: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -199,15 +278,25 @@ def pair_channels(frames: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return rows.select("*", *[F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)).alias(f"d_{c}") for c in names])
 
 
-def graph_edges(spark: SparkSession, joint_set: str) -> DataFrame:
-    """(i, j) with i < j: positions in the set of the tree's edges, hips and nose hung on shoulders, plus nose to right shoulder."""
+# fixed values: pairs that hold both sides together, and the tree of pairs (shoulders, elbows, wrists, hips, then the hands)
+COORDINATION = [(9, 10), (7, 8), (LEFT_HAND, RIGHT_HAND)]
+PAIR_BODY = [(0, 1), (1, 2), (0, 3), (2, 4)]
+
+
+def graph_edges(spark: SparkSession, joint_set: str, coordination: bool = False) -> DataFrame:
+    """(i, j) with i < j: positions in the set of the parents' edges, nose to right shoulder, and on demand both sides' wrists, elbows and hands."""
     joints = JOINT_SETS[joint_set]
-    body = [(5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (5, 0), (6, 0), (9, 91), (10, 112)]
-    every = [*body, *hand_bones(LEFT_HAND), *hand_bones(RIGHT_HAND)]
-    rows = sorted({tuple(sorted((joints.index(a), joints.index(b)))) for a, b in every if a in joints and b in joints})
+    every = [*parents(joint_set).items(), (0, 6), *(COORDINATION if coordination else [])]
+    rows = sorted({tuple(sorted((joints.index(a), joints.index(b)))) for a, b in every if a in joints and b in joints and a != b})
     return spark.createDataFrame(rows, "i int, j int")
 
 
+def pair_edges(spark: SparkSession) -> DataFrame:
+    """(i, j) of the tree of the 25 pairs: four of the body and 21 of the hands."""
+    hand = [(4 + p, 4 + c) for p, c in hand_bones(0)]
+    return spark.createDataFrame([*PAIR_BODY, *hand], "i int, j int")
+
+
 def normalized_adjacency(edges: DataFrame, n: int) -> DataFrame:
     """(i, j, w) of D^-1/2 (A + I) D^-1/2."""
     own = edges.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"))

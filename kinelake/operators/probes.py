@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.operators.evaluate import stratified_group_folds
@@ -46,3 +47,32 @@ def oof_probabilities(rows: DataFrame, k: int = 5, c: float = 1.0) -> DataFrame:
         scored = scored.withColumn("p", vector_to_array("probability")[1]).withColumn("features", F.col("raw"))
         parts.append(scored.select(*dealt.columns, "p"))
     return reduce(DataFrame.unionByName, parts) if parts else dealt.withColumn("p", F.lit(None).cast("double"))
+
+
+def fit_classes(rows: DataFrame, hidden: tuple[int, ...] | None = None, max_iter: int = 200, penalty: float = 0.0, seed: int = 0):
+    """A pipeline model of rows(features array<double>, y 0, 1, ...): multinomial logistic regression, or a perceptron with hidden layers, on standardized features."""
+    ready = rows.withColumn("features", array_to_vector("features"))
+    width = len(rows.select("features").first().features)
+    classes = rows.agg(F.max("y")).first()[0] + 1
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    if hidden is None:
+        model = LogisticRegression(featuresCol="scaled", labelCol="y", family="multinomial", regParam=penalty, standardization=False, maxIter=max_iter)
+    else:
+        model = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="y", layers=[width, *hidden, max(2, classes)], maxIter=max_iter, seed=seed)
+    return Pipeline(stages=[scaler, model]).fit(ready)
+
+
+def class_probabilities(model, rows: DataFrame) -> DataFrame:
+    """rows with p array<double>, a probability per class."""
+    scored = model.transform(rows.withColumn("_raw", F.col("features")).withColumn("features", array_to_vector("features")))
+    return scored.withColumn("features", F.col("_raw")).select(*rows.columns, vector_to_array("probability").alias("p"))
+
+
+def fold_report(scored: DataFrame, keys: tuple[str, ...] = ("conductor", "video_id")) -> DataFrame:
+    """One row (win_n, win_acc, win_macro, rec_n, rec_correct) of scored(keys, y, p): windows hit, mean share of hits of a recording, and recordings hit by their summed probabilities."""
+    best = lambda p: F.array_position(p, F.array_max(p)) - 1
+    hit = (best(F.col("p")) == F.col("y")).cast("double")
+    each = scored.select(*keys, "y", hit.alias("hit"), F.posexplode("p").alias("k", "v"))
+    sums = each.groupBy(*keys, "k").agg(F.sum("v").alias("v"), F.max("y").alias("y"), F.avg("hit").alias("share"), F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    top = sums.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.round("v", 12)), "k"))).where("_at = 1")
+    return top.agg(F.sum("n").alias("win_n"), F.try_divide(F.sum("hits"), F.sum("n")).alias("win_acc"), F.avg("share").alias("win_macro"), F.count("*").alias("rec_n"), F.count_if(F.col("k") == F.col("y")).alias("rec_correct"))

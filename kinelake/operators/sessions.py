@@ -17,15 +17,19 @@ def title_edges(titles: DataFrame, similarity: float | None = 0.8) -> DataFrame:
     """
     n = text.normalize_title(F.col("title"))
     named = titles.select("conductor", "video_id", n.alias("norm"), text.work_numbers(F.col("title")).alias("nums")).where("norm <> ''")
-    same = named.groupBy("conductor", "norm").agg(F.min("video_id").alias("low"), F.first("nums").alias("nums"))
+    same = named.groupBy("conductor", "norm").agg(F.min("video_id").alias("low"), F.max("video_id").alias("high"), F.first("nums").alias("nums"))
     stars = named.join(same.select("conductor", "norm", "low"), ["conductor", "norm"]).where("video_id <> low").select("conductor", F.col("low").alias("a"), F.col("video_id").alias("b"))
     if similarity is None:
         return stars
     kept = same.withColumn("composers", text.composer_set(F.col("norm")))
-    l, r = (kept.select("conductor", "nums", *[F.col(c).alias(f"{c}_{s}") for c in ("norm", "low", "composers")]) for s in "ab")
+    l, r = (kept.select("conductor", "nums", *[F.col(c).alias(f"{c}_{s}") for c in ("norm", "low", "high", "composers")]) for s in "ab")
     apart = (F.size("composers_a") > 0) & (F.size("composers_b") > 0) & ~F.arrays_overlap("composers_a", "composers_b")
     pairs = l.join(r, ["conductor", "nums"]).where("low_a < low_b").where(~apart)
-    alike = pairs.where(text.title_ratio(F.col("norm_a"), F.col("norm_b")) >= similarity)
+    likely = pairs.where(text.ratio_bound(F.col("norm_a"), F.col("norm_b")) >= similarity)
+    # the ratio depends on which title comes first; equal titles may stand on both sides of another
+    forth = text.title_ratio(F.col("norm_a"), F.col("norm_b")) >= similarity
+    back = text.title_ratio(F.col("norm_b"), F.col("norm_a")) >= similarity
+    alike = likely.where(forth).unionByName(likely.where("low_b < high_a").where(back))
     return stars.union(alike.select("conductor", F.col("low_a").alias("a"), F.col("low_b").alias("b")))
 
 

@@ -30,15 +30,15 @@ def identity_match(spark, d):
 
 
 def loo_scores(spark, d):
-    return i.loo_scores(i.class_pairs(v.v_faces(spark, d))).select("conductor", "i", *_r("score"))
+    return i.loo_scores(v.v_faces(spark, d)).select("conductor", "i", *_r("score"))
 
 
 def dominant_cluster(spark, d):
-    return i.dominant_cluster(i.class_pairs(v.v_faces(spark, d)), 0.1)
+    return i.dominant_cluster(v.v_faces(spark, d), 0.1)
 
 
 def cross_video_cluster(spark, d):
-    return i.cross_video_cluster(i.class_pairs(v.v_faces(spark, d)), 0.1)
+    return i.cross_video_cluster(v.v_faces(spark, d), 0.1)
 
 
 def select_diverse(spark, d):
@@ -211,16 +211,11 @@ def motion_basic(spark, d):
 
 def motion_spectral(spark, d):
     ship(spark)
-    return _by_wrist(m.spectral_features(_wrists(spark, d).select("track", "t", "y"), "track"))
+    found = _by_wrist(m.spectral_features(_wrists(spark, d).select("track", "t", "y"), "track"))
+    return found.select("run", "j", *_r("autocorr", "concentration", "period"))
 
 
-def minirocket_ppv(spark, d):
-    ship(spark)
-    track = _wrists(spark, d).select("track", "t", "y")
-    return _by_wrist(m.ppv_features(track, m.fit_biases(track, [1, 2, 4], by="track"), "track"))
-
-
-QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, crop_subgroup_uncalibrated, window_chance, distinct_counts, mean_scores, stratified_folds, pooled_embeddings, motion_basic, motion_spectral, minirocket_ppv)}
+QUERIES = {f.__name__: f for f in (identity_centroids, identity_match, loo_scores, dominant_cluster, cross_video_cluster, select_diverse, frontal_reasons, hands_in_frame, shot_decision, aggregate_match, best_identity, recording_vote, run_vote, session_vote, confusion, macro_f1, class_scores, window_macro, majority_z, spearman_year, era_auc, conf_era_proxy, score_quantiles, era_colour, repertoire_matched, composer_accuracy, calibrate_threshold, crop_subgroup, crop_subgroup_uncalibrated, window_chance, distinct_counts, mean_scores, stratified_folds, pooled_embeddings, motion_basic, motion_spectral)}
 
 _U = duck("v_faces") + """, u AS (SELECT conductor, video_id, vec_id, list_transform(emb, lambda x: x / greatest(sqrt(list_sum(list_transform(emb, lambda z: z * z))), 1e-9)) AS u FROM v_faces),
 k AS (SELECT CAST(range AS INTEGER) AS k FROM range(64)),
@@ -282,6 +277,11 @@ g AS (SELECT kind, video_id, count(*) AS n, count(*) FILTER (hit) AS hits, bool_
     "distinct_counts": _V + " SELECT conductor, count(DISTINCT video_id) AS videos, count(DISTINCT video_id // 3) AS sessions, count(DISTINCT run) AS runs FROM pv GROUP BY 1",
     "mean_scores": "SELECT o_orderpriority AS conductor, o_custkey AS video_id, count(*) AS n, round(avg(o_orderkey % 1009), 6) AS score FROM orders GROUP BY 1, 2",
     "pooled_embeddings": duck("v_faces") + ", k AS (SELECT CAST(range AS INTEGER) AS k FROM range(64)) SELECT conductor, k, round(avg(emb[k + 1]), 6) AS mean, round(max(emb[k + 1]), 6) AS max FROM v_faces, k GROUP BY 1, 2",
+    "motion_spectral": duck("v_frames") + """, ce AS (SELECT run, j, t, y - avg(y) OVER (PARTITION BY run, j) AS a, count(*) OVER (PARTITION BY run, j) AS n FROM v_frames WHERE j IN (9, 10)),
+ac AS (SELECT p.run, p.j, p.t - q.t AS lag, sum(p.a * q.a) AS s FROM ce p JOIN ce q ON p.run = q.run AND p.j = q.j AND p.t >= q.t GROUP BY 1, 2, 3), am AS (SELECT run, j, max(s) FILTER (lag >= 3) / max(s) FILTER (lag = 0) AS autocorr FROM ac GROUP BY 1, 2),
+pw AS (SELECT run, j, k, any_value(n) AS n, sum(a * h * cos(u)) ** 2 + sum(a * h * sin(u)) ** 2 AS p FROM (SELECT run, j, n, k, a, 0.5 - 0.5 * cos(2 * pi() * t / (n - 1)) AS h, 2 * pi() * k * t / n AS u FROM ce, range(1, 200) z(k) WHERE k <= n // 2) GROUP BY 1, 2, 3),
+pk AS (SELECT run, j, any_value(n) AS n, arg_max(k, p) AS top, sum(p) AS total FROM pw GROUP BY 1, 2)
+SELECT am.run, CAST(am.j AS INTEGER) AS j, round(any_value(autocorr), 6) AS autocorr, round(sum(p) FILTER (k BETWEEN top - 1 AND top + 1) / any_value(total), 6) AS concentration, round(any_value(pk.n)::DOUBLE / any_value(top), 6) AS period FROM am JOIN pk ON pk.run = am.run AND pk.j = am.j JOIN pw ON pw.run = am.run AND pw.j = am.j GROUP BY am.run, am.j""",
     "motion_basic": duck("v_frames") + """, s0 AS (SELECT run, j, t, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM v_frames WHERE j IN (9, 10) WINDOW w AS (PARTITION BY run, j ORDER BY t)), s1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS s FROM s0),
 s2 AS (SELECT *, avg(s) OVER (PARTITION BY run, j) AS mean, median(s) OVER (PARTITION BY run, j) AS mid, lag(dx) OVER w AS pdx, lag(dy) OVER w AS pdy, lag(s) OVER w AS ps FROM s1 WINDOW w AS (PARTITION BY run, j ORDER BY t))
 SELECT run, j, count(s) AS n, round(coalesce(sum(s), 0), 6) AS path, round(stddev_pop(s) / (avg(s) + 1e-8), 6) AS cv, round(CASE WHEN stddev_pop(s) < 1e-8 THEN 0 ELSE avg((s - mean) * (s - mean) * (s - mean)) / (stddev_pop(s) * stddev_pop(s) * stddev_pop(s)) END, 6) AS skew,

@@ -21,7 +21,7 @@ def test_resample_has_every_joint(spark):
     assert {r.n for r in per.select("n").distinct().collect()} == {21}
 
 
-@pytest.mark.parametrize("name", ["motion_basic", "motion_spectral", "minirocket_ppv"])
+@pytest.mark.parametrize("name", ["motion_basic", "motion_spectral"])
 def test_both_wrists_of_every_run(spark, name):
     want = {(r.run, j) for r in v.v_frames(spark, SF).select("run").distinct().collect() for j in (9, 10)}
     assert sorted((r.run, r.j) for r in Q[name](spark, SF).select("run", "j").collect()) == sorted(want)
