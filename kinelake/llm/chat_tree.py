@@ -2,18 +2,21 @@
 
 Every conversation becomes a path of turn nodes. Conversations are dealt out by range of their path, which is the
 depth-first order of the whole forest, so a first turn that a third of all conversations share is split like any other.
-Each partition cuts its part of the order into packs of bounded size; a pack emits the ancestors of its first leaf again.
-The token unit is one code point of the formatted text.
+Each partition cuts its part of the order into packs of bounded size; a pack emits the ancestors of its first leaf again,
+so a shared turn is there once per pack that holds conversations with it (a pack has PACK_CHARS of turns, or that many
+/ 64 conversations). A conversation is one row and must fit a task's memory.
+The token unit is one code point of the formatted text, which every tokenizer's tokens are made of.
 
 A pack has: ``text`` (all nodes, depth-first), per node its ``start`` and ``end`` in the text, its ``parent`` (-1: a
-root), the position id of its first token (``position``: tokens of all ancestors), the merged text intervals of its
+root), the position id of its first token (``position``: tokens of all ancestors; ``token_positions`` lists all), the merged text intervals of its
 ancestors and itself that its tokens may attend to (``attend``; within the node itself causally), and the interval under
 the loss mask (``loss_start``, ``loss_end``: an assistant's text, else empty); and per leaf the conversation's id with the
 path of nodes that it reads.
 
 Defined results: a null text or role is empty; rows of a conversation are ordered by turn (null first), then role and
-text; repeated rows are repeated turns; a null id is a conversation like any other; an empty table gives no pack; only the
-four named columns are read, so extra columns can't clash.
+text; repeated rows are repeated turns; a null id is a conversation like any other, other ids are cast to long (one that is
+no number fails under ANSI mode and is null without it); an empty table gives no pack; only the four named columns are
+read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -134,6 +137,12 @@ def pack_tree(rows: DataFrame, pack_chars: int = PACK_CHARS, partitions: int | N
     return ordered.select(F.col("conv_id").cast("long"), "turns").mapInPandas(lambda batches: _packs(batches, pack_chars), PACK_SCHEMA)
 
 
+def token_positions(packs: DataFrame) -> DataFrame:
+    """(pack_id, positions array<long>): the position id of every token of a pack's text, ancestors counted, siblings not."""
+    spans = F.transform("nodes", lambda n: F.when(n["end"] > n["start"], F.sequence(n["position"], n["position"] + n["end"] - n["start"] - 1)).otherwise(F.array().cast("array<bigint>")))
+    return packs.select("pack_id", F.flatten(spans).alias("positions"))
+
+
 def read_conversations(packs: DataFrame) -> DataFrame:
     """(conv_id, formatted, turns, loss) of every leaf, from the packs alone: what its last node may attend to, parsed; loss: the unescaped texts under the mask."""
 

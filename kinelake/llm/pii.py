@@ -1,14 +1,15 @@
 """Personal data in texts, with DataFrame functions alone: patterns propose spans, checks confirm them, context adjusts the score.
 
 Kinds email, ip, card and phone are the base: a proposal that fails its check is dropped and not tried again, and what
-passes stays whatever its score. Kinds iban (mod-97) and ssn (no checksum: it needs a context word) are added where
+passes stays whatever its score, so context decides on the added kinds only. Kinds iban (mod-97) and ssn (no checksum: it needs a context word) are added where
 their score, in percent, reaches THRESHOLD. Positions are code points, the end exclusive.
 
 The patterns are written so that Java's matcher is linear and does not recurse: runs are possessive, and a match can begin
 inside a run of its first characters only where the last match ended, since from within a run it would fail just the same.
 
 Defined results: a null text is empty and has no spans; overlapping spans of different kinds all stay; rows keep their
-multiplicity; only the id and text columns are read, so extra columns can't clash; an empty table gives an empty result.
+multiplicity; only the text column is read, the others pass through, and one named like the result's is replaced by it; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,10 +1,9 @@
-"""The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
+"""The operators' queries and, where SQL can express them, their DuckDB equivalents; the pipeline's are in its own module."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from kinelake.llm import bpe, chat_tree, langid, mixing, mtree, pii, simhash, suffix_dedup, transport, url_filter
 
 
@@ -20,12 +19,8 @@ def queries() -> dict[str, Callable]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_transport": transport.op9_transport,
         "op10_langid": langid.op10_langid,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_chat_tree": chat_tree.ORACLE, "op4_pii": pii.ORACLE, "op5_mixing": mixing.ORACLE, "op7_mtree": mtree.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
-    if corpus_pipeline.ORACLE_SQL:
-        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return sql
+    return {"op2_chat_tree": chat_tree.ORACLE, "op4_pii": pii.ORACLE, "op5_mixing": mixing.ORACLE, "op7_mtree": mtree.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}

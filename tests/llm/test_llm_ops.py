@@ -67,6 +67,34 @@ def test_chat_round_trip(spark):
     assert chat_tree.pack_tree(df.limit(0)).count() == 0
 
 
+def _chat_digests(rows):
+    """What each conversation reads back as, from its rows alone."""
+    held = {}
+    for c, turn, role, text in rows:
+        held.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: ([(r, t) for *_, r, t in sorted(x)], [t for *_, r, t in sorted(x) if r == "assistant" and t]) for c, x in held.items()}
+
+
+@pytest.mark.parametrize("pack_chars", [chat_tree.PACK_CHARS, 200])
+def test_chat_packs_and_positions(spark, pack_chars):
+    rng = random.Random(2)
+    rows = [(c, t, ("user", "assistant")[t % 2], rng.choice(["hi", "\\", "### x", "w" * 90])) for c in range(60) for t in range(rng.randrange(1, 5))]
+    rows += [(100, 0, "user", "twice"), (100, 0, "user", "twice"), (101, 0, "user", "long " * 60_000), (101, 1, "assistant", "é😀" * 5000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("path", F.lit("x"))
+    packs = chat_tree.pack_tree(df, pack_chars, partitions=3)
+    held = packs.collect()
+    assert (len(held) > 5) == (pack_chars == 200) or len(held) <= 3
+    back = {r.conv_id: ([tuple(t) for t in r.turns], r.loss) for r in chat_tree.read_conversations(packs).collect()}
+    assert back == _chat_digests(rows)
+    positions = {r.pack_id: r.positions for r in chat_tree.token_positions(packs).collect()}
+    for p in held:
+        assert len(positions[p.pack_id]) == len(p.text)
+        for leaf in p.leaves:  # a conversation's own tokens count up from 0
+            assert [x for n in leaf.path for x in positions[p.pack_id][p.nodes[n].start : p.nodes[n].end]] == list(range(sum(p.nodes[n].end - p.nodes[n].start for n in leaf.path)))
+        roots = [p.text[n.start : n.end] for n in p.nodes if n.parent == -1]
+        assert len(roots) == len(set(roots))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (50, 52), (60, 60)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
@@ -117,6 +145,17 @@ def test_pii(spark):
     assert clean.startswith("é mail <EMAIL><EMAIL> card <CARD> no ")
 
 
+def test_pii_odd_rows(spark, odd):
+    clash = odd.withColumn("pii_spans", F.lit("mine")).withColumn("start", F.lit(1))
+    rows = pii.find_pii(clash)
+    assert rows.count() == len(ODD) and rows.columns == clash.columns and dict(rows.dtypes)["pii_spans"].startswith("array")
+    assert pii.find_pii(clash.limit(0)).count() == 0
+    both = spark.createDataFrame([(1, "abc 4111111111111111@x.yz")], "doc_id long, text string")
+    spans = [(s.kind, s.start, s.end) for s in pii.find_pii(both).first().pii_spans]
+    assert spans == [("email", 4, 25), ("card", 4, 20)]  # of one start: in the order of the kinds
+    assert pii.find_pii(both).select(pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).first().t == "abc <EMAIL>"
+
+
 def test_pii_base_as_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     for r in pii.find_pii(docs).collect():
@@ -385,17 +424,71 @@ def test_langid_held_out_accuracy(spark, odd):
     assert langid.identify(odd, langid.train(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_pipeline(spark, odd):
+def _pipeline_by_hand(spark, docs):
+    """run()'s rows by other ways: languages row by row, all pairs of texts, SQL for personal data and sources, the library's tokens."""
+    from tests.llm.test_near_copies import _brute
+
+    model = langid.train(docs)
+    rows = [r.asDict() for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+    for r in rows:
+        r["lang"], r["score"] = langid.predict(model, langid.vector(r["text"]))
+    rows = [r for r in rows if r["lang"] != "und" and r["score"] >= corpus_pipeline.MIN_SCORE]
+    texts = sorted({r["text"] for r in rows})
+    group = dict(zip(texts, _brute(texts)))
+    first = {}
+    for r in rows:
+        rank = (r["doc_id"] is None, r["doc_id"] or 0, str(r["lang"]), str(r["source"]), r["n_chars"] or 0)
+        key = group[r["text"]]
+        if key not in first or rank < first[key][0]:
+            first[key] = (rank, r)
+    rows = [r for _, r in first.values()]
+    c = duckdb.connect()
+
+    def held(rows):
+        c.execute("CREATE OR REPLACE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r["doc_id"], r["text"], r["source"]) for r in rows])
+
+    held(rows)
+    for r, (spans,) in zip(sorted(rows, key=lambda r: r["doc_id"]), c.execute(f"SELECT spans FROM ({pii.ORACLE}) ORDER BY doc_id").fetchall(), strict=True):
+        out, at = "", 0
+        for kind, a, z in (s.split(":") for s in spans.split(",") if s):
+            if int(a) >= at:
+                out += r["text"][at : int(a)] + f"<{kind.upper()}>"
+            at = max(at, int(z))
+        r["text"] = out + r["text"][at:]
+    held(rows)
+    taken = dict(c.execute(f"SELECT doc_id, taken FROM ({mixing.ORACLE})").fetchall())
+    import tokenizers
+
+    library, want = tokenizers.Tokenizer.from_file(bpe.default_vocabulary()), []
+    for r in rows:
+        pieces = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r["text"])
+        whole, part = divmod(taken[r["doc_id"]], len(pieces)) if pieces else (0, 0)
+        for t in [r["text"]] * whole + (["".join(pieces[:part])] if part else []):
+            ids = library.encode(t, add_special_tokens=False).ids
+            want.append((r["doc_id"], len(ids), tuple(ids)))
+    return sorted(want)
+
+
+def test_pipeline_as_by_hand(spark):
+    pytest.importorskip("tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
-    kept = odd.select(*corpus_pipeline.COLUMNS)
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        kept = stage(spark, kept, SF)
-    assert kept.where("text LIKE 'same text%'").count() == 1
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids"]
+    assert sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in got.collect()) == _pipeline_by_hand(spark, docs)
+
+
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    kept = odd.withColumn("lang_pred", F.lit("x")).withColumn("node", F.lit(1)).withColumn("taken", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept.count(), stage(spark, kept, SF)
+        assert kept.columns == list(corpus_pipeline.COLUMNS), name
+        if name == "near_duplicates":
+            assert kept.where("text LIKE 'same text%'").count() == 1
+        if name == "personal_data":
+            assert kept.count() == before
+    odd.limit(0).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_language_sample_takes_a_repeated_id_once(spark, monkeypatch):
