@@ -26,7 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a five-word similarity of 0.8 or more stays: that with the smallest id (one without an id only if none has one)."""
+    """One document of each component of texts with a five-word similarity of 0.8 or more stays: that with the smallest id (one without an id only if none has one).
+
+    Candidates are the SimHash operator's links and, since 4 bits of 64 find few pairs at 0.8, MinHash bands; every link is verified by its true similarity.
+    """
     row = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "lang", "source", "n_chars", "text")
     one = cut(docs.select(*COLUMNS, F.xxhash64("text").alias("node")).groupBy("node").agg(F.min(row).alias("_row")).select("node", "_row.*"))
     tied = cut(near_copies.components(one))
@@ -62,7 +65,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: No SQL expresses fingerprints, trained machines or byte-pair encoding; tests hold run() against brute force.
+#: No SQL expresses trained machines, similarities or byte-pair encoding; tests/llm holds run() against rows made by hand.
 ORACLE_SQL = None
 
 
