@@ -362,9 +362,10 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
     place[covered] = np.arange(len(covered))
     ids = t.ids[row[run]]
     held = t.text[covered]
-    route = key[run]
+    route = None
     if len(hot) and (many := np.flatnonzero(np.isin(key, hot)[run])).size:
         # a key with too many pieces for one bucket is cut further, by a second key
+        route = key[run]
         route[many] = _mix(route[many] ^ window_keys(held, second=True)[place[start[many]]])
     made = Shard(held, place[start], ids)
     gone = ids > made.low[made.group]
@@ -374,7 +375,9 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         """First and last place, among the chosen starts, of stretches within one run."""
         at = np.flatnonzero(which)
         new = np.ones(len(at), bool)
-        new[1:] = (run[at[1:]] != run[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1) | (route[at[1:]] != route[at[:-1]])
+        new[1:] = (run[at[1:]] != run[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)
+        if route is not None:
+            new[1:] |= route[at[1:]] != route[at[:-1]]
         head = np.flatnonzero(new)
         return at[head], at[np.concatenate((head[1:], [len(at)])) - 1] if len(at) else at
 
@@ -385,7 +388,8 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         kinds.append(shard)
         out.append(_pack(r, start[a] - t.starts[r], start[z] + LENGTH - t.starts[r]))
     a, z = spans(~gone & is_across[run])
-    for b, part in _parts((route[a] % np.uint64(buckets)).astype(np.int64)):
+    way = key[run[a]] if route is None else route[a]  # of each piece
+    for b, part in _parts((way % np.uint64(buckets)).astype(np.int64)):
         pa_, pz = a[part], z[part]
         r = row[run[pa_]]
         size = start[pz] - start[pa_] + LENGTH
@@ -394,7 +398,7 @@ def _within(texts: pa.Table, flagged: pa.Table, buckets: int) -> pa.Table:
         kinds.append(-1 - shard)
         rows, local = np.unique(r, return_inverse=True)
         # 32 more bits of the key: keys that agree in them share suffix arrays, no more
-        low = (route[pa_] // np.uint64(buckets)).astype(np.uint32)
+        low = (way[part] // np.uint64(buckets)).astype(np.uint32)
         out.append(_pack(low, t.ids[rows], rows.astype(np.int32), np.diff(local, prepend=0).astype(np.uint16 if len(rows) < 1 << 16 else np.uint32), (start[pa_] - t.starts[r]).astype(np.int32), size.astype(np.int32), t.text[take]))
     return _rows("bucket", numbers, out, {"kind": pa.array(kinds, pa.int32())})
 
