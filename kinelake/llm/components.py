@@ -10,6 +10,8 @@ from kinelake.runtime import cut
 ROUNDS = 64
 #: Tasks over which the members of one component are dealt when they get what belongs to it.
 SALTS = 32
+#: A key with over one in so many of all rows is hot.
+HOT_SHARE = 5000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -48,3 +50,13 @@ def with_value(members: DataFrame, values: DataFrame, node: str = "node", key: s
 def with_lowest(found: DataFrame) -> DataFrame:
     """Components with the row of each one's smallest node, which names itself."""
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def join_hot(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to values, unique in on. Keys with over one in HOT_SHARE of all rows, so fewer than HOT_SHARE keys, are broadcast; the others are shuffled."""
+    sizes = cut(rows.groupBy(*on).count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.where(F.col("count") * HOT_SHARE > total).select(*on)
+    hot_values, others = values.join(F.broadcast(hot), on), values.join(F.broadcast(hot), on, "left_anti")
+    near = rows.join(F.broadcast(hot_values), on)
+    return near.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(others, on))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.components import connected_components, with_lowest, with_value
+from kinelake.llm.components import connected_components, join_hot, with_lowest, with_value
 from kinelake.runtime import cut, ship
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = with_value(linked.select("fp", "component"), lowest, node="fp").select("fp", "component_id")
     # a fingerprint without a link is a component of its own; where all ids of a component are null, so is its low
     own = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(own, "fp").select(id_col, "fp", "component_id")
+    return join_hot(fps, cut(own), ["fp"]).select(id_col, "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

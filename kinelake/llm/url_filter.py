@@ -2,7 +2,7 @@
 
 Runs of letters in host and path (``besthotelsdeals``) are split into words by the most probable unigram path; a
 multinomial naive Bayes model over the words of host and path decides what no rule covers. Words, pieces, tokens and odds
-are tables that are joined, whatever their number; only keys that are hot (fewer than HOT_SHARE of them) are broadcast.
+are tables that are joined, whatever their number; only keys that are hot (fewer than components.HOT_SHARE of them) are broadcast.
 Where the classes can't be told apart, the larger prior decides.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no tokens, and gets the class with the
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.llm.components import join_hot
 from kinelake.runtime import cut, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,8 +27,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_RULES = 256
 #: Words up to this length are looked up among all substrings of a piece, longer ones through their first letters.
 SHORT = 24
-#: A key with over one in so many of all rows is hot.
-HOT_SHARE = 5000
 #: The prior's logarithm where nothing is labelled: allow.
 NO_LABELS = -1.0
 
@@ -174,16 +173,6 @@ def train_bayes(tokens: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFram
     return odds, rows.agg(F.when(bad + good > 0, F.log((bad + 1) / (good + 1))).otherwise(F.lit(NO_LABELS)).alias("prior"))
 
 
-def _joined(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined to values, unique in on. Keys with over one in HOT_SHARE of all rows, so fewer than HOT_SHARE keys, are broadcast; the others are shuffled."""
-    sizes = cut(rows.groupBy(*on).count())
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = sizes.where(F.col("count") * HOT_SHARE > total).select(*on)
-    hot_values, others = values.join(F.broadcast(hot), on), values.join(F.broadcast(hot), on, "left_anti")
-    near = rows.join(F.broadcast(hot_values), on)
-    return near.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(others, on))
-
-
 def filter_urls(
     pages: DataFrame, rules: list[tuple[str, str]], counts: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
@@ -209,7 +198,7 @@ def filter_urls(
         odds, prior = train_bayes(weighed.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), judged)
         scores = tokens.join(odds, "token", "left").select("mark", "piece", "at", "token", F.coalesce("odds", F.lit(0.0)).alias("odds"))
     per_piece = cut(scores.groupBy("mark", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "token", "odds"))).alias("tokens")))
-    found = _joined(exploded, per_piece, ["mark", "piece"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
+    found = join_hot(exploded, per_piece, ["mark", "piece"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
     flat = F.flatten(F.transform("all", lambda p: p["tokens"]))
     found = found.select("_row", F.array_join(F.transform(flat, lambda t: t["token"]), " ").alias("words"), F.aggregate(flat, F.lit(0.0), lambda s, t: s + t["odds"]).alias("logit"))
     scored = urls.join(found, "_row", "left").join(F.broadcast(prior), F.lit(True))
