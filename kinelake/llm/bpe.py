@@ -39,9 +39,9 @@ PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Characters whose new words are encoded together.
 CHUNK = 1 << 20
 #: Pieces, and words, whose encodings one worker keeps as used lately; as many may be kept from before.
-CACHE = 200_000
+CACHE = 150_000
 #: Results of pair tests and steps of the automaton that one worker keeps.
-PAIRS, STEPS = 2_000_000, 1_000_000
+PAIRS, STEPS = 1_000_000, 500_000
 NEVER = 1 << 60
 
 

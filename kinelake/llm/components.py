@@ -12,6 +12,8 @@ ROUNDS = 64
 SALTS = 32
 #: A key with over one in so many of all rows is hot.
 HOT_SHARE = 5000
+#: Rows up to which a side of a join is broadcast, once they were counted (about 100 bytes each, made ready to look up).
+BROADCAST_ROWS = 200_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -60,3 +62,9 @@ def join_hot(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     hot_values, others = values.join(F.broadcast(hot), on), values.join(F.broadcast(hot), on, "left_anti")
     near = rows.join(F.broadcast(hot_values), on)
     return near.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(others, on))
+
+
+def counted(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """keys, cut, as the side of a join that is broadcast if it has no more rows than ``most``, and shuffled otherwise: texts stay where they are while few of them are meant."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys

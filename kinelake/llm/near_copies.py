@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinelake.llm.components import connected_components, with_lowest, with_value
+from kinelake.llm.components import connected_components, counted, with_lowest, with_value
 from kinelake.llm.simhash import near_duplicates
 from kinelake.runtime import cut, ship
 
@@ -33,7 +33,7 @@ SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
 #: Similar enough: NUM / DEN.
 NUM, DEN = 4, 5
 #: Shingles of connected candidates that one task takes (about 30 bytes each).
-LARGE = 4_000_000
+LARGE = 2_000_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
@@ -132,7 +132,7 @@ def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
     paired = with_value(banded, parts, key="band").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     apart = paired.select("node", (F.least("mine", "other") + 1).alias("i"), (F.greatest("mine", "other") + 1).alias("j"), F.col("band").alias("at"))
-    groups = texts.select("node", "text").join(alone.unionByName(apart), "node").groupBy("at", "i", "j")
+    groups = texts.select("node", "text").join(counted(alone.unionByName(apart)), "node").groupBy("at", "i", "j")
     return with_lowest(connected_components(groups.applyInArrow(_links, "a long, b long").distinct()))
 
 
