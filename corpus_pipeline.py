@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm import bpe, langid, mixing, near_copies, pii
+from kinelake.llm import bpe, components, langid, mixing, near_copies, pii
 from kinelake.runtime import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     tied = cut(near_copies.components(one))
     first = F.min(F.struct("_none", "doc_id", "node"))
     stays = one.select("node", "_none", "doc_id").join(tied, "node").groupBy("component").agg(first.alias("_first")).select("_first.node")
-    goes = tied.select("node").join(stays, "node", "left_anti")
+    goes = components.counted(tied.select("node").join(stays, "node", "left_anti"))
     return one.join(goes, "node", "left_anti").select(*COLUMNS)
 
 
