@@ -37,11 +37,11 @@ from kinelake.runtime import ship
 
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose new words are encoded together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pieces, and words, whose encodings one worker keeps as used lately; as many may be kept from before.
-CACHE = 150_000
+CACHE = 70_000
 #: Results of pair tests and steps of the automaton that one worker keeps.
-PAIRS, STEPS = 1_000_000, 500_000
+PAIRS, STEPS = 300_000, 200_000
 NEVER = 1 << 60
 
 

@@ -115,6 +115,7 @@ def fit(x: np.ndarray, langs: list[str], spark: SparkSession) -> dict:
 
     machines = spark.createDataFrame(wanted, "a string, b string").repartition(min(len(wanted), 2000))
     found = {(r.a, r.b): np.frombuffer(bytes(r.w), np.float32) for r in machines.mapInArrow(run, "a string, b string, w binary").collect()}
+    shared.destroy()
     if len(families) > 1:
         model["top"] = np.stack([found[f, None] for f in families])
     model["pairs"] = {k: w for k, w in found.items() if k[1] is not None}

@@ -33,7 +33,7 @@ SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
 #: Similar enough: NUM / DEN.
 NUM, DEN = 4, 5
 #: Shingles of connected candidates that one task takes (about 30 bytes each).
-LARGE = 2_000_000
+LARGE = 1_000_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
