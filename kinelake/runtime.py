@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bounds of one Arrow batch that goes to a Python worker, so that very long texts can't fill its memory.
-ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def session(app: str = "kinelake", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
