@@ -320,6 +320,11 @@ class Encoder:
         self._encode_held(held, parts)
         return [np.frombuffer(b"".join(p), np.int32) for p in parts]
 
+    def forget(self) -> None:
+        """Drop what was kept: a worker that goes on to other work holds only the tables."""
+        for kept in (self.pieces, self.old_pieces, self.words, self.old_words, self.apart, self.steps):
+            kept.clear()
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
         return self.encode_all([text])[0]
@@ -353,6 +358,7 @@ def encode_texts(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[id_col, "ids"])
+        encoder.forget()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
@@ -373,6 +379,7 @@ def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_c
                 ids_sha.append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decode(ids, token).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return kept.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,6 +1,7 @@
 """Near copies by true similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are what the SimHash operator links, over five-word shingles, and what shares a MinHash band. SimHash alone
+Candidates are texts whose fingerprints the SimHash operator finds equal or links, over five-word shingles (of two linked
+fingerprints with many texts, one text each stands for them), and what shares a MinHash band. SimHash alone
 can't give right results here: at a similarity of 0.8 two 64-bit fingerprints differ in about 10 bits, so its 4 bits find
 one pair in twenty or thirty, and a radius that finds them all (18 bits) makes candidates of one unrelated pair in
 several thousand. There are 24 bands of 5 minima each, so a pair at exactly 0.8 shares a band with a probability of
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components, counted, with_lowest, with_value
-from kinelake.llm.simhash import near_duplicates
+from kinelake.llm.simhash import fingerprints, links
 from kinelake.runtime import cut, ship
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
@@ -120,14 +121,14 @@ def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     w = W.partitionBy("key")
     shared = keys.select("node", "n", F.count("*").over(w).alias("many"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mix")).where("many > 1")
     members = cut(shared.select(F.xxhash64("many", "low", "mix").alias("band"), "low", "node", "n").distinct())
-    alike = _by_fingerprint(texts, members)
-    edges = members.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(alike.select(F.col("band").alias("a"), F.col("node").alias("b")))
+    members = members.unionByName(_by_fingerprint(texts))
+    edges = members.select(F.col("low").alias("a"), F.col("node").alias("b"))
     tied = cut(with_lowest(connected_components(edges)))
-    size = members.select("node", "n").unionByName(alike.select("node", "n")).distinct().join(tied, "node")
+    size = members.groupBy("node").agg(F.max("n").alias("n")).join(tied, "node")
     whole = size.groupBy("component").agg(F.sum("n").alias("total")).select("component", (F.col("total") <= large).alias("whole"))
     put = with_value(tied, whole)
     alone = put.where("whole").select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("component").alias("at"))
-    banded = members.select("band", "node", "n").unionByName(alike.select("band", "node", "n")).join(put.where("NOT whole").select("node"), "node")
+    banded = members.select("band", "node", "n").distinct().join(put.where("NOT whole").select("node"), "node")
     parts = banded.groupBy("band").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / F.lit(max(1, large))).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
     paired = with_value(banded, parts, key="band").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -136,9 +137,12 @@ def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     return with_lowest(connected_components(groups.applyInArrow(_links, "a long, b long").distinct()))
 
 
-def _by_fingerprint(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """(band, node, n): nodes that the SimHash operator links over five-word shingles, the smallest of them as the band; n as in members, else 0."""
-    found = near_duplicates(texts.select("node", "text"), "node", "text", SHINGLE).select("node", F.col("component_id").alias("band"))
-    many = found.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
-    linked = with_value(found, many, key="band")
-    return cut(linked.join(members.select("node", "n").distinct(), "node", "left").select("band", "node", F.coalesce("n", F.lit(0)).alias("n")))
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """(band, low, node, n) of candidates by the SimHash operator's five-word fingerprints: texts of one fingerprint, and the smallest texts of two linked ones; n is bounded by the bytes of a text."""
+    fps = cut(fingerprints(texts, "node", "text", SHINGLE))
+    per = cut(fps.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("many")))
+    same = with_value(fps, per.where("many > 1").select("fp", "low"), key="fp").select(F.col("low").alias("band"), "low", "node")
+    low = lambda side: per.select(F.col("fp").alias(side), F.col("low").alias(f"low_{side}"))
+    linked = links(fps).join(low("a"), "a").join(low("b"), "b").select(F.xxhash64("low_a", "low_b").alias("band"), F.col("low_a").alias("low"), F.explode(F.array("low_a", "low_b")).alias("node"))
+    found = counted(same.unionByName(linked))
+    return cut(texts.select("node", F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 6).alias("n")).join(found, "node").select("band", "low", "node", "n"))
