@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.runtime import ship
+from kinelake.runtime import ship, tidy
 
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose new words are encoded together.
@@ -360,7 +360,7 @@ def encode_texts(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[id_col, "ids"])
         encoder.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str = "text", specials: bool = True) -> DataFrame:
@@ -382,7 +382,7 @@ def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_c
         encoder.forget()
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return kept.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(tidy(run), f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary() -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.runtime import ship
+from kinelake.runtime import ship, tidy
 
 DIMENSIONS, UNKNOWN = 4096, "und"
 #: Labelled rows that the machines learn from: of a language, and in all (8 KB each).
@@ -114,7 +114,7 @@ def fit(x: np.ndarray, langs: list[str], spark: SparkSession) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b], pa.string()), pa.array([_machine(*held, a, b).astype(np.float32).tobytes()], pa.binary())], names=["a", "b", "w"])
 
     machines = spark.createDataFrame(wanted, "a string, b string").repartition(min(len(wanted), 2000))
-    found = {(r.a, r.b): np.frombuffer(bytes(r.w), np.float32) for r in machines.mapInArrow(run, "a string, b string, w binary").collect()}
+    found = {(r.a, r.b): np.frombuffer(bytes(r.w), np.float32) for r in machines.mapInArrow(tidy(run), "a string, b string, w binary").collect()}
     shared.destroy()
     if len(families) > 1:
         model["top"] = np.stack([found[f, None] for f in families])
@@ -175,7 +175,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             found = [(lang, x.astype(np.float16).tobytes()) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := vector(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "x"])
 
-    rows = sorted(sample.select("text", "lang").mapInArrow(run, "lang string, x binary").collect(), key=lambda r: (r.lang, bytes(r.x)))
+    rows = sorted(sample.select("text", "lang").mapInArrow(tidy(run), "lang string, x binary").collect(), key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(bytes(r.x), np.float16) for r in rows], np.float16).reshape(len(rows), DIMENSIONS)
     return fit(x, [r.lang for r in rows], docs.sparkSession)
 
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(columns))], *made], names=[*columns, "lang_pred", "score"])
 
     schema = source.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

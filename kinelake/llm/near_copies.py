@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components, counted, with_lowest, with_value
 from kinelake.llm.simhash import fingerprints, links
-from kinelake.runtime import cut, ship
+from kinelake.runtime import cut, ship, tidy
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
 #: Similar enough: NUM / DEN.
@@ -117,7 +117,7 @@ def _links(group: pa.Table) -> pa.Table:
 def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """(node, component) of every row of texts(node, text), distinct in node, that has a near copy; component is the smallest node reachable."""
     ship(texts.sparkSession)
-    keys = texts.select("node", "text").mapInArrow(_bands, "node long, n long, key long")
+    keys = texts.select("node", "text").mapInArrow(tidy(_bands), "node long, n long, key long")
     w = W.partitionBy("key")
     shared = keys.select("node", "n", F.count("*").over(w).alias("many"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mix")).where("many > 1")
     members = cut(shared.select(F.xxhash64("many", "low", "mix").alias("band"), "low", "node", "n").distinct())

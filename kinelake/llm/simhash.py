@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components, join_hot, with_lowest, with_value
-from kinelake.runtime import cut, ship
+from kinelake.runtime import cut, ship, tidy
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints under one table value that one task links (16 bytes each).
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` long, fp long")
+    return kept.mapInArrow(tidy(run), f"`{id_col}` long, fp long")
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -146,14 +146,14 @@ def links(fps: DataFrame, radius: int = RADIUS, split_at: int = SPLIT_AT) -> Dat
         raise ValueError("two segments with balls of radius 1, and points within 2 bits, are exact for 4 bits only")
     ship(fps.sparkSession)
     distinct = fps.select("fp").distinct()
-    rows = distinct.mapInArrow(_probe_rows, "key long, fp long")
+    rows = distinct.mapInArrow(tidy(_probe_rows), "key long, fp long")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: _linked(b, radius, split_at), "a long, b long").distinct())
+    found = cut(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(lambda b: _linked(b, radius, split_at)), "a long, b long").distinct())
     near = found.where("b IS NOT NULL")
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp"))
     if crowded.isEmpty():
         return near
-    points = crowded.mapInArrow(_ball_points, "key long, fp long").groupBy("key").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+    points = crowded.mapInArrow(tidy(_ball_points), "key long, fp long").groupBy("key").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     stars = points.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
     return near.unionByName(stars)
 
