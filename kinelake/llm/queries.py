@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from kinelake.llm import bpe, chat_tree, langid, mixing, mtree, pii, simhash, suffix_dedup, transport, url_filter
+from kinelake.llm import bpe, chat_tree, dual_tree, langid, mixing, mtree, nb_svm, pii, simhash, suffix_dedup, transport, url_filter, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,18 @@ def queries() -> dict[str, Callable]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_transport": transport.op9_transport,
         "op10_langid": langid.op10_langid,
+        "op11_nb_svm": nb_svm.op11_nb_svm,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_dual_tree": dual_tree.op13_dual_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_tree": chat_tree.ORACLE, "op4_pii": pii.ORACLE, "op5_mixing": mixing.ORACLE, "op7_mtree": mtree.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
+    return {
+        "op2_chat_tree": chat_tree.ORACLE,
+        "op4_pii": pii.ORACLE,
+        "op5_mixing": mixing.ORACLE,
+        "op7_mtree": mtree.ORACLE,
+        "op8_suffix_dedup": suffix_dedup.ORACLE,
+        "op13_dual_tree": dual_tree.ORACLE,
+    }
