@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, ShortType
 
 from kinelake.runtime import cut, ship, tidy
 
 BITS = 16
 FEATURES = 1 << BITS
+#: Features whose counts share a row, and the columns of those rows.
+BLOCK, SUMS = 1024, ["block", "ones", "zeros", "y", "x"]
 #: Rows of each label that the machines learn from.
 PER_LABEL, FOLDS = 3000, 3
 THRESHOLD = 0.3
@@ -169,52 +170,59 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, y, x array<smallint>) of the rows to learn from, an id once. A feature is its number less FEATURES / 2."""
-    ship(docs.sparkSession)
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(id, y, text) of the rows to learn from, an id once."""
     learns = F.col("id").isNotNull() & ~held_out(F.col("id"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(learns & F.col("y").isin(0, 1))
     marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     # grouped first: an id with a third of all rows leaves each task as one row, and the join reuses the grouping
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learns).groupBy("id").agg(F.min("text").alias("text"))
+    return texts.join(marks, "id").select("id", "y", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [(features(t.as_py()) - FEATURES // 2).astype(np.int16) for t in b.column(2)]
-            x = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int16), *held]), pa.int16()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], names=["id", "y", "x"])
 
-    joined = texts.join(marks, "id").select("id", "y", "text")
-    return joined.mapInArrow(tidy(run), joined.select("id", "y").schema.add("x", ArrayType(ShortType())))
+def counts_and_sample(texts: DataFrame, chosen: Column) -> DataFrame:
+    """In one pass over texts(id, y, text): (block, ones, zeros), each task's counts of BLOCK features in a row, and (y, x), packed features, of the chosen rows."""
+    ship(texts.sparkSession)
 
-
-def feature_counts(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of label 1 and of label 0 that have each feature, over all of known(y, x); FEATURES rows at most come to the driver."""
-    rows = known.select(F.explode("x").alias("f"), "y").groupBy("f").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, FEATURES), np.int32)
+        for b in batches:
+            sampled: list[tuple[int, bytes]] = []
+            for y, text, kept in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                x = features(text.as_py())
+                counts[y, x] += 1
+                if kept:
+                    sampled.append((y, _packed(x)))
+            none = pa.nulls(len(sampled), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(sampled), pa.int32()), none, none, pa.array([y for y, _ in sampled], pa.int32()), pa.array([x for _, x in sampled], pa.binary())], names=SUMS)
+        blocks = [i for i in range(FEATURES // BLOCK) if counts[:, i * BLOCK : (i + 1) * BLOCK].any()]
+        lists = [pa.array([counts[y, i * BLOCK : (i + 1) * BLOCK] for i in blocks], pa.list_(pa.int32())) for y in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *lists, pa.nulls(len(blocks), pa.int32()), pa.nulls(len(blocks), pa.binary())], names=SUMS)
+
+    return texts.select("y", "text", chosen.alias("kept")).mapInArrow(tidy(run), "block int, ones array<int>, zeros array<int>, y int, x binary")
+
+
+def feature_counts(passed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of label 1 and of label 0 that have each feature, over all tasks; FEATURES rows at most come to the driver."""
+    each = passed.where("block IS NOT NULL").select("block", F.posexplode(F.arrays_zip("ones", "zeros")).alias("at", "n"))
+    rows = each.groupBy("block", "at").agg(F.sum("n.ones").alias("ones"), F.sum("n.zeros").alias("zeros")).collect()
     ones, zeros = np.zeros(FEATURES), np.zeros(FEATURES)
     for r in rows:
-        ones[r.f + FEATURES // 2], zeros[r.f + FEATURES // 2] = r.ones, r.zeros
+        ones[r.block * BLOCK + r.at], zeros[r.block * BLOCK + r.at] = r.ones, r.zeros
     return ones, zeros
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> dict:
     """A model of the label, from the rows of docs that labels mark and that aren't held out."""
     spark = docs.sparkSession
-    known = cut(labelled_features(docs, labels, id_col, text_col, label_col))
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    counts = {r.y: r["count"] for r in labelled_texts(docs, labels, id_col, id_col, label_col).groupBy("y").count().collect()}  # ids alone
     if len(counts) < 2:
         return {"prior": (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)}
-    ratios = log_count_ratios(*feature_counts(known))
     ring = 1 << 30
     bound = F.when(F.col("y") == 1, int(ring * min(1.0, per_label / counts[1]))).otherwise(int(ring * min(1.0, per_label / counts[0])))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(ring)) < bound)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [_packed(np.asarray(v.values).astype(np.int64) + FEATURES // 2) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["y", "x"])
-
-    sample = sorted((r.y, bytes(r.x)) for r in chosen.select("y", "x").mapInArrow(tidy(pack), "y int, x binary").collect())
+    passed = cut(counts_and_sample(labelled_texts(docs, labels, id_col, text_col, label_col), F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(ring)) < bound))
+    ratios = log_count_ratios(*feature_counts(passed))
+    sample = sorted((r.y, bytes(r.x)) for r in passed.where("x IS NOT NULL").select("y", "x").collect())
     if len({y for y, _ in sample}) < 2:
         return {"prior": (counts[1] + 1) / (counts[0] + counts[1] + 2)}
     shared = spark.sparkContext.broadcast((sample, ratios))

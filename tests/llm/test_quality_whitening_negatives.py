@@ -81,13 +81,17 @@ def test_logistic_curve_meets_the_weights():
 def test_quality_counts_and_scores_by_hand(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet").head(150)
     marks = pd.read_parquet(f"{SF}/labels.parquet")
-    known = nb_svm.labelled_features(spark.createDataFrame(docs), spark.createDataFrame(marks))
+    known = nb_svm.counts_and_sample(nb_svm.labelled_texts(spark.createDataFrame(docs), spark.createDataFrame(marks)), F.col("id") % 2 == 0)
     text, want = dict(zip(docs.doc_id, docs.text, strict=True)), Counter()
     for i, q in zip(marks.doc_id, marks.quality, strict=True):
         if i in text and q in (0, 1) and zlib.crc32(str(i).encode()) % 5:
             want.update((int(f), int(q)) for f in nb_svm.features(text[i]))
     ones, zeros = nb_svm.feature_counts(known)
     assert {(f, 1): int(c) for f, c in enumerate(ones) if c} | {(f, 0): int(c) for f, c in enumerate(zeros) if c} == dict(want)
+    packed = Counter((r.y, bytes(r.x)) for r in known.where("x IS NOT NULL").collect())
+    learnt = [(i, q) for i, q in zip(marks.doc_id, marks.quality, strict=True) if i in text and q in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    assert packed == Counter((q, nb_svm._packed(nb_svm.features(text[i]))) for i, q in learnt if i % 2 == 0)
+    assert all((nb_svm._unpacked(nb_svm._packed(x)) == x).all() for x in (np.arange(0), np.arange(7), np.arange(0, 65536, 3), nb_svm.features(text[1])))
 
 
 def test_quality_of_held_out_documents(spark):
@@ -111,10 +115,10 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(rows) and got.score.between(0, 1).all()
     by_id = got.dropna().groupby("doc_id").score.max()
     assert by_id.loc[11] > 0.5 > by_id.loc[12] and by_id.loc[100] == by_id.loc[101]
-    ids = [r.id for r in nb_svm.labelled_features(docs, labels).collect()]
+    ids = [r.id for r in nb_svm.labelled_texts(docs, labels).collect()]
     assert len(ids) == len(set(ids)) and 9 not in ids
     for some, want in ((labels.where("quality = 1"), lambda n: (n + 1) / (n + 2)), (labels.limit(0), lambda n: 0.5)):
-        n = nb_svm.labelled_features(docs, some).count()
+        n = nb_svm.labelled_texts(docs, some).count()
         assert {r.score for r in nb_svm.score(docs, nb_svm.train(docs, some)).collect()} == {want(n)}
     empty = docs.limit(0)
     assert nb_svm.score(empty, nb_svm.train(empty, labels)).count() == 0
