@@ -54,8 +54,9 @@ def byte_alphabet() -> dict[str, int]:
 
 def load_tables(path: str) -> dict:
     """What workers need of a byte-level BPE file: plain lists and dictionaries, bounded by the vocabulary."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        held = f.read()
+    spec = json.loads(held)
     alphabet = byte_alphabet()
     to_bytes = lambda s: bytes(alphabet[c] for c in s)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -87,7 +88,7 @@ def load_tables(path: str) -> dict:
                 depth.append(depth[node] + 1)
             node = go[key]
         at[node] = i
-    return {"size": size, "token": token, "rank": rank, "left": left, "right": right, "pair": pair, "special": special, "go": go, "at": at, "links": _suffix_links(go, len(at))}
+    return {"digest": hashlib.sha256(held).hexdigest(), "size": size, "token": token, "rank": rank, "left": left, "right": right, "pair": pair, "special": special, "go": go, "at": at, "links": _suffix_links(go, len(at))}
 
 
 def _suffix_links(go: dict[int, int], n: int) -> list[int]:
@@ -338,8 +339,8 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def _encoder(shared, specials: bool) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    key = (shared.value["size"], len(shared.value["pair"]), hash(tuple(shared.value["rank"][:512])), specials)
+    """One encoder per worker process and vocabulary, told by the digest of its whole file."""
+    key = (shared.value["digest"], specials)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(shared.value, specials)
