@@ -10,7 +10,8 @@ takes the words that are still missing (so a source's taken words miss its targe
 found over BUCKETS hash ranges first and ordered only inside the one range where it ends, so no source is ever sorted whole.
 
 Defined results: a null text has size 0; a null source is a source, the last one; a source of size 0 takes nothing;
-equal hashes (repeated ids) are ordered by size, and rows alike in both share what is left evenly; rows keep their multiplicity; extra columns are not read; an empty table gives
+equal hashes (repeated ids) are ordered by size, then by a hash of the text, and rows alike in all three are taken one after the
+other, so that no word of a target is lost on them; rows keep their multiplicity; extra columns are not read; an empty table gives
 an empty result.
 """
 
@@ -66,9 +67,9 @@ def _hash(id_col: str, seed: int) -> Column:
 
 
 def source_plan(sized: DataFrame, **targets) -> DataFrame:
-    """One row per source: source_size, target, whole repetitions, and where the prefix with one more ends: at (end_hash, end_size), whose rows get end_more words each.
+    """One row per source: source_size, target, whole repetitions, and where the prefix with one more ends: at (end_hash, end_size, end_mark), whose end_copies rows get end_more words together.
 
-    sized(source, hash, size). Sizes of hash ranges come first, then an order inside the one range per source that holds the end.
+    sized(source, hash, size, mark). Sizes of hash ranges come first, then an order inside the one range per source that holds the end.
     """
     ranges = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     ranges = cut(ranges)
@@ -81,27 +82,44 @@ def source_plan(sized: DataFrame, **targets) -> DataFrame:
     ends = ranges.withColumn("before", before("range_size", ["bucket"])).join(named, F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where((F.col("before") <= F.col("missing")) & (F.col("before") + F.col("range_size") > F.col("missing"))).select("s", "bucket", (F.col("missing") - F.col("before")).alias("left"))
     inside = sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("hash", 1, BUCKET_DIGITS) == F.col("bucket")))
-    alike = inside.groupBy("source", "hash", "size").agg(F.count("*").alias("copies"), F.first("left").alias("left"))
+    alike = inside.groupBy("source", "hash", "size", "mark").agg(F.count("*").alias("copies"), F.first("left").alias("left"))
     alike = alike.withColumn("here", F.col("copies") * F.col("size"))
-    alike = alike.withColumn("rest", F.col("left") - before("here", ["hash", "size"])).where((F.col("rest") >= 0) & (F.col("rest") < F.col("here")))
-    end = alike.select(F.col("source").alias("s"), F.col("hash").alias("end_hash"), F.col("size").alias("end_size"), F.floor(F.col("rest") / F.col("copies")).alias("end_more"))
+    alike = alike.withColumn("rest", F.col("left") - before("here", ["hash", "size", "mark"])).where((F.col("rest") >= 0) & (F.col("rest") < F.col("here")))
+    end = alike.select(F.col("source").alias("s"), F.col("hash").alias("end_hash"), F.col("size").alias("end_size"), F.col("mark").alias("end_mark"), F.col("copies").alias("end_copies"), F.col("rest").alias("end_more"))
     return sources.join(end, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "missing")
 
 
+def _one_by_one(alike: DataFrame) -> DataFrame:
+    """alike(end, size, end_more, ...), rows that are the same within an end: each takes its words until end_more are taken. Rows are counted by partition, and only within a partition one by one."""
+    held = cut(alike.withColumn("row", F.monotonically_increasing_id())).withColumn("part", F.shiftright("row", 33))
+    per = held.groupBy("end", "part").agg(F.count("*").alias("n"))
+    per = per.select(F.col("end").alias("e"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(W.partitionBy("end").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    placed = held.join(per, (F.col("end") == F.col("e")) & (F.col("part") == F.col("p")))
+    at = F.col("earlier") + F.row_number().over(W.partitionBy("end", "part").orderBy("row")) - 1
+    return placed.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("end_more") - at * F.col("size")))).drop("row", "part", "e", "p", "earlier")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: int = SEED, **targets) -> DataFrame:
     """(id, source, size, source_size, target, taken, *keep) of every document; keep: further columns of docs, for which the texts are read a second time."""
     more = [c for c in keep if c not in (id_col, source_col)]
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), _hash(id_col, seed).alias("hash"), F.explode(F.array(words_in(F.col(text_col)))).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in more])
+    mark = F.xxhash64(F.lit(seed), F.col(text_col)).alias("mark")
+    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), _hash(id_col, seed).alias("hash"), mark, F.explode(F.array(words_in(F.col(text_col)))).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in more])
     # the generator keeps the optimizer from counting words again for each use of size
-    sized = cut(rows.select(id_col, "source", "hash", "size"))
+    sized = cut(rows.select(id_col, "source", "hash", "size", "mark"))
     plan = cut(source_plan(sized, **targets))
-    if plan.count() <= BROADCAST_SOURCES:
+    held = plan.agg(F.count("*").alias("n"), F.max("end_copies").alias("copies")).first()
+    if held.n <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     planned = (rows if more else sized).join(plan.withColumnRenamed("source", "planned"), F.col("source").eqNullSafe(F.col("planned")))
-    place, end = F.struct("hash", "size"), F.struct(F.col("end_hash").alias("hash"), F.col("end_size").alias("size"))
+    place, end = F.struct("hash", "size", "mark"), F.struct(F.col("end_hash").alias("hash"), F.col("end_size").alias("size"), F.col("end_mark").alias("mark"))
     once_more = F.when(F.col("end_hash").isNull(), 0).when(place < end, F.col("size")).when(place == end, F.col("end_more")).otherwise(0)
-    taken = (F.col("whole") * F.col("size") + once_more).cast("long")
-    return planned.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in more])
+    dealt = planned.withColumn("more", once_more)
+    if (held.copies or 0) > 1:  # several rows are the end of a source
+        at_end = F.coalesce((place == end) & (F.col("end_copies") > 1), F.lit(False))
+        alike = planned.where(at_end).withColumn("end", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), "hash", "size", "mark"))
+        dealt = dealt.where(~at_end).unionByName(_one_by_one(alike).drop("end"))
+    taken = (F.col("whole") * F.col("size") + F.col("more")).cast("long")
+    return dealt.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in more])
 
 
 def repetitions(mixed: DataFrame, text_col: str = "text") -> DataFrame:
