@@ -16,6 +16,7 @@ from kinelake.runtime import cut
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose language is less certain than this goes; two undecided machines give a quarter.
 MIN_SCORE = 0.3
+text_key = F.xxhash64
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Candidates are the SimHash operator's links and, since 4 bits of 64 find few pairs at 0.8, MinHash bands; every link is verified by its true similarity.
     """
-    row = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "lang", "source", "n_chars", "text")
-    one = cut(docs.select(*COLUMNS, F.xxhash64("text").alias("node")).groupBy("node").agg(F.min(row).alias("_row")).select("node", "_row.*"))
-    tied = cut(near_copies.components(one))
-    first = F.min(F.struct("_none", "doc_id", "node"))
-    stays = one.select("node", "_none", "doc_id").join(tied, "node").groupBy("component").agg(first.alias("_first")).select("_first.node")
+    row = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "lang", "source", "n_chars")
+    # equal texts are one node; the hash comes first in the order of grouping, the text itself decides
+    equal = docs.select(*COLUMNS, text_key(F.col("text")).alias("_key")).groupBy("_key", "text").agg(F.min(row).alias("_row"))
+    one = cut(equal.select(F.monotonically_increasing_id().alias("node"), "_key", "_row.*", "text"))
+    tied = cut(near_copies.components(one.select("node", "text")))
+    first = F.min(F.struct("_none", "doc_id", "_key", "node"))
+    stays = one.select("node", "_none", "doc_id", "_key").join(tied, "node").groupBy("component").agg(first.alias("_first")).select("_first.node")
     goes = components.counted(tied.select("node").join(stays, "node", "left_anti"))
     return one.join(goes, "node", "left_anti").select(*COLUMNS)
 

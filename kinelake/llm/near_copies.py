@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.llm.components import connected_components, counted, with_lowest, with_value
@@ -33,8 +32,8 @@ from kinelake.runtime import cut, ship, tidy
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 24, 5
 #: Similar enough: NUM / DEN.
 NUM, DEN = 4, 5
-#: Shingles of connected candidates that one task takes (about 30 bytes each).
-LARGE = 1_000_000
+#: Shingles of connected candidates that one task takes, and what one counts for: a text that repeats itself has few shingles and many bytes.
+LARGE, SHINGLE_BYTES = 1_000_000, 30
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
@@ -62,14 +61,14 @@ def _minima(found: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, n, key): n shingles, a key for each band."""
+    """(node, text) -> (node, n, key): n is the size in shingles, by number or length, whichever is more; a key for each band."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes, lows = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS, ROWS), np.uint64)
         for i, text in enumerate(batch.column(1)):
             found = shingles(text.as_py())
-            sizes[i], lows[i] = len(found), _minima(found).reshape(BANDS, ROWS)
+            sizes[i], lows[i] = max(len(found), len(text.as_py() or "") // SHINGLE_BYTES), _minima(found).reshape(BANDS, ROWS)
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), lows.shape[:2])
         for j in range(ROWS):
             key = (key ^ lows[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -117,9 +116,9 @@ def _links(group: pa.Table) -> pa.Table:
 def components(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """(node, component) of every row of texts(node, text), distinct in node, that has a near copy; component is the smallest node reachable."""
     ship(texts.sparkSession)
-    keys = texts.select("node", "text").mapInArrow(tidy(_bands), "node long, n long, key long")
-    w = W.partitionBy("key")
-    shared = keys.select("node", "n", F.count("*").over(w).alias("many"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mix")).where("many > 1")
+    keys = cut(texts.select("node", "text").mapInArrow(tidy(_bands), "node long, n long, key long"))
+    per = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mix")).where("many > 1")
+    shared = with_value(keys, per, key="key")  # a key with a third of all texts is dealt over tasks
     members = cut(shared.select(F.xxhash64("many", "low", "mix").alias("band"), "low", "node", "n").distinct())
     members = members.unionByName(_by_fingerprint(texts))
     edges = members.select(F.col("low").alias("a"), F.col("node").alias("b"))

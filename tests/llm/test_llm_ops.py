@@ -171,6 +171,61 @@ def test_mixing_odd_rows(spark, odd):
     assert sorted(r.text for r in text) == [" a  b", " a  b\nc "]
 
 
+def test_mixing_takes_every_word_of_ties(spark):
+    rows = [(7, "word", "a")] * 999 + [(8, "two words", None)] * 50 + [(8, "else here", None)] * 51 + [(i, "x " * (1 + i % 5), "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for keep in ((), ("text",)):
+        got = mixing.mix(docs, keep=keep).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+        for source in ("a", "b", None):
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5
+    again = mixing.mix(docs.repartition(3), keep=("text",)).collect()
+    count = lambda rs: sorted((r.doc_id, r.text, r.taken) for r in rs)
+    assert count(again) == count(got)
+    alone = mixing.mix(docs.where("source = 'a'")).collect()
+    assert sum(r.taken for r in alone) == 1499
+
+
+def test_redaction_of_many_spans(spark):
+    text = "é " + "a.b@c.de, " * 400 + "end"
+    docs = spark.createDataFrame([(1, text), (2, "none"), (3, None), (4, "a.b@c.de" * 3)], "doc_id long, text string")
+    got = {r.doc_id: r.out for r in pii.find_pii(docs).select("doc_id", pii.redacted(F.col("text"), F.col("pii_spans")).alias("out")).collect()}
+    assert got[1] == "é " + "<EMAIL>, " * 400 + "end" and got[2] == "none" and got[3] is None
+    kinds = "array<struct<kind:string,start:int,end:int>>"
+    random.seed(8)
+    rows = []
+    for n in (1, 3, 64, 65, 200):
+        starts = sorted(random.randrange(300) for _ in range(n))
+        rows.append(("".join(random.choice("aé😀z") for _ in range(330)), [(random.choice("kl"), a, a + random.randrange(1, 12)) for a in starts]))
+    found = spark.createDataFrame(rows, f"text string, spans {kinds}")
+    for block in (1, 4, 64):
+        for (t, spans), r in zip(rows, found.select("text", pii.redacted(F.col("text"), F.col("spans"), block).alias("out")).collect(), strict=True):
+            out, at = "", 0
+            for kind, a, z in spans:
+                if a >= at:
+                    out += t[at:a] + f"<{kind.upper()}>"
+                at = max(at, z)
+            assert r.out == out + t[at:]
+
+
+def test_bpe_tells_vocabularies_of_one_size_apart(tmp_path):
+    import json
+
+    alphabet = {c: i for i, c in enumerate(sorted(bpe.byte_alphabet(), key=bpe.byte_alphabet().get))}
+    found = []
+    for number, merges in enumerate((["a b", "c d"], ["c d", "a b"], ["a c", "b d"])):
+        vocab = alphabet | {m.replace(" ", ""): 256 + i for i, m in enumerate(merges)}
+        path = tmp_path / f"{number}.json"
+        path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": merges}}))
+        tables = bpe.load_tables(str(path))
+        shared = type("Shared", (), {"value": tables})
+        ids = bpe._encoder(shared, True).encode_all(["abcd acbd"])[0].tolist()
+        assert ids == bpe.Encoder(tables, True).encode_all(["abcd acbd"])[0].tolist()
+        found.append(tuple(ids))
+    assert len(set(found)) == 3
+
+
 def test_bpe_as_the_library(spark, odd):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_vocabulary()
@@ -478,6 +533,13 @@ def test_pipeline_as_by_hand(spark):
     assert sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in got.collect()) == _pipeline_by_hand(spark, docs)
 
 
+def test_pipeline_equal_hashes_are_not_equal_texts(spark, monkeypatch):
+    rows = [(i, f"{w} stands alone among all of these lines and says {w} twice over", "en", "s", 1) for i, w in enumerate(["alpha", "beta", "gamma", "alpha", "delta", "beta"])]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(corpus_pipeline, "text_key", lambda text: F.lit(5).cast("long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 1, 2, 4]
+
+
 def test_pipeline_odd_rows(spark, odd, tmp_path):
     kept = odd.withColumn("lang_pred", F.lit("x")).withColumn("node", F.lit(1)).withColumn("taken", F.lit(2))
     for name, stage in corpus_pipeline.STAGES[:-1]:
