@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.functions.ranges import running
 from kinelake.runtime import cut
 
 LEDGER_KEY = ["conductor", "run"]
@@ -87,16 +88,12 @@ def interleaved(rows: DataFrame) -> DataFrame:
 def review_queue(rows: DataFrame, only_pending: bool = True, accept_first: bool = False) -> DataFrame:
     """rows with their ``position``: model-scored ones first, most probable rejects first (accept_first: last); then by rescore_p90, blanks in front; then the run.
 
-    Positions come from counts per rank of model_p and rescore_p90, not from one global window over rows.
+    Positions come from ranges of that order and counts per range, not from one window over all rows.
     """
     p = F.try_to_number("model_p", F.lit("9.9999"))
     kept = rows.where("trim(coalesce(verdict, '')) = ''") if only_pending else rows
-    ranked = kept.withColumn("_p", F.coalesce(p if accept_first else -p, F.lit(9).cast("decimal(5,4)"))).withColumn("_q", F.coalesce(F.col("rescore_p90"), F.lit(-1.0)))
-    sizes = ranked.groupBy("_p", "_q").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("_p", "_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(W.partitionBy("_p", "_q").orderBy("run"))
-    placed = ranked.withColumn("_within", within).join(sizes.withColumn("_before", before).drop("count"), ["_p", "_q"])
-    return placed.withColumn("position", (F.col("_before") + F.col("_within")).cast("long")).drop("_p", "_q", "_within", "_before")
+    order = [F.coalesce(p if accept_first else -p, F.lit(9).cast("decimal(5,4)")), F.coalesce(F.col("rescore_p90"), F.lit(-1.0)), F.col("run")]
+    return running(kept, order, {"position": F.lit(1).cast("long")}).withColumn("position", F.col("position") + 1)
 
 
 def footage(runs: DataFrame, segments: DataFrame) -> DataFrame:
