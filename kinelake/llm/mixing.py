@@ -7,7 +7,7 @@ the order of cap / weight: a prefix of them is clamped, and the rest has one com
 A source's target gives every document ``whole`` repetitions and a seeded part of the documents one more. That part is
 a prefix of the documents in the order of a seeded hash, up to the missing number of words; the document at its end
 takes the words that are still missing (so a source's taken words miss its target by less than one word). The prefix is
-found over BUCKETS hash ranges first and ordered only inside the one range where it ends, so no source is ever sorted whole.
+found over hash ranges first and ordered only inside the one range where it ends, so no source is ever sorted whole.
 
 Defined results: a null text has size 0; a null source is a source, the last one; a source of size 0 takes nothing;
 equal hashes (repeated ids) are ordered by size, then by a hash of the text, and rows alike in all three are taken one after the
@@ -17,16 +17,19 @@ an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinelake.functions.ranges import running
 from kinelake.runtime import cut
 
 #: Weights of the sources in code-point order, repeating; the mix has SHARE of all words; a source is read MAX_EPOCHS times at most.
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 17
-#: Hexadecimal digits of the hash that name a range: 4,096 ranges.
-BUCKET_DIGITS = 3
+#: Rows that a hash range has about; it is named by as many hexadecimal digits of the hash as that takes.
+RANGE_ROWS = 20_000
 #: Up to this number of sources their targets (one row each) are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -37,41 +40,37 @@ def words_in(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.length(short)).otherwise(0).cast("long")
 
 
-def water_fill(sources: DataFrame, total: Column, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """sources(source, weight, source_size, ...) with ``target``; one row per source. total: the words that the mix is to have."""
+def water_fill(sources: DataFrame, words: float, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """sources(source, weight, source_size, ...) with ``target``; one row per source. words: what the mix is to have. Running totals go by ranges of the order, so a source per site is as good as three."""
     cap = F.col("source_size").cast("double") * F.lit(float(max_epochs))
-    order = W.orderBy(F.col("_ratio"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    level = (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = (
-        sources.withColumn("_cap", cap).withColumn("_ratio", F.col("_cap") / F.col("weight")).withColumn("_total", total)
-        .withColumn("_level", level)
-        .withColumn("_open", F.col("_ratio") >= F.col("_level"))
-        .withColumn("_first", F.min(F.when(F.col("_open"), F.struct("_ratio", "_level"))).over(W.partitionBy()))
-    )
-    target = F.when(F.col("_first").isNull() | ~F.col("_open"), F.col("_cap")).otherwise(F.least(F.col("weight") * F.col("_first._level"), F.col("_cap")))
-    return leveled.withColumn("target", target).drop("_cap", "_ratio", "_total", "_level", "_open", "_first")
+    capped = sources.withColumn("_cap", cap).withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    whole = capped.agg(F.sum("weight")).first()[0] or 0.0
+    summed = running(capped, [F.col("_ratio"), F.col("source").isNull(), F.col("source")], {"_caps": F.col("_cap"), "_weights": F.col("weight")})
+    leveled = summed.withColumn("_level", (F.lit(float(words)) - F.col("_caps")) / (F.lit(float(whole)) - F.col("_weights"))).withColumn("_open", F.col("_ratio") >= F.col("_level"))
+    first = leveled.agg(F.min(F.when(F.col("_open"), F.struct("_ratio", "_level")))).first()[0]
+    target = F.col("_cap") if first is None else F.when(F.col("_open"), F.least(F.col("weight") * F.lit(first["_level"]), F.col("_cap"))).otherwise(F.col("_cap"))
+    return leveled.withColumn("target", target).drop("_cap", "_ratio", "_caps", "_weights", "_level", "_open")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, weight, target) from sized(source, size); windows run over one row per source."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weighed = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int")))
-    return water_fill(weighed, F.sum("source_size").over(W.partitionBy()) * F.lit(float(share)), max_epochs)
+    """(source, source_size, weight, target) from sized(source, size); only totals come to the driver."""
+    per = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    words = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    numbered = running(per, [F.col("source").isNull(), F.col("source")], {"_at": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
+    return water_fill(numbered.withColumn("weight", weight).drop("_at"), words, max_epochs)
 
 
 def _hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
 
 
-def source_plan(sized: DataFrame, **targets) -> DataFrame:
+def source_plan(sized: DataFrame, digits: int = 3, **targets) -> DataFrame:
     """One row per source: source_size, target, whole repetitions, and where the prefix with one more ends: at (end_hash, end_size, end_mark), whose end_copies rows get end_more words together.
 
     sized(source, hash, size, mark). Sizes of hash ranges come first, then an order inside the one range per source that holds the end.
     """
-    ranges = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS)).groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
+    ranges = sized.withColumn("bucket", F.substring("hash", 1, digits)).groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     ranges = cut(ranges)
     sources = source_targets(ranges.select("source", F.col("range_size").alias("size")), **targets)
     quota = F.floor(F.col("target") + F.lit(0.5)).cast("long")
@@ -81,7 +80,7 @@ def source_plan(sized: DataFrame, **targets) -> DataFrame:
     named = sources.select(F.col("source").alias("s"), "missing")
     ends = ranges.withColumn("before", before("range_size", ["bucket"])).join(named, F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where((F.col("before") <= F.col("missing")) & (F.col("before") + F.col("range_size") > F.col("missing"))).select("s", "bucket", (F.col("missing") - F.col("before")).alias("left"))
-    inside = sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("hash", 1, BUCKET_DIGITS) == F.col("bucket")))
+    inside = sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("hash", 1, digits) == F.col("bucket")))
     alike = inside.groupBy("source", "hash", "size", "mark").agg(F.count("*").alias("copies"), F.first("left").alias("left"))
     alike = alike.withColumn("here", F.col("copies") * F.col("size"))
     alike = alike.withColumn("rest", F.col("left") - before("here", ["hash", "size", "mark"])).where((F.col("rest") >= 0) & (F.col("rest") < F.col("here")))
@@ -89,6 +88,11 @@ def source_plan(sized: DataFrame, **targets) -> DataFrame:
     return sources.join(end, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "missing")
 
 
+def _digits(rows: int) -> int:
+    """Digits of the hash by which rows fall into ranges of RANGE_ROWS or fewer."""
+    return max(1, min(8, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16))))
+
+
 def _one_by_one(alike: DataFrame) -> DataFrame:
     """alike(end, size, end_more, ...), rows that are the same within an end: each takes its words until end_more are taken. Rows are counted by partition, and only within a partition one by one."""
     held = cut(alike.withColumn("row", F.monotonically_increasing_id())).withColumn("part", F.shiftright("row", 33))
@@ -106,7 +110,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), _hash(id_col, seed).alias("hash"), mark, F.explode(F.array(words_in(F.col(text_col)))).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in more])
     # the generator keeps the optimizer from counting words again for each use of size
     sized = cut(rows.select(id_col, "source", "hash", "size", "mark"))
-    plan = cut(source_plan(sized, **targets))
+    plan = cut(source_plan(sized, _digits(sized.count()), **targets))
     held = plan.agg(F.count("*").alias("n"), F.max("end_copies").alias("copies")).first()
     if held.n <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
