@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinelake.functions import text
@@ -104,9 +106,9 @@ def write_read(spark, d):
     """A ledger written in each format and read back."""
     from kinelake.runtime import checkpoint_dir
 
-    out = None
+    out, name = None, f"{checkpoint_dir(spark)}/ledger_{uuid.uuid4().hex}"
     for fmt in ("parquet", "orc", "json", "csv"):
-        path = c.write_table(v.v_ledger(spark, d, True).select("conductor", "run", "verdict"), f"{checkpoint_dir(spark)}/ledger_{fmt}", fmt)
+        path = c.write_table(v.v_ledger(spark, d, True).select("conductor", "run", "verdict"), f"{name}_{fmt}", fmt)
         back = spark.read.schema("conductor string, run long, verdict string").format(fmt).option("header", True).load(path).select("run", F.coalesce("verdict", F.lit("")).alias("verdict"), F.lit(fmt).alias("fmt"))
         out = back if out is None else out.unionByName(back)
     return out.groupBy("fmt", "verdict").agg(F.count("*").alias("n"), F.sum("run").alias("runs"))

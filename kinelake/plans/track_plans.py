@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinelake.operators import augment as a
@@ -50,8 +52,10 @@ def crop_offset(spark, d):
 
 
 def extract_normalized(spark, d):
-    spans = v.v_frames(spark, d).select("run").distinct().select("run", F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(z).alias("b")) for x, z in ((3, 12), (10, 20))])).alias("s")).select("run", "s.*")
-    return pose.long_frames(people.extract_normalized(v.v_frames(spark, d), spans).withColumn("run", F.col("run") * 100 + F.col("a"))).select("run", "t", "j", *_r("x", "y", "conf"))
+    """Spans of 15 frames, one from every tenth frame on, over the whole of each run."""
+    starts = F.sequence(F.lit(0), F.max("t").cast("int"), F.lit(10))
+    spans = v.v_frames(spark, d).groupBy("run").agg(starts.alias("s")).select("run", F.explode("s").alias("a")).withColumn("b", F.col("a") + 15)
+    return pose.long_frames(people.extract_normalized(v.v_frames(spark, d), spans).withColumn("run", F.col("run") * 1_000_000 + F.col("a"))).select("run", "t", "j", *_r("x", "y", "conf"))
 
 
 def frames_in_segments(spark, d):
@@ -162,12 +166,11 @@ def labelled_clips(spark, d):
 
 
 def faces_saved(spark, d):
-    """Saved, and two conductors' folders read back."""
+    """Saved and read back, all conductors."""
     from kinelake.runtime import checkpoint_dir
 
-    path = packs.save_faces(v.v_faces(spark, d), f"{checkpoint_dir(spark)}/faces")
-    both = packs.load_faces(spark, path, 1).unionByName(packs.load_faces(spark, path, 2))
-    return both.groupBy("conductor").agg(F.count("*").alias("n"), F.round(F.sum(F.get("emb", F.lit(0))), 6).alias("x0"))
+    path = packs.save_faces(v.v_faces(spark, d), f"{checkpoint_dir(spark)}/faces_{uuid.uuid4().hex}")
+    return packs.load_faces(spark, path).groupBy("conductor").agg(F.count("*").alias("n"), F.round(F.sum(F.get("emb", F.lit(0))), 6).alias("x0"))
 
 
 def _probe(spark, d, hidden):
@@ -238,7 +241,7 @@ sm AS (SELECT x.run, x.t, x.v AS cx, y.v AS cy, w.v AS w, h.v AS h FROM {_MA('cx
 SELECT run, t, CAST(trunc(greatest(0, least(1279, cx - w / 2))) AS INTEGER) AS x0, CAST(trunc(greatest(0, least(719, cy - h / 2))) AS INTEGER) AS y0, CAST(trunc(greatest(1, least(1280, cx + w / 2))) AS INTEGER) AS x1, CAST(trunc(greatest(1, least(720, cy + h / 2))) AS INTEGER) AS y1 FROM sm""",
     "crop_offset": duck("v_frames") + " SELECT run, t, j, round(x + t * 2, 6) AS x, round(y + 7, 6) AS y, round(conf, 6) AS conf FROM v_frames",
     "extract_normalized": duck("v_frames") + """, n AS (SELECT run, t, max(x) FILTER (j = 5) AS ax, max(y) FILTER (j = 5) AS ay, max(x) FILTER (j = 6) AS bx, max(y) FILTER (j = 6) AS b_y FROM v_frames GROUP BY run, t), m AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - b_y) ** 2) AS width FROM n)
-SELECT f.run * 100 + s.a AS run, f.t, j, round((x - (ax + bx) / 2) / CASE WHEN width > 1e-6 THEN width ELSE 1 END, 6) AS x, round((y - (ay + b_y) / 2) / CASE WHEN width > 1e-6 THEN width ELSE 1 END, 6) AS y, round(CASE WHEN width > 1e-6 THEN conf ELSE 0 END, 6) AS conf FROM v_frames f JOIN m ON f.run = m.run AND f.t = m.t JOIN (VALUES (3, 12), (10, 20)) s(a, b) ON f.t >= s.a AND f.t < s.b""",
+SELECT CAST(f.run * 1000000 + s.a AS INTEGER) AS run, f.t, j, round((x - (ax + bx) / 2) / CASE WHEN width > 1e-6 THEN width ELSE 1 END, 6) AS x, round((y - (ay + b_y) / 2) / CASE WHEN width > 1e-6 THEN width ELSE 1 END, 6) AS y, round(CASE WHEN width > 1e-6 THEN conf ELSE 0 END, 6) AS conf FROM v_frames f JOIN m ON f.run = m.run AND f.t = m.t JOIN (SELECT run, unnest(range(0, max(t) + 1, 10)) AS a FROM v_frames GROUP BY run) s ON f.run = s.run AND f.t >= s.a AND f.t < s.a + 15""",
     "frames_in_segments": duck("v_signal", "v_segments") + " SELECT s.run, seg_idx, count(*) AS n, count(*) FILTER (flag) AS hits, min(t) AS first FROM v_segments s JOIN v_signal f ON f.run = s.run AND f.t >= s.a AND f.t < s.b GROUP BY 1, 2",
     "pick_person": duck("v_frames") + """, p AS (SELECT run // 3 AS run, t, run % 3 AS person, product(conf) FILTER (j IN (0, 5, 6, 9, 10)) AS score, max(conf) FILTER (j = 5) > 0.6 AS ok FROM v_frames GROUP BY 1, 2, 3)
 SELECT run, t, person, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY run, t ORDER BY ok DESC, score DESC, person) = 1""",
@@ -264,5 +267,5 @@ SELECT run, t, 'train' AS part FROM k WHERE k <= 32 UNION ALL SELECT run, t, 'ev
     "eval_items": duck("v_segments") + f""", {_LAB}, s AS (SELECT run, seg_idx, a, b FROM v_segments WHERE b - a >= 38), win AS (SELECT run, seg_idx, b - a AS n, CASE WHEN b - a - 75 <= 0 OR k = 1 THEN a ELSE a + CAST(round_even(i * ((b - a - 75)::DOUBLE / (k - 1)), 0) AS INTEGER) END AS start FROM (SELECT *, greatest(1, least(8, (b - a - 75) // 38 + 1)) AS k FROM s) x, (SELECT CAST(range AS INTEGER) AS i FROM range(8)) y WHERE i = 0 OR (b - a - 75 > 0 AND i < k))
 SELECT win.run, seg_idx, start, coalesce(y, -1) AS y, repeat('1', least(75, n)) || repeat('0', greatest(0, 75 - n)) AS mask FROM win JOIN lb ON lb.run = win.run""",
     "labelled_clips": "SELECT 'v' || p_partkey AS video_id, 'v' || p_partkey || '(' || CASE WHEN p_partkey % 120 < 100 THEN lpad(CAST(p_partkey % 120 AS VARCHAR), 2, '0') ELSE substr(CAST(p_partkey % 120 AS VARCHAR), 1, 2) END || ')' AS stem, CAST(p_partkey % 4 AS INTEGER) AS y, p_partkey % 3 = 1 AS has_crops FROM part WHERE p_partkey % 4 < 2",
-    "faces_saved": duck("v_faces") + " SELECT conductor, count(*) AS n, round(sum(emb[1]), 6) AS x0 FROM v_faces WHERE conductor IN (1, 2) GROUP BY 1",
+    "faces_saved": duck("v_faces") + " SELECT conductor, count(*) AS n, round(sum(emb[1]), 6) AS x0 FROM v_faces GROUP BY 1",
 }

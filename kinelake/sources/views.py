@@ -114,7 +114,8 @@ def v_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conductor, video_id, win, y, p array<double>): probability rows of ten classes for every window, integer weights out of their sum."""
     i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    w = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: ((F.col("l_partkey") * (k + 3) + F.col("l_suppkey") * 7 + F.col("l_linenumber") * k) % 97 + 1).cast("double"))
+    # ten plain expressions: what takes elements out of the array needs no array at all
+    w = F.array(*[((F.col("l_partkey") * (k + 3) + F.col("l_suppkey") * 7 + F.col("l_linenumber") * k) % 97 + 1).cast("double") for k in range(10)])
     i = i.select((F.col("l_orderkey") % 5).alias("conductor"), F.floor(F.col("l_orderkey") / 20).alias("video_id"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("win"), (F.col("l_orderkey") % 10).cast("int").alias("y"), w.alias("w"), "l_partkey", "l_suppkey")
     return i.select("conductor", "video_id", "run", "win", "l_partkey", "l_suppkey", "y", "w")
 
