@@ -1,22 +1,24 @@
 """Identity by vectors, and the decisions that build on it.
 
-Mean similarities come from a class's sum of unit vectors; where single pairs count they are made within a class only, dealt over tasks.
+Mean similarities come from a class's sum of unit vectors; where single pairs count they are made within a class only, as products of blocks dealt over a grid of tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-
 from pyspark.sql import functions as F
 
 from kinelake.operators.qc import LEFT_SHOULDER, LEFT_WRIST, NOSE, RIGHT_SHOULDER, RIGHT_WRIST, joint
+from kinelake.runtime import cut, ship
 
 # fixed values: bands and limits of the decisions
 MIN_CONF, MIN_FACES, CENTRE_BAND, MIN_SHOULDER, MAX_ANGLE, EDGE, HAND_CUT = 0.3, 3, 0.55, 0.08, 30.0, 0.02, 0.30
-#: Tasks over which one class's rows are dealt where all its pairs are needed.
-SALTS = 16
+#: Rows of a class that meet as one block where all its pairs are needed.
+BLOCK_ROWS = 1000
 FRONTAL, CROP, IDENTITY, MIN_FRONTAL = (0.25, 0.15), (0.70, 0.50), (0.30, 0.12), 3
 
 
@@ -47,15 +49,55 @@ def centroids(faces: DataFrame) -> DataFrame:
     return whole.select("conductor", unit(F.col("c")).alias("centroid"))
 
 
-def _dealt(rows: DataFrame, other: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on the class with ``_salt``: a class's rows are dealt over SALTS tasks by key, the other side goes to each."""
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def blocks(rows: DataFrame, name: str, value: str, rows_each: int = BLOCK_ROWS) -> DataFrame:
+    """(conductor, block, blocks, <name>_m, <name>_v): rows(conductor, v, value) of a class dealt by hash to so many blocks that each has about rows_each; vectors v as a matrix. Rows of no class take no part."""
+    ship(rows.sparkSession)
+    sizes = rows.groupBy("conductor").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("blocks"))
+    numbered = rows.withColumn("_id", F.monotonically_increasing_id()).join(sizes, "conductor")
+    held = numbered.groupBy("conductor", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("block")).agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("v", value)).alias("r"))
+    m = F.transform("r", lambda r: r["v"])
+    return cut(held.select("conductor", "block", "blocks", m.alias(f"{name}_m"), F.transform("r", lambda r: r[value]).alias(f"{name}_v")))
+
+
+def block_pairs(a: DataFrame, b: DataFrame, partial: Callable[[pd.Series], pd.DataFrame], columns: str) -> DataFrame:
+    """(conductor, columns) of partial(pair) for each block of a with each block of b of its class.
+
+    The pairs of a class are a grid of cells, H x H with H the root of its blocks: a block of a goes to a row of cells, one of b to a column, so
+    copies are H and tasks H^2 however large the class; a task streams its pairs.
+    """
+    side = lambda blocks: F.greatest(F.lit(1), F.ceil(F.sqrt(blocks)).cast("int"))
+    most = a.groupBy("conductor").agg(F.max("blocks").alias("n")).unionByName(b.groupBy("conductor").agg(F.max("blocks").alias("n"))).groupBy("conductor").agg(side(F.max("n")).alias("h"))
+    every = F.sequence(F.lit(0), F.col("h") - 1)
+    left = a.join(most, "conductor").withColumn("i", F.col("block") % F.col("h")).withColumn("j", F.explode(every)).drop("block", "blocks", "h")
+    right = b.join(most, "conductor").withColumn("j", F.col("block") % F.col("h")).withColumn("i", F.explode(every)).drop("block", "blocks", "h")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, pair in batch.iterrows():
+                made = partial(pair)
+                made.insert(0, "conductor", pair.conductor)
+                yield made
+
+    pairs = left.join(right, ["conductor", "i", "j"]).drop("i", "j")
+    return pairs.mapInPandas(run, f"conductor {a.schema['conductor'].dataType.simpleString()}, {columns}")
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length, nearly zero ones zero."""
+    x = np.stack(m).astype(float)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.where(n < 1e-9, 0.0, x / np.maximum(n, 1e-9))
 
 
 def match_scores(probes: DataFrame, references: DataFrame) -> DataFrame:
-    """(vec_id, score): per probe(conductor, vec_id, emb) the highest cosine to its class's references(conductor, emb)."""
-    p, r = _dealt(probes.select("conductor", "vec_id", F.col("emb").alias("a")), references.select("conductor", F.col("emb").alias("b")), "vec_id")
-    return p.join(r, ["conductor", "_salt"]).groupBy("vec_id").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("score"))
+    """(vec_id, score): per probe(conductor, vec_id, emb) the highest cosine to its class's references(conductor, emb), as products of blocks."""
+
+    def partial(pair: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"vec_id": pair.a_v, "score": (_unit_rows(pair.a_m) @ _unit_rows(pair.b_m).T).max(1)})
+
+    a = blocks(probes.select("conductor", F.col("emb").alias("v"), "vec_id"), "a", "vec_id")
+    b = blocks(references.select("conductor", F.col("emb").alias("v"), F.lit(0).alias("one")), "b", "one")
+    return block_pairs(a, b, partial, "vec_id long, score double").groupBy("vec_id").agg(F.max("score").alias("score"))
 
 
 def unit_faces(faces: DataFrame) -> DataFrame:
@@ -89,37 +131,46 @@ def dominant_cluster(faces: DataFrame, threshold: float) -> DataFrame:
 def cross_video_cluster(faces: DataFrame, threshold: float) -> DataFrame:
     """Per class the seed whose neighbours span most videos, then are most (ties: smaller id), with those counts.
 
-    Neighbours are counted over all pairs of a class, as the method asks; a class's seeds are dealt over SALTS tasks and pairs are counted where they are made.
+    Neighbours are counted over all pairs of a class, as the method asks, as products of blocks; what leaves a pair of blocks are counts by seed and video.
     """
     u = unit_faces(faces)
-    a, b = _dealt(u.select("conductor", F.col("vec_id").alias("i"), F.col("u").alias("a")), u.select("conductor", "video_id", F.col("u").alias("b")), "i")
-    near = a.join(b, ["conductor", "_salt"]).where(dot(F.col("a"), F.col("b")) >= threshold)
-    per = near.groupBy("conductor", "i").agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("members"))
+    seeds = blocks(u.select("conductor", F.col("u").alias("v"), "vec_id"), "a", "vec_id")
+    others = blocks(u.select("conductor", F.col("u").alias("v"), "video_id"), "b", "video_id")
+
+    def partial(pair: pd.Series) -> pd.DataFrame:
+        near = np.stack(pair.a_m) @ np.stack(pair.b_m).T >= threshold
+        videos, of = np.unique(np.asarray(pair.b_v), return_inverse=True)
+        counts = near.astype(np.int64) @ np.eye(len(videos), dtype=np.int64)[of]
+        row, at = np.nonzero(counts)
+        return pd.DataFrame({"i": np.asarray(pair.a_v)[row], "video_id": videos[at], "n": counts[row, at]})
+
+    found = block_pairs(seeds, others, partial, "i long, video_id long, n long")
+    per = found.groupBy("conductor", "i", "video_id").agg(F.sum("n").alias("n")).groupBy("conductor", "i").agg(F.count("*").alias("videos"), F.sum("n").alias("members"))
     best = F.max_by(F.struct("i", "videos", "members"), F.struct("videos", "members", -F.col("i")))
     return per.groupBy("conductor").agg(best.alias("b")).select("conductor", F.col("b.i").alias("seed"), "b.videos", "b.members")
 
 
 def select_diverse(faces: DataFrame, k: int, min_score: float, duplicate: float = 0.95) -> DataFrame:
-    """(conductor, vec_id, rank): greedily the best-scored vector, then whichever is farthest from those taken, near-copies left out.
+    """(conductor, vec_id, rank): greedily the best-scored vector, then whichever is farthest from those taken (ties: the better score, then the smaller id), near-copies left out.
 
-    faces(conductor, vec_id, emb, score). The greedy loop is sequential within a class, hence a grouped pandas function; what it gets are
-    the class's vectors at or above min_score.
+    faces(conductor, vec_id, emb, score). Every round takes one vector of each class by an aggregate and brings all vectors' highest similarity to those
+    taken up to date, so a class is as many tasks as it has rows for; rounds are k small jobs.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "vec_id"], ascending=[False, True])
-        x = np.stack(pdf.emb.to_numpy())
-        x = x / np.maximum(1e-9, np.linalg.norm(x, axis=1))[:, None]
-        taken, near = [0], x @ x[0]
-        while len(taken) < min(k, len(x)):
-            free = np.setdiff1d(np.flatnonzero(near < duplicate), taken)
-            if not len(free):
-                break
-            taken.append(int(free[np.argmin(near[free])]))
-            near = np.maximum(near, x @ x[taken[-1]])
-        return pd.DataFrame({"conductor": pdf.conductor.iloc[0], "vec_id": pdf.vec_id.to_numpy()[taken], "rank": np.arange(1, len(taken) + 1)})
-
-    return faces.where(F.col("score") >= min_score).groupBy("conductor").applyInPandas(run, "conductor int, vec_id long, rank int")
+    u = faces.where(F.col("score") >= min_score).select("conductor", "vec_id", "score", unit(F.col("emb")).alias("u"))
+    rows = cut(u.withColumn("near", F.lit(None).cast("double")))
+    taken = None
+    for rank in range(1, k + 1):
+        order = F.struct(-F.round(F.coalesce("near", F.lit(-2.0)), 12), "score", -F.col("vec_id"))
+        free = rows.where(F.coalesce(F.col("near"), F.lit(-2.0)) < duplicate)
+        best = cut(free.groupBy("conductor").agg(F.max_by(F.struct("vec_id", "u"), order).alias("b")).select("conductor", F.col("b.vec_id").alias("vec_id"), F.col("b.u").alias("taken")))
+        picked = best.select("conductor", "vec_id", F.lit(rank).alias("rank"))
+        taken = picked if taken is None else taken.unionByName(picked)
+        if rank == k or best.isEmpty():
+            break
+        own = best.withColumnRenamed("vec_id", "own")  # one row per class
+        similar = F.when(F.col("vec_id") == F.col("own"), F.lit(2.0)).otherwise(dot(F.col("u"), F.col("taken")))
+        rows = cut(rows.join(own, "conductor").select("conductor", "vec_id", "score", "u", F.greatest("near", similar).alias("near")))
+    return taken.select("conductor", "vec_id", "rank")
 
 
 def frontal_reasons(width: float) -> Column:
