@@ -42,6 +42,8 @@ CHUNK = 1 << 19
 CACHE = 70_000
 #: Results of pair tests and steps of the automaton that one worker keeps.
 PAIRS, STEPS = 300_000, 200_000
+#: Where digests alone leave a task it has room for more, and the next one goes on with it.
+DIGEST_ROOM = 4
 NEVER = 1 << 60
 
 
@@ -109,8 +111,9 @@ def _suffix_links(go: dict[int, int], n: int) -> list[int]:
 
 
 class Encoder:
-    def __init__(self, tables: dict, specials: bool = True):
-        self.t = tables
+    def __init__(self, tables: dict, specials: bool = True, room: int = 1):
+        """room: so many times CACHE, PAIRS and STEPS are kept."""
+        self.t, self.room = tables, room
         self.find = regex.compile(PRETOKENS).findall
         self.border = regex.compile(r"(?<=\S) (?=\S)").search
         self.special = tables["special"] if specials else {}
@@ -165,7 +168,7 @@ class Encoder:
         node, byte = key >> 8, key & 255
         while node and (node << 8 | byte) not in go:
             node = links[node]
-        if len(self.steps) > STEPS:
+        if len(self.steps) > STEPS * self.room:
             self.steps.clear()
         found = self.steps[key] = go.get(node << 8 | byte, 0)
         return found
@@ -195,7 +198,7 @@ class Encoder:
                         key = last[start] * size + token
                         fits = apart.get(key)
                         if fits is None:
-                            if len(apart) > PAIRS:
+                            if len(apart) > PAIRS * self.room:
                                 apart.clear()
                             fits = apart[key] = self.stay_apart(last[start], token)
                     else:
@@ -302,9 +305,9 @@ class Encoder:
                     parts[i].append(whole[ws[0]])
                     del ws[0]
                 parts[i].append(b"".join(map(words.__getitem__, ws)))
-        if len(self.words) > CACHE:
+        if len(self.words) > CACHE * self.room:
             self.words, self.old_words = {}, self.words
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE * self.room:
             self.pieces, self.old_pieces = {}, self.pieces
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -338,12 +341,12 @@ def decode(ids: list[int], token: list[bytes]) -> str:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(shared, specials: bool) -> Encoder:
+def _encoder(shared, specials: bool, room: int = 1) -> Encoder:
     """One encoder per worker process and vocabulary, told by the digest of its whole file."""
-    key = (shared.value["digest"], specials)
+    key = (shared.value["digest"], specials, room)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(shared.value, specials)
+        _encoders[key] = Encoder(shared.value, specials, room)
     return _encoders[key]
 
 
@@ -370,7 +373,7 @@ def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, token = _encoder(shared, specials), shared.value["token"]
+        encoder, token = _encoder(shared, specials, DIGEST_ROOM), shared.value["token"]
         name = [str(i) for i in range(len(token))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
@@ -380,7 +383,6 @@ def encode_digests(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_c
                 ids_sha.append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decode(ids, token).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.forget()
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return kept.mapInArrow(tidy(run), f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
