@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import io
 import json
+import uuid
+import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from kinelake.operators.curation import rescale
 from kinelake.runtime import ship
@@ -18,24 +24,193 @@ NOTES = "struct<qc: struct<fps: double, n_frames: long, kept_frames: long, segme
 JOINT = "array<struct<x: double, y: double, conf: double>>"
 
 
-def read_packs(spark: SparkSession, path: str) -> DataFrame:
-    """(conductor, run, t, joints) of all packs <conductor>_<number>.npz below path; a pack is one task's memory, each run in it an array (frames, joints, 3). A run without frames has no rows."""
+#: Frames of one Arrow batch, and bytes of runs that one read task takes (a longer run is a task of its own).
+BATCH_FRAMES, SPLIT_BYTES = 256, 64 << 20
+PACK_SCHEMA = f"conductor string, run string, t int, joints {JOINT}"
+
+
+@dataclass
+class RunSplit(InputPartition):
+    """Runs of one pack that a task reads: the pack's address, its conductor and the names of the runs."""
+
+    path: str
+    conductor: str
+    runs: list[str]
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Packs of a task under their temporary names, and the names they get."""
+
+    moves: list[tuple[str, str]]
+
+
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of an address and the path in it; a bare path is local."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def _frames(member, frames: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, block) of an array (frames, joints, 3) in NumPy's file format, read a block of frames at a time."""
+    version = np.lib.format.read_magic(member)
+    shape, by_column, dtype = np.lib.format.read_array_header_1_0(member) if version == (1, 0) else np.lib.format.read_array_header_2_0(member)
+    if dtype.hasobject or len(shape) != 3 or shape[2] != 3:
+        raise ValueError(f"an array (frames, joints, 3) of numbers is expected, not {shape} of {dtype}")
+    if by_column:
+        whole = np.frombuffer(member.read(), dtype).reshape(shape, order="F")
+        yield from ((a, whole[a : a + frames]) for a in range(0, shape[0], frames))
+        return
+    size = shape[1] * 3 * dtype.itemsize
+    for a in range(0, shape[0], frames):
+        many = min(frames, shape[0] - a)
+        yield a, np.frombuffer(member.read(many * size), dtype).reshape(many, shape[1], 3)
+
+
+def _batch(conductor: str, run: str, first: int, block: np.ndarray) -> pa.RecordBatch:
+    n, joints = block.shape[:2]
+    flat = block.reshape(-1, 3).astype(np.float64)
+    point = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)], names=["x", "y", "conf"])
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * joints)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([conductor] * n), pa.array([run] * n), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.ListArray.from_arrays(offsets, point)], names=["conductor", "run", "t", "joints"]
+    )
+
+
+class PackReader(DataSourceReader):
+    """Reads packs run by run; filters on conductor and run leave whole packs and runs unread."""
+
+    def __init__(self, path: str, split_bytes: int, frames: int):
+        self.path, self.split_bytes, self.frames, self.keep = path, split_bytes, frames, {}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute in (("conductor",), ("run",)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.keep[f.attribute[0]] = self.keep.get(f.attribute[0], wanted) & wanted
+            else:
+                yield f
+
+    def _kept(self, column: str, value: str) -> bool:
+        return column not in self.keep or value in self.keep[column]
+
+    def partitions(self):
+        store, root = _at(self.path)
+        info = store.get_file_info(root)
+        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
+        splits = []
+        for f in sorted((f for f in found if f.is_file and f.path.endswith(".npz") and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+            conductor = f.base_name.removesuffix(".npz").rsplit("_", 1)[0]
+            if not self._kept("conductor", conductor):
+                continue
+            with store.open_input_file(f.path) as file, zipfile.ZipFile(file) as pack:
+                runs, size = [], 0
+                for m in pack.infolist():
+                    name = m.filename.removesuffix(".npy")
+                    if not self._kept("run", name):
+                        continue
+                    if runs and size + m.file_size > self.split_bytes:
+                        splits.append(RunSplit(f.path, conductor, runs))
+                        runs, size = [], 0
+                    runs, size = [*runs, name], size + m.file_size
+                if runs:
+                    splits.append(RunSplit(f.path, conductor, runs))
+        return splits or [RunSplit("", "", [])]
+
+    def read(self, partition):
+        if not partition.runs:
+            return
+        store, _ = _at(self.path)
+        with store.open_input_file(partition.path) as file, zipfile.ZipFile(file) as pack:
+            for run in partition.runs:
+                with pack.open(f"{run}.npy") as member:
+                    for first, block in _frames(member, self.frames):
+                        yield _batch(partition.conductor, run, first, block)
+
+
+class PackWriter(DataSourceWriter):
+    """Writes rows that come run by run, frames in order; packs get their names when all tasks have ended."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.token = path, overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, iterator):
+        store, root = _at(self.path)
+        store.create_dir(root, recursive=True)
+        task, moves, opened = TaskContext.get(), [], None
+        runs = groupby(iterator, key=lambda r: (r["conductor"], r["run"]))
+        for conductor, of_conductor in groupby(runs, key=lambda g: g[0][0]):
+            name = f"{conductor}_{self.token}{task.partitionId()}.npz"
+            opened = f"{root}/_{name}.{task.taskAttemptId()}"
+            seen = set()
+            with store.open_output_stream(opened) as file, zipfile.ZipFile(file, "w") as pack:
+                for (_, run), rows in of_conductor:
+                    frames = [(r["t"], [(j["x"], j["y"], j["conf"]) for j in r["joints"]]) for r in rows]
+                    if run in seen or [t for t, _ in frames] != list(range(len(frames))):
+                        raise ValueError(f"run {run} of {conductor}: its frames must come together, numbered from 0 in order (write_packs sees to that)")
+                    seen.add(run)
+                    with pack.open(f"{run}.npy", "w", force_zip64=True) as member:
+                        np.lib.format.write_array(member, np.array([x for _, x in frames], dtype=np.float64))
+            moves.append((opened, f"{root}/{name}"))
+        return Written(moves)
+
+    def commit(self, messages):
+        store, root = _at(self.path)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if f.is_file and f.path.endswith(".npz") and not f.base_name.startswith(("_", ".")):
+                    store.delete_file(f.path)
+        for m in messages:
+            for old, new in m.moves if m else []:
+                store.move(old, new)
+
+    def abort(self, messages):
+        store, _ = _at(self.path)
+        for m in messages:
+            for old, _ in m.moves if m else []:
+                store.delete_file(old)
+
+
+class PackSource(DataSource):
+    """Format ``packs``: <conductor>_<number>.npz below a path, in each an array (frames, joints, 3) for every run.
+
+    A task reads up to ``splitBytes`` of runs, ``batchFrames`` frames at a time, so neither a pack nor a long run must fit in
+    memory; the driver reads names and sizes only. A run without frames has no rows.
+    """
+
+    @classmethod
+    def name(cls):
+        return "packs"
+
+    def schema(self):
+        return PACK_SCHEMA
+
+    def reader(self, schema):
+        return PackReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), int(self.options.get("batchframes", BATCH_FRAMES)))
+
+    def writer(self, schema, overwrite):
+        return PackWriter(self.options["path"], overwrite)
+
+
+def register_packs(spark: SparkSession) -> None:
+    """Make the format known to a session, and filters reach it."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b.path, b.content, strict=True):
-                conductor = name.rsplit("/", 1)[-1].removesuffix(".npz").rsplit("_", 1)[0]
-                with np.load(io.BytesIO(content)) as pack:
-                    for key in pack.files:
-                        x = pack[key].astype(float)
-                        if not len(x):
-                            continue
-                        joints = [[{"x": p[0], "y": p[1], "conf": p[2]} for p in frame.tolist()] for frame in x]
-                        yield pd.DataFrame({"conductor": conductor, "run": key, "t": np.arange(len(x)), "joints": joints})
-
-    return files.mapInPandas(run, f"conductor string, run string, t int, joints {JOINT}")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PackSource)
+
+
+def read_packs(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """(conductor, run, t, joints) of all packs below path; options as of ``PackSource``."""
+    register_packs(spark)
+    return spark.read.format("packs").options(**{k: str(x) for k, x in options.items()}).load(path)
+
+
+def write_packs(frames: DataFrame, path: str, partitions: int, mode: str = "append") -> None:
+    """frames(conductor, run, t, joints) as packs: a task holds one run at a time and writes a pack for each of its conductors. Frames of a run are numbered from 0 without gaps."""
+    register_packs(frames.sparkSession)
+    rows = frames.select(F.col("conductor").cast("string"), F.col("run").cast("string"), F.col("t").cast("int"), "joints")
+    rows.repartition(partitions, "conductor", "run").sortWithinPartitions("conductor", "run", "t").write.format("packs").mode(mode).save(path)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
