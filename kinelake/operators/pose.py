@@ -278,6 +278,23 @@ def pair_channels(frames: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return rows.select("*", *[F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)).alias(f"d_{c}") for c in names])
 
 
+#: Values of a channel that say nothing was seen: a ratio of 1 is the usual length, a ratio of 0 would be a bone that is gone.
+NEUTRAL = {"r": 1.0}
+
+
+def padded_channels(rows: DataFrame, length: int, joint: str = "j", neutral: bool = True) -> DataFrame:
+    """rows of channels or pair_channels, t from 0, with ``mask`` 1, and for every frame from a run's end up to length a row with mask 0.
+
+    Channels are made before, so that no difference crosses the end. In the rows added every channel has its neutral value
+    (``NEUTRAL``, else 0); with neutral false all are 0. A run of length frames or more stays as it is.
+    """
+    names = [c for c in rows.columns if c not in ("run", "t", joint)]
+    ends = rows.groupBy("run", joint).agg((F.max("t") + 1).alias("n")).where(F.col("n") < length)
+    values = [F.lit(NEUTRAL.get(c, 0.0) if neutral else 0.0).alias(c) for c in names]
+    added = ends.select("run", F.explode(F.sequence(F.col("n"), F.lit(length - 1))).alias("t"), joint, *values, F.lit(0).alias("mask"))
+    return rows.select("run", "t", joint, *names, F.lit(1).alias("mask")).unionByName(added)
+
+
 # fixed values: pairs that hold both sides together, and the tree of pairs (shoulders, elbows, wrists, hips, then the hands)
 COORDINATION = [(9, 10), (7, 8), (LEFT_HAND, RIGHT_HAND)]
 PAIR_BODY = [(0, 1), (1, 2), (0, 3), (2, 4)]
