@@ -157,13 +157,13 @@ class PackWriter(DataSourceWriter):
 
     def commit(self, messages):
         store, root = _at(self.path)
-        if self.overwrite:
-            for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if f.is_file and f.path.endswith(".npz") and not f.base_name.startswith(("_", ".")):
-                    store.delete_file(f.path)
+        before = [f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.is_file and f.path.endswith(".npz") and not f.base_name.startswith(("_", "."))]
         for m in messages:
             for old, new in m.moves if m else []:
                 store.move(old, new)
+        # what is replaced goes last, so that a commit that dies loses nothing
+        for path in before if self.overwrite else []:
+            store.delete_file(path)
 
     def abort(self, messages):
         store, _ = _at(self.path)
